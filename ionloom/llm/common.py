@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -141,3 +142,9 @@ def _star(edges: DataFrame, low: DataFrame, keep_larger: bool) -> DataFrame:
     else:
         out = met.select("u", "v", "m").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
     return out.filter("u <> v").distinct()
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of frames that nothing holds any more, before the next step writes its own."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionloom.llm import bpe, lines, mixing, quality, rules, simhash, toxicity
+from ionloom.llm import ann, bpe, chains, lines, mixing, quality, rules, simhash, suffixes, toxicity
 
 #: Tokenizer file of the encoding queries.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -28,6 +28,15 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return ann.nearest(rows, rows.filter("id % 20 = 0"), k=20)
+
+
+def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(table(spark, sf_dir, "documents"))
 
@@ -41,6 +50,12 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_digests(table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the partners' ids in a list."""
+    out = chains.fuzzy_passages(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_repeated", "n_spans", F.array_sort(F.array_distinct("spans.partner")).alias("partners"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -56,7 +71,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_quality_classifier, op2_simhash, op5_mixing, op6_toxicity, op7_line_dedup, op9_quality_rules, op10_bpe, pipeline)
+    own = (op1_quality_classifier, op2_simhash, op3_ann, op4_suffix_array, op5_mixing, op6_toxicity, op7_line_dedup, op8_substring_dedup, op9_quality_rules, op10_bpe, pipeline)
     return {f.__name__: f for f in own}
 
 
