@@ -24,8 +24,9 @@ from ionloom.llm.common import discard, materialize, mixed, release, text_batche
 
 WIDTH = 100
 #: Differing contexts of one anchor that are sorted in one task; those of a more frequent anchor are
-#: compared window by window with grouped minima, which any number of tasks share.
-GROUP = 1000
+#: compared by grouped minima, which any number of tasks share: first by pieces of PIECE windows, then the
+#: windows of the pieces that may differ in part.
+GROUP, PIECE = 1000, 10
 #: The id that stands for null; it comes last.
 NULL_ID = (1 << 63) - 1
 
@@ -136,8 +137,9 @@ def repeated_windows(contexts: list[bytes], anchor: np.ndarray, n_windows: np.nd
     return out
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def _halves(x: int) -> tuple[int, int]:
+    """A 128-bit hash as two signed longs."""
+    return tuple(h - (1 << 64) if h >> 63 else h for h in (x >> 64, x & ((1 << 64) - 1)))
 
 
 def _bytes(text: str | None) -> bytes:
@@ -178,7 +180,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 hit = np.isin(pos, np.array(asked, dtype=np.int64))
                 for at, first, count, anchor in zip(h[hit].tolist(), q[hit].tolist(), n[hit].tolist(), (pos - q)[hit].tolist()):
                     c = xxhash.xxh3_128_intdigest(raw[first : first + count + width - 1])
-                    for column, v in zip(out, (_signed(c >> 64), _signed(c & ((1 << 64) - 1)), at, i, first, count << 8 | anchor)):
+                    for column, v in zip(out, (*_halves(c), at, i, first, count << 8 | anchor)):
                         column.append(v)
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:4]), *(pa.array(c, pa.int32()) for c in out[4:])], names=["c1", "c2", "h", "id", "q", "na"])
 
@@ -189,9 +191,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     # contexts that stand earlier, whole
     first = placed.groupBy("c1", "c2").agg(F.min(F.struct("id", "q", "h", "na")).alias("f"), F.count("*").alias("c"))
     first = materialize(first)
-    low = first.filter("c > 1").select(mixed(F.col("c1")).alias("x"), "c2", F.col("f.id").alias("fid"), F.col("f.q").alias("fq"))
-    whole = placed.withColumn("x", mixed(F.col("c1"))).join(low, ["x", "c2"]).filter("id <> fid or q <> fq").select("id", "q", F.shiftright("na", 8).alias("n"))
-    whole = materialize(whole)
+    whole = materialize(_later(placed.withColumn("n", F.shiftright("na", 8)), first, "c1", "c2"))
     discard(placed)
     release(docs.sparkSession)
 
@@ -228,20 +228,49 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     few = edges.filter(F.col("c") <= GROUP).select("h", "id", "q", "na", "bytes")
     sorted_ = few.repartition("h").sortWithinPartitions("h", "id", "q").mapInArrow(resolve, "id long, q int, n int")
 
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The windows of a context by PIECE offsets from the anchor: hashes of what they cover and of what all of them share."""
+        for b in batches:
+            out: list[list] = [[] for _ in range(8)]
+            for i, q, na, raw in zip(*(b.column(k).to_pylist() for k in range(4))):
+                n, anchor = na >> 8, na & 255
+                for piece in range(max(anchor - n + 1, 0) // PIECE, anchor // PIECE + 1):
+                    low, high = piece * PIECE, piece * PIECE + PIECE - 1  # offsets of the anchor in the piece's windows
+                    begin, end = max(anchor - high, 0), min(anchor - low, n - 1)
+                    if begin > end:
+                        continue
+                    whole = raw[begin : end + width]
+                    c, k = (xxhash.xxh3_128_intdigest(x, piece) for x in (whole, raw[anchor - low : anchor - high + width]))
+                    for column, v in zip(out, (*_halves(c), *_halves(k), i, q + begin, end - begin + 1, whole)):
+                        column.append(v)
+            kinds = (*[pa.int64()] * 5, pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["c1", "c2", "k1", "k2", "id", "q", "n", "bytes"])
+
+    cut_up = materialize(edges.filter(F.col("c") > GROUP).select("id", "q", "na", "bytes").mapInArrow(pieces, "c1 long, c2 long, k1 long, k2 long, id long, q int, n int, bytes binary"))
+    heads = materialize(cut_up.groupBy("c1", "c2").agg(F.min(F.struct("id", "q", "n", "k1", "k2", "bytes")).alias("f"), F.count("*").alias("c")))
+    part = _later(cut_up.select("c1", "c2", "id", "q", "n"), heads, "c1", "c2")
+    heads = heads.select("f.*")
+    shared = heads.groupBy("k1", "k2").agg(F.count("*").alias("c")).filter("c > 1").select(mixed(F.col("k1")).alias("x"), "k2")
+
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[], [], [], []]
-            for i, q, na, raw in zip(*(b.column(k).to_pylist() for k in range(4))):
-                for k in range(na >> 8):
-                    w = xxhash.xxh3_128_intdigest(raw[k : k + width])
-                    for column, v in zip(out, (_signed(w >> 64), _signed(w & ((1 << 64) - 1)), i, q + k)):
+            for i, q, n, raw in zip(*(b.column(k).to_pylist() for k in range(4))):
+                for k in range(n):
+                    for column, v in zip(out, (*_halves(xxhash.xxh3_128_intdigest(raw[k : k + width])), i, q + k)):
                         column.append(v)
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.int32())], names=["w1", "w2", "id", "q"])
 
-    many = edges.filter(F.col("c") > GROUP).select("id", "q", "na", "bytes").mapInArrow(windows, "w1 long, w2 long, id long, q int")
-    lows = many.groupBy("w1", "w2").agg(F.min(F.struct("id", "q")).alias("f"), F.count("*").alias("c")).filter("c > 1").select(mixed(F.col("w1")).alias("x"), "w2", F.col("f.id").alias("fid"), F.col("f.q").alias("fq"))
-    single = many.withColumn("x", mixed(F.col("w1"))).join(lows, ["x", "w2"]).filter("id <> fid or q <> fq").select("id", "q", F.lit(1).alias("n"))
-    return whole.unionByName(sorted_).unionByName(single)
+    many = heads.withColumn("x", mixed(F.col("k1"))).join(shared, ["x", "k2"]).select("id", "q", "n", "bytes").mapInArrow(windows, "w1 long, w2 long, id long, q int").withColumn("n", F.lit(1))
+    many = materialize(many)
+    single = _later(many, many.groupBy("w1", "w2").agg(F.min(F.struct("id", "q")).alias("f"), F.count("*").alias("c")), "w1", "w2")
+    return whole.unionByName(sorted_).unionByName(part).unionByName(single)
+
+
+def _later(rows: DataFrame, first: DataFrame, high: str, low: str) -> DataFrame:
+    """id, q, n of the rows that are not the first of their hash. first: the hash, f (the first's id and q) and count c."""
+    first = first.filter("c > 1").select(mixed(F.col(high)).alias("x"), low, F.col("f.id").alias("fid"), F.col("f.q").alias("fq"))
+    return rows.withColumn("x", mixed(F.col(high))).join(first, ["x", low]).filter("id <> fid or q <> fq").select("id", "q", "n")
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
