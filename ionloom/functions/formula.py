@@ -29,6 +29,10 @@ def add(a: Column, b: Column, sign: int = 1) -> Column:
     return F.zip_with(a, b, lambda x, y: x + y * F.lit(sign))
 
 
+def _times(n: Column):
+    return lambda x: x * n
+
+
 def parse_signed(formula: Column, compat: bool = False) -> Column:
     """A formula with one added and one removed group, as in C6H12O6+2H-H2O, as an array.
 
@@ -40,7 +44,7 @@ def parse_signed(formula: Column, compat: bool = False) -> Column:
         group = F.regexp_extract(formula, rf"\{sign}([A-Za-z0-9]+)", 1)
         times = F.coalesce(F.regexp_extract(group, r"(\d+)" if compat else r"^(\d+)", 1).try_cast("int"), F.lit(1))
         counts = parse(F.regexp_replace(group, r"^\d+", ""))
-        total = F.when(group == "", total).otherwise(F.zip_with(total, counts, lambda x, y, t=times, s=s: x + y * t * F.lit(s)))
+        total = F.when(group == "", total).otherwise(add(total, F.transform(counts, _times(times)), s))
     return F.transform(total, lambda x: x.cast("int"))
 
 

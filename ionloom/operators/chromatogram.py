@@ -42,15 +42,16 @@ def annotate_isobars(df: DataFrame, seconds: float = 6.0, height_ratio: float =
     return df.join(found, "peak_id", "left")
 
 
-def subtract_isobars(df: DataFrame) -> DataFrame:
+def subtract_isobars(df: DataFrame, scale: float = 1.0) -> DataFrame:
     """peak_id, mz_cleaned, intensity_cleaned of peaks with isobars: I - sum I_iso(mz) exp(-10 dRT^2) H_iso / H where
-    positive, on equal m/z. df: peak_id, rt_min, height, mz, intensity, isobars. Of equal m/z in a spectrum the last counts."""
+    positive, on equal m/z. df: peak_id, rt_min, height, mz, intensity, isobars. Of equal m/z in a
+    spectrum the last counts. scale: of what is subtracted."""
     own = df.filter(F.col("isobars").isNotNull()).select("peak_id", "rt_min", "height", "isobars", F.posexplode(F.arrays_zip("mz", "intensity")).alias("pos", "p")).select("peak_id", "rt_min", "height", "isobars", "pos", F.col("p.mz").alias("mz"), F.col("p.intensity").alias("i"))
     all_ = df.select(F.col("peak_id").alias("iso"), F.col("rt_min").alias("iso_rt"), F.col("height").alias("iso_height"), F.posexplode(F.arrays_zip("mz", "intensity")).alias("iso_pos", "p")).select("iso", "iso_rt", "iso_height", "iso_pos", F.col("p.mz").alias("iso_mz"), F.col("p.intensity").alias("iso_i"))
     last = Window.partitionBy("iso", "iso_mz").orderBy(F.desc("iso_pos"))
     all_ = all_.withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n")
     pairs = own.withColumn("of", F.explode("isobars")).join(all_, (F.col("of") == F.col("iso")) & (F.col("mz") == F.col("iso_mz")))
-    taken = pairs.groupBy("peak_id", "pos").agg(F.sum(F.col("iso_i") * F.exp(-10 * F.pow(F.col("rt_min") - F.col("iso_rt"), 2)) * F.col("iso_height") / F.col("height")).alias("taken"))
+    taken = pairs.groupBy("peak_id", "pos").agg(F.sum(scale * F.col("iso_i") * F.exp(-10 * F.pow(F.col("rt_min") - F.col("iso_rt"), 2)) * F.col("iso_height") / F.col("height")).alias("taken"))
     left = own.join(taken, ["peak_id", "pos"], "left").withColumn("i", F.col("i") - F.coalesce("taken", F.lit(0.0)))
     kept = left.groupBy("peak_id").agg(F.array_sort(F.collect_list(F.when(F.col("i") > 0, F.struct("pos", "mz", "i")))).alias("p"))
     nonempty = lambda c: F.when(F.size("p") > 0, F.transform("p", lambda x: x[c]))
