@@ -15,8 +15,8 @@ from ionloom.llm.queries import TOKENIZER
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Near copies: five-word shingles. Texts whose shingle sets have a similarity of 0.8 differ in 10 of 64 bits in
-#: the mean, so that is the radius.
-WORDS, RADIUS = 5, 10
+#: the mean, so that is the radius; a second fingerprint keeps out unrelated texts that meet by chance.
+WORDS, RADIUS, RADIUS2 = 5, 10, 14
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document (smallest doc_id) of each group of near copies stays."""
-    kept = simhash.near_duplicates(docs, WORDS, RADIUS).filter("doc_id = component_id").select("doc_id").distinct()
+    kept = simhash.near_duplicates(docs, WORDS, RADIUS, RADIUS2).filter("doc_id = component_id").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").select(COLUMNS)
 
 

@@ -39,9 +39,8 @@ def shingles(text: str, words: int) -> list[bytes]:
     return [joined[a:b] for a, b in zip(starts, stops)]
 
 
-def fingerprint(text: str | None, words: int, seed: int = SEED) -> int:
-    """SimHash of a text's shingles; 0 if it has no words. A bit is set if it is in over half the hashes."""
-    pieces = shingles(text or "", words)
+def fingerprint(pieces: list[bytes], seed: int = SEED) -> int:
+    """SimHash of shingles; 0 for none. A bit is set if it is in over half the hashes."""
     if not pieces:
         return 0
     digest = xxhash.xxh64_intdigest
@@ -53,16 +52,18 @@ def fingerprint(text: str | None, words: int, seed: int = SEED) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id and fp (the fingerprint's 64 bits as a long) of every whole text; a null text counts as empty."""
+def fingerprints(docs: DataFrame, words: int, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
+    """doc_id and a fingerprint's 64 bits as a long for each seed (fp, fp2) of every whole text; null counts as empty."""
     text_batches(docs.sparkSession)
+    names = ["fp", "fp2"][: len(seeds)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t, words) for t in b.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            pieces = (shingles(t or "", words) for t in b.column(1).to_pylist())
+            fps = np.array([[fingerprint(p, seed) for seed in seeds] for p in pieces], dtype=np.uint64).reshape(-1, len(seeds))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(fps[:, i].copy().view(np.int64)) for i in range(len(seeds)))], names=["doc_id", *names])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
 
 
 def sharding(n: int, radius: int) -> tuple[int, int]:
@@ -219,16 +220,20 @@ def links(codes: DataFrame, radius: int, radius2: int | None = None, tree_nodes:
     return dealt.mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 8) -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id reachable by links, itself included) of every row.
+def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 10, radius2: int | None = 14) -> DataFrame:
+    """doc_id, fp (with radius2 also fp2) and component_id (the smallest doc_id reachable by links, itself included) of every row.
 
-    docs: doc_id, text; other columns are ignored. A null or empty text has the fingerprint 0 and links
-    as any other; rows with a null doc_id get a component of their own fingerprint's documents like the
-    rest, and a null component only if no document of the component has an id. Repeated rows come back
-    as often as they came. An empty table gives an empty result.
+    Texts are linked if their fingerprints differ in radius bits at most. At a large radius unrelated texts
+    meet by chance, so with radius2 a second fingerprint from other hashes must agree up to radius2 bits as well.
+    docs: doc_id, text; other columns are ignored. A null or empty text has the fingerprint 0 and links as
+    any other. A row with a null doc_id shares the component of the documents with its fingerprint; without
+    such its component is null. Repeated rows come back as often as they came. An empty table gives an empty
+    result.
     """
-    fps = materialize(fingerprints(docs, words))
-    codes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("node")).filter("node is not null"))
-    found = components(links(codes, radius)).withColumnRenamed("u", "node")
-    classes = codes.withColumn("nk", F.col("node").bitwiseXOR(F.lit(1))).join(found.withColumn("nk", F.col("node").bitwiseXOR(F.lit(1))).drop("node"), "nk", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return fps.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
+    own = ["fp"] if radius2 is None else ["fp", "fp2"]
+    fps = materialize(fingerprints(docs, words, (SEED,) if radius2 is None else (SEED, SEED + 1)))
+    codes = materialize(fps.groupBy(*own).agg(F.min("doc_id").alias("node")).filter("node is not null"))
+    found = components(links(codes, radius, radius2)).withColumnRenamed("u", "node")
+    key = F.col("node").bitwiseXOR(F.lit(1)).alias("k")
+    classes = codes.select("*", key).join(found.select(key, "component"), "k", "left").select(*own, F.coalesce("component", "node").alias("component_id"))
+    return fps.join(classes, own, "left").select("doc_id", *own, "component_id")

@@ -1,0 +1,382 @@
+"""Each operator against a plain brute-force version on small tables, and its edge cases."""
+
+import hashlib
+import random
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from ionloom.llm import ann, bpe, chains, lines, mixing, quality, rules, simhash, suffixes, toxicity
+from ionloom.llm.common import components
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, src string, id string"
+EDGES = [
+    (0, "", "en", "a"),
+    (1, None, "en", "a"),
+    (2, "one two three", None, None),
+    (3, "one two three", None, None),
+    (4, " ".join(f"w{i}" for i in range(9000)), "en", "a"),
+    (5, "same line here and more of it\nanother line that is long enough\nand a third line", "en", "b"),
+    (6, "same line here and more of it\nanother line that is long enough\nand a third line", "en", "b"),
+    (6, "same line here and more of it\nanother line that is long enough\nand a third line", "en", "b"),
+    (None, "no id but some text, which is not very long", "en", None),
+    (None, None, None, None),
+    (9, "\t\n \x0b\x0c\r", "fr", "b"),
+    (10, "x" * 20000, "fr", "b"),
+    (11, "  　  é日本🙂 <|endoftext|> 's 'll", "fr", "c"),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.read.parquet(f"{SF}/labels.parquet")
+
+
+@pytest.fixture(scope="module")
+def edges(spark):
+    return spark.createDataFrame([(*r, None, "1", "2", "3") for r in EDGES], DOCS)
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def texts(df):
+    return {r.doc_id: r.text or "" for r in df.select("doc_id", "text").collect()}
+
+
+def brute_fingerprint(text, k):
+    w = text.encode().lower().split()
+    pieces = [b" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))] if w else []
+    hashes = [xxhash.xxh64_intdigest(p, 42) for p in pieces]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def linked(codes, near):
+    """Smallest id reachable, by id."""
+    ids = sorted(codes)
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for n, i in enumerate(ids):
+        for j in ids[n + 1 :]:
+            if near(codes[i], codes[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {i: find(i) for i in ids}
+
+
+@pytest.mark.parametrize("words,radius,radius2", [(4, 4, None), (5, 10, 14)])
+def test_simhash(spark, docs, words, radius, radius2):
+    got = {r.doc_id: r for r in simhash.near_duplicates(docs, words, radius, radius2).collect()}
+    fps = {i: simhash.fingerprint(simhash.shingles(t, words)) for i, t in texts(docs).items()}
+    if words == 4:
+        assert all(fps[i] == brute_fingerprint(t, words) for i, t in list(texts(docs).items())[:60])
+    assert all(got[i].fp % 2**64 == fps[i] for i in fps)
+    second = {i: (fps[i], simhash.fingerprint(simhash.shingles(t, words), 43)) for i, t in texts(docs).items()}
+    near = lambda a, b: (a[0] ^ b[0]).bit_count() <= radius and (radius2 is None or (a[1] ^ b[1]).bit_count() <= radius2)
+    want = linked(second, near)
+    assert {i: r.component_id for i, r in got.items()} == want
+
+
+def test_simhash_large_shards_are_cut(spark):
+    rng = random.Random(1)
+    base = rng.getrandbits(64)
+    codes = {i: base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 6))) for i in range(300)}
+    codes |= {1000 + i: rng.getrandbits(64) for i in range(200)}
+    seen = {}
+    codes = {i: c for i, c in codes.items() if seen.setdefault(c, i) == i}
+    signed = lambda x: x - 2**64 if x >> 63 else x
+    df = spark.createDataFrame([(i, signed(c)) for i, c in codes.items()], "node long, fp long")
+    want = linked(codes, lambda a, b: (a ^ b).bit_count() <= 3)
+    found = {r.u: r.component for r in components(simhash.links(df, 3, tree_nodes=16)).collect()}
+    assert {i: found.get(i, i) for i in codes} == want
+
+
+def test_components(spark):
+    rng = random.Random(4)
+    pairs = [(i, i + 1) for i in range(200, 260)] + [(rng.randrange(100), rng.randrange(100)) for _ in range(60)] + [(500, i) for i in range(501, 560)]
+    near = {frozenset(p) for p in pairs}
+    nodes = {i: i for p in pairs for i in p}
+    want = linked(nodes, lambda a, b: frozenset((a, b)) in near)
+    got = {r.u: r.component for r in components(spark.createDataFrame(pairs, "u long, v long")).collect()}
+    assert got == {i: c for i, c in want.items() if i in got} and all(want[i] == i for i in want if i not in got)
+
+
+def test_ann(spark):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((700, 24)) * rng.uniform(0.2, 3, (700, 1))
+    x[50:90] = x[40]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [0.0] * 24), (902, [float("nan")] * 24), (903, [1.0] * 3), (None, [1.0] * 24), (904, [None] + [1.0] * 23)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    got = ann.nearest(df, df.filter("id % 20 = 0"), k=20).toPandas()
+    hits = 0
+    for q in range(0, 700, 20):
+        mine = got[got.query_id == q].sort_values("rank")
+        s = x @ x[q]
+        s[q] = -np.inf
+        order = np.lexsort((np.arange(700), -np.round(s, 9)))[:20]
+        hits += len({*mine.vec_id} & {*order.tolist()})
+        assert list(mine["rank"]) == list(range(1, 21))
+        assert np.allclose(mine.score, s[mine.vec_id])
+        assert (np.diff(mine.score) <= 0).all() and all(b > a for (s1, a), (s2, b) in zip(zip(mine.score, mine.vec_id), zip(mine.score[1:], mine.vec_id[1:])) if s1 == s2)
+    assert hits >= 0.9 * 20 * 35
+    few = df.filter("id < 5")
+    assert ann.nearest(few, few, k=20).count() == 20
+    assert ann.nearest(df.filter("false"), df, k=20).count() == 0
+
+
+def test_multi_index_finds_all_within_a_radius():
+    rng = np.random.default_rng(0)
+    code = rng.integers(0, 1 << 16, (500, 8), dtype=np.uint16)
+    query = code[:20] ^ rng.choice([0, 1, 3, 256], (20, 8)).astype(np.uint16)
+    for radius in (0, 5, 17, 50):
+        q, row, d = ann.Index(code).within(query, radius)
+        full = np.bitwise_count(query[:, None] ^ code[None]).sum(2)
+        assert {*zip(q.tolist(), row.tolist())} == {*zip(*(a.tolist() for a in np.nonzero(full <= radius)))}
+        assert (full[q, row] == d).all()
+
+
+def brute_removed(docs, width=100):
+    seen, out = set(), {}
+    for i in sorted(docs):
+        raw = docs[i].encode()
+        gone = bytearray(len(raw))
+        for q in range(len(raw) - width + 1):
+            if (w := raw[q : q + width]) in seen:
+                gone[q : q + width] = b"\1" * width
+            seen.add(w)
+        kept = bytes(b for b, g in zip(raw, gone) if not g)
+        out[i] = (len(raw), sum(gone), sum(1 for j, g in enumerate(gone) if g and not (j and gone[j - 1])), hashlib.sha256(kept).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("group", [1000, 4])
+def test_suffixes(spark, monkeypatch, group):
+    monkeypatch.setattr(suffixes, "GROUP", group)
+    rng = random.Random(group)
+    parts = ["".join(rng.choice("abcd éf") for _ in range(rng.randint(90, 500))) for _ in range(8)] + ["ab" * 200]
+    docs = {i: "".join(rng.choice(parts)[rng.randint(0, 60) :] + "".join(rng.choice("xyz") for _ in range(rng.randint(0, 50))) for _ in range(rng.randint(0, 5))) for i in range(80)}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.remove_repeats(df).collect()}
+    assert got == brute_removed(docs)
+
+
+def test_suffix_sort():
+    rng = random.Random(3)
+    strings = [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 30))) for _ in range(400)]
+    group = np.sort(np.array([rng.randrange(6) for _ in strings]))
+    start = np.cumsum([0, *map(len, strings)])[:-1]
+    order, common = suffixes.suffix_sort(np.frombuffer(b"".join(strings), np.uint8), start, np.array([*map(len, strings)]), group)
+    for g in range(6):
+        mine = [i for i in order if group[i] == g]
+        assert mine == sorted((i for i in range(400) if group[i] == g), key=lambda i: (strings[i], i))
+    for k in range(1, 400):
+        a, b = strings[order[k - 1]], strings[order[k]]
+        if group[order[k - 1]] == group[order[k]]:
+            assert common[k] == next((n for n, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+def test_mixing(spark, docs, edges):
+    for df in (docs, edges):
+        got = mixing.mixed_documents(df).collect()
+        assert len(got) == df.count()
+        sizes = sorted(len((t or "").encode().split()) for (t,) in df.select("text").collect())
+        assert sorted(r["size"] for r in got) == sizes
+        by = {}
+        for r in got:
+            assert 0 <= r.taken <= 3 * r["size"]
+            by.setdefault(r.source, []).append(r)
+        order = sorted(by, key=lambda s: (s is None, s or ""))
+        source = [sum(r["size"] for r in by[s]) for s in order]
+        # the excess is reshared until none is above
+        weight = [1 + i % 3 for i in range(len(order))]
+        want, open_, left = [0.0] * len(order), set(range(len(order))), float(sum(source))
+        while open_:
+            level = left / sum(weight[i] for i in open_)
+            over = {i for i in open_ if level * weight[i] > 3 * source[i]}
+            for i in over or open_:
+                want[i] = 3.0 * source[i] if over else level * weight[i]
+                left -= want[i] if over else 0
+            open_ -= over or open_
+        for s, w, n in zip(order, want, source):
+            assert all(abs(r.target - w) < 1e-6 and r.source_size == n for r in by[s])
+            assert abs(sum(r.taken for r in by[s]) - w) <= 1
+    again = mixing.mixed_documents(docs.repartition(7)).collect()
+    assert sorted((r.doc_id, r.taken) for r in again) == sorted((r.doc_id, r.taken) for r in mixing.mixed_documents(docs).collect())
+
+
+def test_splitting_tree(spark):
+    q = spark.createDataFrame([("a", 5000), ("b", 37), ("c", 1), (None, 200)], "source string, quota long")
+    rows = mixing.splitting_tree(q, 3, 1).collect()
+    for s, n in (("a", 5000), ("b", 37), ("c", 1), (None, 200)):
+        assert sum(r.n for r in rows if r.source == s) == n and all(r.n >= 0 for r in rows)
+    assert len({sum(r.n for r in rows if r.shard == k) for k in range(8)}) <= 2
+
+
+def test_draws_are_disjoint(docs):
+    _, draws = mixing.mix(docs)
+    assert draws.count() == draws.select("src", "doc_id", "copy", "block", "pass").distinct().count()
+
+
+def test_toxicity(spark, docs, labels, edges):
+    train = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    out = toxicity.toxicity(*train).join(train[1], "doc_id").filter("held_out").toPandas()
+    assert (out.predicted == out.toxic).mean() >= 0.93
+    assert out.score.between(0, 1).all() and ((out.score >= 0.5) == (out.predicted == 1)).all()
+    got = toxicity.toxicity(edges, labels).collect()
+    assert len(got) == len(EDGES) and all(0 <= r.score <= 1 for r in got)
+
+
+def test_noisy_or_learns_sentences():
+    rng = random.Random(0)
+    bags, y = [], []
+    for i in range(600):
+        bag = [[rng.randrange(1, 10)] for _ in range(rng.randint(1, 8))]
+        if i % 3 == 0:
+            bag[rng.randrange(len(bag))].append(0)
+        bags.append(bag)
+        y.append(int(i % 3 == 0))
+    theta, bias = toxicity.fit_words(bags, np.array(y), 10)
+    assert bias + theta[0] > 0 > bias + max(theta[1:])
+
+
+def test_lines(docs, edges):
+    for df in (docs, edges):
+        seen, want = {}, {}
+        for i, t in sorted({(lines.NULL_ID if i is None else i, t or "") for i, t in df.select("doc_id", "text").collect()}):
+            kept, gone = [], 0
+            cut = lines.chunks(t)
+            assert b"\n".join(c[0] for c in cut).decode() == t
+            for k, c in enumerate(cut):
+                if lines.looked_up(c) and seen.setdefault(c[0], (i, k)) != (i, k):
+                    gone += c[1]
+                else:
+                    kept.append(c[0])
+            want[i, gone, hashlib.sha256(b"\n".join(kept)).hexdigest()] = 1
+        got = lines.line_digests(df).collect()
+        assert len(got) == df.count()
+        assert all((lines.NULL_ID if r.doc_id is None else r.doc_id, r.n_removed_lines, r.kept_sha256) in want for r in got)
+
+
+def test_line_chunks_realign():
+    rows = [f"line number {i} with some words" for i in range(60)]
+    a = {c[0] for c in lines.chunks("\n".join(rows))}
+    b = {c[0] for c in lines.chunks("\n".join(["new first line", *rows[:30], "another new one", *rows[30:]]))}
+    assert len(a & b) >= len(a) - 4
+
+
+def test_chains(spark):
+    rng = random.Random(2)
+    word = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(n)]
+    passage, docs = word(80), {}
+    for i in range(30):
+        p = list(passage)
+        for _ in range(2 if i % 4 == 2 else 0):
+            p[rng.randrange(80)] = f"zz{i}"
+        docs[i] = " ".join(word(rng.randint(0, 60)) + (p if i % 2 == 0 else []) + word(50))
+    got = {r.doc_id: r for r in chains.fuzzy_passages(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+    assert all(got[i].n_spans > 0 and got[i].n_repeated >= 40 for i in range(2, 30, 2))
+    assert all(got[i].n_spans == 0 for i in [0, *range(1, 30, 2)])
+
+
+def test_chain_scores_against_all_predecessors():
+    rng = random.Random(5)
+    for _ in range(30):
+        m = sorted({(rng.randrange(60), rng.randrange(60)) for _ in range(25)})
+        best = {}
+        for a, b in m:
+            scores = [chains.SEED]
+            for x, y in best:
+                if x < a and y < b:
+                    scores.append(best[x, y] + min(chains.SEED, a - x, b - y) - chains.GAP_COST * (max(a - x - 6, 0) + max(b - y - 6, 0)))
+            best[a, b] = max(scores)
+        paths = chains.chain(m)
+        assert sorted(x for p in paths for x in p) == m
+        assert all(p[i][0] < p[i + 1][0] and p[i][1] < p[i + 1][1] for p in paths for i in range(len(p) - 1))
+
+
+def test_rules(docs, labels, edges):
+    got = {r.doc_id: r for r in rules.quality_rules(docs).collect()}
+    for i, t in texts(docs).items():
+        w = t.encode().split()
+        grams = Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+        covered = {k + d for k in range(len(w) - 4) if grams[tuple(w[k : k + 5])] > 1 for d in range(5)}
+        seen, dup = set(), 0
+        for line in t.split("\n"):
+            if line.encode().split():
+                dup += line in seen
+                seen.add(line)
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(len(x.decode()) for x in w), sum(t.count(c) for c in "#*$%&|<>"), dup, len(covered))
+        assert r.base_failed == (len(w) < 10 or 100 * len(covered) > 20 * len(w)) and not (r.base_failed and r.kept)
+    judged = [(r, got[r.doc_id]) for r in labels.collect() if r.doc_id in got and not got[r.doc_id].base_failed]
+    assert np.mean([g.kept for r, g in judged if r.quality == 1]) > 0.97
+    assert len(rules.quality_rules(edges).collect()) == len(EDGES)
+
+
+def test_quality(docs, labels, edges):
+    got = {r.doc_id: r for r in quality.classify(docs, labels).collect()}
+    right = [got[r.doc_id].kept == (r.quality == 1) for r in labels.collect() if r.doc_id in got]
+    assert np.mean(right) > 0.95
+    out = quality.classify(edges, labels).collect()
+    assert len(out) == len(EDGES) and all(0 <= r.score <= 1 for r in out)
+    assert not any(r.kept for r in out if not r.n_words)
+
+
+def test_bpe(spark, docs, edges):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    for df in (docs, edges):
+        want = Counter()
+        for i, text in df.select("doc_id", "text").collect():
+            ids = t.encode(text or "", add_special_tokens=False).ids
+            sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+            want[i, len(ids), sha(",".join(map(str, ids))), sha(t.decode(ids, skip_special_tokens=False))] += 1
+        assert Counter(tuple(r) for r in bpe.encode_digests(df, path).collect()) == want
+    back = bpe.decode(bpe.encode(docs, path), path)
+    assert {r.doc_id: r.text for r in back.collect()} == texts(docs)
+
+
+def test_bpe_pieces_against_the_library():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t, e = Tokenizer.from_file(path), bpe.Encoder(path)
+    rng = random.Random(1)
+    for alphabet in ("aab", "abcdeé ß\n\t'sthe0123日🙂", "=-_*/ ", "aeinorst ", "ab \x1c\x85　\n."):
+        for _ in range(300):
+            s = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 80)))
+            assert e.encode(s) == ",".join(map(str, t.encode(s, add_special_tokens=False).ids))
+
+
+@pytest.mark.parametrize("name", ["simhash", "suffixes", "mixing", "lines", "chains", "rules", "quality", "toxicity", "bpe"])
+def test_empty_and_odd_tables(spark, nothing, edges, labels, name):
+    run = {
+        "simhash": lambda d: simhash.near_duplicates(d),
+        "suffixes": suffixes.remove_repeats,
+        "mixing": mixing.mixed_documents,
+        "lines": lines.dedup_lines,
+        "chains": chains.fuzzy_passages,
+        "rules": rules.quality_rules,
+        "quality": lambda d: quality.classify(d, labels),
+        "toxicity": lambda d: toxicity.toxicity(d, labels),
+        "bpe": lambda d: bpe.encode_digests(d, public_tokenizers.path("byte_bpe_50k.json")),
+    }[name]
+    assert run(nothing).count() == 0
+    assert len(run(edges).collect()) == len(EDGES)
+    assert sorted(i for i, in run(edges).select(F.coalesce("doc_id", F.lit(-1))).collect()) == sorted(-1 if r[0] is None else r[0] for r in EDGES)
