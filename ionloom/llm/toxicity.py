@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ionloom.llm.common import materialize, text_batches
+from ionloom.llm.common import join_small, materialize, text_batches
 
 #: Labelled rows that the model is fitted on at most, those with the smallest hashes of their ids.
 FIT_ROWS = 20_000
@@ -79,12 +79,11 @@ def fit_words(bags: list[list[list[int]]], labels: np.ndarray, n_words: int, ste
     return theta, float(bias)
 
 
-def fit(train: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[dict[str, float], float]:
-    """Word weights and bias from train (doc_id, text, toxic). The driver gets WORDS words with their counts
-    and, of at most fit_rows documents, the indexes of those words by sentence."""
+def fit(train: DataFrame) -> tuple[dict[str, float], float]:
+    """Word weights and bias from train (text, toxic), whose number of rows the caller has bounded. The driver
+    gets WORDS words with their counts and, of each row, the indexes of those words by sentence."""
     text_batches(train.sparkSession)
-    picked = train.filter("toxic in (0, 1)").select(F.xxhash64("doc_id").alias("h"), "doc_id", F.col("toxic").cast("int").alias("toxic"), F.coalesce("text", F.lit("")).alias("text"))
-    picked = materialize(picked.orderBy("h", "doc_id").limit(fit_rows).select("toxic", "text"))
+    picked = materialize(train.filter("toxic in (0, 1)").select(F.col("toxic").cast("int").alias("toxic"), F.coalesce("text", F.lit("")).alias("text")))
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -141,8 +140,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Da
     not held out. Without labels of both kinds all scores are 0.
     """
     known = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic")).filter(~held_out())
-    sample = known.select("doc_id", "toxic", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(fit_rows).drop("h")
-    train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sample, "doc_id")
-    weights, bias = fit(train, fit_rows)
+    sample = materialize(known.filter("toxic in (0, 1)").select("doc_id", "toxic", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(fit_rows).drop("h"))
+    # ids are picked before texts are fetched, so no task gathers the sample's texts
+    train = join_small(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), sample, ["doc_id"], "inner")
+    weights, bias = fit(train)
     out = score(docs, weights, bias)
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
