@@ -167,8 +167,8 @@ def _links_of(group: np.ndarray, codes: np.ndarray, other: np.ndarray | None, pr
     blocks_with_probes[first[probe]] = True
     ask = np.flatnonzero(has_tree & (probe | ~blocks_with_probes[first]))
     left, right = [], []
-    for at in range(0, len(ask), 50_000):
-        asked = ask[at : at + 50_000]
+    for at in range(0, len(ask), 8_000):
+        asked = ask[at : at + 8_000]
         for q, node in search(codes_t, first, edges, codes[asked], place[first[asked]], radius):
             a, b = asked[q], in_tree[node]
             keep = a != b
@@ -207,7 +207,7 @@ def links(codes: DataFrame, radius: int, radius2: int | None = None, tree_nodes:
         keyed = keyed.withColumn("h", home).withColumn("top", top).withColumn("x", F.explode(F.concat(as_tree, as_probe))).select("node", "fp", *more, "t", "key", "x.a", "x.b", "x.probe")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, ["t", "key", "a", "b"]):
+        for table in whole_groups(batches, ["t", "key", "a", "b"], 50_000):
             col = {c: table.column(c).to_numpy() for c in ("node", "fp", *more, "t", "key", "a", "b")}
             changes = np.zeros(table.num_rows, bool)
             for c in ("t", "key", "a", "b"):
