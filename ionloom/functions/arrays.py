@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), value computed once a row. An expression that a higher-order function's lambda mentions is computed
+    anew for every element; bound, it is a variable there."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
 
 def scaled_to_max(a: Column) -> Column:
     """Each value over the largest; null where that is 0."""
-    return F.transform(a, lambda x: F.try_divide(x, F.array_max(a)))
+    return bound(F.array_max(a), lambda top: F.transform(a, lambda x: F.try_divide(x, top)))
 
 
 def nearest(mz: Column, target: Column) -> Column:
@@ -46,15 +54,15 @@ def cosine_distance(a: Column, b: Column) -> Column:
 
 def entropy(intensity: Column) -> Column:
     """Spectral entropy -sum p ln p of intensities; null for null, 0 for none."""
-    s = total(F.transform(intensity, lambda x: x.cast("double")))
-    return F.aggregate(intensity, F.lit(0.0), lambda acc, x: acc - F.when((x > 0) & (s > 0), (x / s) * F.ln(x / s)).otherwise(0.0))
+    part = lambda x, s: F.when((x > 0) & (s > 0), (x / s) * F.ln(x / s)).otherwise(0.0)
+    return bound(total(F.transform(intensity, lambda x: x.cast("double"))), lambda s: F.aggregate(intensity, F.lit(0.0), lambda acc, x: acc - part(x, s)))
 
 
 def entropy_weighted(intensity: Column) -> Column:
     """Intensities p**(0.25 + 0.25 S) for an entropy S under 3, summing to 1."""
-    s = entropy(intensity)
-    w = F.transform(intensity, lambda x: F.when(s < 3, F.pow(x / total(intensity), 0.25 + 0.25 * s)).otherwise(x / total(intensity)))
-    return F.transform(w, lambda x: x / total(w))
+    power = lambda x, v: F.when(v["s"] < 3, F.pow(x / v["t"], 0.25 + 0.25 * v["s"])).otherwise(x / v["t"])
+    w = bound(F.struct(entropy(intensity).alias("s"), total(intensity).alias("t")), lambda v: F.transform(intensity, lambda x: power(x, v)))
+    return bound(w, lambda w: bound(total(w), lambda t: F.transform(w, lambda x: x / t)))
 
 
 def entropy_similarity(mz_a: Column, int_a: Column, mz_b: Column, int_b: Column, tolerance: float) -> Column:
@@ -62,12 +70,15 @@ def entropy_similarity(mz_a: Column, int_a: Column, mz_b: Column, int_b: Column,
 
     -1 where a spectrum is null or empty. Peaks of one spectrum are taken to be further apart than the tolerance.
     """
-    a = F.arrays_zip(mz_a.alias("mz"), entropy_weighted(int_a).alias("p"))
-    b = F.arrays_zip(mz_b.alias("mz"), entropy_weighted(int_b).alias("p"))
+    peaks = lambda mz, i: F.arrays_zip(mz.alias("mz"), entropy_weighted(i).alias("p"))
+    score = bound(peaks(mz_a, int_a), lambda a: bound(peaks(mz_b, int_b), lambda b: _similarity(a, b, tolerance)))
+    return F.when((F.size(int_a) > 0) & (F.size(int_b) > 0), score).otherwise(F.lit(-1.0))
+
+
+def _similarity(a: Column, b: Column, tolerance: float) -> Column:
     h = lambda p: F.when(p > 0, -p * F.ln(p)).otherwise(0.0)
     matched = lambda x, other: total(F.transform(F.filter(other, lambda y: F.abs(y["mz"] - x["mz"]) <= tolerance), lambda y: y["p"]))
     s_a, s_b = (F.aggregate(v, F.lit(0.0), lambda s, x: s + h(x["p"])) for v in (a, b))
-    with_a = F.aggregate(a, F.lit(0.0), lambda s, x: s + h((x["p"] + matched(x, b)) / 2))
+    with_a = F.aggregate(a, F.lit(0.0), lambda s, x: s + bound((x["p"] + matched(x, b)) / 2, h))
     only_b = F.aggregate(F.filter(b, lambda y: ~F.exists(a, lambda x: F.abs(y["mz"] - x["mz"]) <= tolerance)), F.lit(0.0), lambda s, y: s + h(y["p"] / 2))
-    score = 1 - (2 * (with_a + only_b) - s_a - s_b) / F.lit(1.3862943611198906)
-    return F.when((F.size(int_a) > 0) & (F.size(int_b) > 0), score).otherwise(F.lit(-1.0))
+    return 1 - (2 * (with_a + only_b) - s_a - s_b) / F.lit(1.3862943611198906)

@@ -7,8 +7,12 @@ from dataclasses import dataclass, fields
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ionloom.functions import arrays
 from ionloom.functions.elements import DEFAULT_MAX, DEFAULT_MIN, ELEMENTS, INDEX, ISOTOPES, LEAST_TOLERANCE_MASS
 
+#: Elements whose counts are deduced.
+DEDUCED = ("C", "S", "Cl", "Br")
+
 
 @dataclass(frozen=True)
 class IsotopeConfig:
@@ -38,23 +42,30 @@ def deduce_bounds(mz: Column, ms1_mz: Column, ms1_intensity: Column, low: tuple[
     A precursor that is not in the MS1 spectrum gives -1 for those four, which excludes them from a search.
     A Cl count of two or more must also show in the M+4 peak, where that is expected to be visible.
     """
-    c = config
     scale = F.greatest(mz, F.lit(LEAST_TOLERANCE_MASS)) * 1e-6
-    peak = _strongest(ms1_mz, ms1_intensity, mz, scale * c.mass_tolerance_ppm)
-    base_mz, base = peak["m"], peak["i"]
-    tol = scale * c.isotope_tolerance_ppm
+    tol = scale * config.isotope_tolerance_ppm
+
+    def heavies(peak: Column) -> Column:
+        """The isotope peaks' intensities, a field for each element and Cl4 for two heavy Cl."""
+        at = {**{e: ISOTOPES[e][0] for e in DEDUCED}, "Cl4": 2 * ISOTOPES["Cl"][0]}
+        return F.struct(*[F.coalesce(_strongest(ms1_mz, ms1_intensity, peak["m"] + d, tol)["i"], F.lit(0.0)).alias(e) for e, d in at.items()])
+
+    peak = _strongest(ms1_mz, ms1_intensity, mz, scale * config.mass_tolerance_ppm)
+    return arrays.bound(peak, lambda p: arrays.bound(heavies(p), lambda h: _bounds(p, h, low, high, config)))
+
+
+def _bounds(peak: Column, heavies: Column, low: tuple[int, ...], high: tuple[int, ...], c: IsotopeConfig) -> Column:
     bounds: dict[str, tuple[Column, Column]] = {}
-    for e in ("C", "S", "Cl", "Br"):
-        delta, p0, p1 = ISOTOPES[e]
-        heavy = F.coalesce(_strongest(ms1_mz, ms1_intensity, base_mz + delta, tol)["i"], F.lit(0.0))
-        unit = F.lit(p0) / (F.lit(p1) * base)
+    for e in DEDUCED:
+        _, p0, p1 = ISOTOPES[e]
+        heavy = heavies[e]
+        unit = F.lit(p0) / (F.lit(p1) * peak["i"])
         seen = heavy >= c.minimum_intensity
         lower = F.ceil(F.when(seen, (heavy * (1 - c.relative_tolerance) - c.absolute_tolerance) * unit).otherwise(0.0))
         upper = F.floor(F.when(seen, (heavy * (1 + c.relative_tolerance) + c.absolute_tolerance) * unit).otherwise(c.minimum_intensity * unit))
         if e == "Cl":
-            fourth = F.coalesce(_strongest(ms1_mz, ms1_intensity, base_mz + 2 * delta, tol)["i"], F.lit(0.0))
             expected = F.lit(p1 / (2 * p0)) * heavy
-            off = (lower > 0) & (upper >= 2) & (expected >= c.minimum_intensity) & (F.abs(fourth / F.greatest(heavy, F.lit(1e-300)) / (p1 / (2 * p0)) - 1) > c.relative_tolerance)
+            off = (lower > 0) & (upper >= 2) & (expected >= c.minimum_intensity) & (F.abs(heavies["Cl4"] / F.greatest(heavy, F.lit(1e-300)) / (p1 / (2 * p0)) - 1) > c.relative_tolerance)
             lower, upper = F.when(off, 0).otherwise(lower), F.when(off, 1).otherwise(upper)
         lost = peak.isNull()
         bounds[e] = (F.when(lost, -1).otherwise(F.greatest(lower, F.lit(0))).cast("int"), F.when(lost, -1).otherwise(upper).cast("int"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ionloom.functions import arrays, formula
-from ionloom.functions.elements import ELEMENTS, INDEX, MASSES
+from ionloom.functions.elements import ELEMENTS, INDEX, ISOTOPES, MASSES
 from ionloom.operators import chromatogram, decompose, isotopes, libraries, scores
 from ionloom.sources import annotators, spectra
 
@@ -415,3 +415,134 @@ def json_fragment_fields(spark, sf_dir):
     body = F.concat(F.lit('[{"mz":'), k, F.lit(',"intensity":'), (k.cast("int") + 1).cast("string"), F.lit("}]"))
     f = annotators.fragments(body)
     return table(spark, sf_dir, "events").select("event_id", f["fragment_mz"][0].alias("mz"), f["fragment_intensity"][0].alias("intensity"))
+
+
+# compositions
+
+FRAGMENTS = ({"C": 6, "H": 6}, {"C": 2, "H": 4, "O": 1}, {"C": 1, "H": 4, "N": 1})
+PIECE_SQL = "piece AS (SELECT * FROM (VALUES (1, 6 * 12e0 + 6 * 1.007825e0), (2, 2 * 12e0 + 4 * 1.007825e0 + 15.994915e0), (3, 12e0 + 4 * 1.007825e0 + 14.003074e0)) v(piece, exact))"
+#: Fragments of a candidate: formulas within it, at most 5 ppm of 200 away.
+INSIDE_SQL = "s.h <= l.h AND s.c <= l.c AND s.n <= l.n AND s.o <= l.o AND 2 + 2 * s.c + s.n - s.h <= 60 AND abs(s.m - exact * (1 + (p_partkey % 5 - 2) * 1e-6)) <= 1e-3"
+
+
+def pieces(shift: float = 0.0) -> Column:
+    """Three fragments' m/z with an error of up to 2 ppm."""
+    off = 1 + (F.col("p_partkey") % 5 - 2) * 1e-6
+    return F.array(*[F.lit(sum(MASSES[INDEX[e]] * n for e, n in f.items())) * off + shift for f in FRAGMENTS])
+
+
+@query(f"""WITH {LATTICE}, {PIECE_SQL}, sub AS (SELECT lat.* FROM lat WHERE m < 90)
+SELECT p_partkey, l.name AS formula, count(s.m) AS n_fragment_formulas
+FROM part LEFT JOIN (SELECT *, {NAME_SQL} AS name FROM lat) l ON abs(l.m - {MASS_SQL}) <= greatest({MASS_SQL}, 200e0) * 5e0 / 1e6 CROSS JOIN piece LEFT JOIN sub s ON {INSIDE_SQL} GROUP BY ALL""")
+def decompose_spectra_unknown(spark, sf_dir):
+    decompose.batches_for_lists(spark)
+    parts = masses(spark, sf_dir).select("p_partkey", "mass", pieces().alias("mz"))
+    found = decompose.decompose_spectra(parts, "mass", "mz", 5.0, {}, BOUNDS)
+    name = F.when(F.col("formula").isNotNull(), formula.write(F.col("formula")))
+    return found.select("p_partkey", name.alias("formula"), F.size(F.flatten("fragment_formulas")).cast("long").alias("n_fragment_formulas"))
+
+
+# isotope peaks: an order's key sets the counts
+
+COUNTS = {"C": 30, "S": 3, "Cl": 4, "Br": 2}
+
+
+def ms1(key: Column, mz: Column, base: Column) -> tuple[Column, Column]:
+    """m/z and intensities of a precursor with key % k atoms of each element, the second Cl peak only for even keys."""
+    at, height = [mz], [base]
+    for e, k in COUNTS.items():
+        d, p0, p1 = ISOTOPES[e]
+        at.append(mz + d)
+        height.append(base * (key % k) * F.lit(p1 / p0))
+    d, p0, p1 = ISOTOPES["Cl"]
+    at.append(mz + 2 * d)
+    height.append(F.when(key % 2 == 0, height[3] * F.lit(p1 / (2 * p0))).otherwise(0.0))
+    return F.array(*at), F.array(*height)
+
+
+def _count_sql(e: str, k: int) -> str:
+    _, p0, p1 = ISOTOPES[e]
+    unit, heavy = f"({p0}e0 / ({p1}e0 * base))", f"(base * (k % {k}) * {p1 / p0!r}e0)"
+    low = f"CASE WHEN {heavy} >= 5e4 THEN greatest(ceil(({heavy} * 0.95e0 - 5e4) * {unit}), 0) ELSE 0 END"
+    high = f"CASE WHEN {heavy} >= 5e4 THEN floor(({heavy} * 1.05e0 + 5e4) * {unit}) ELSE floor(5e4 * {unit}) END"
+    if e == "Cl":
+        off = f"k % 2 = 1 AND {low} > 0 AND {high} >= 2"
+        low, high = f"CASE WHEN {off} THEN 0 ELSE {low} END", f"CASE WHEN {off} THEN 1 ELSE {high} END"
+    return f"({low})::INT AS min_{e.lower()}, ({high})::INT AS max_{e.lower()}"
+
+
+@query(f"WITH x AS (SELECT o_orderkey, o_orderkey AS k, 1e8 * (1 + o_orderkey % 7) AS base FROM orders) SELECT o_orderkey, {', '.join(_count_sql(e, k) for e, k in COUNTS.items())} FROM x")
+def isotope_bounds(spark, sf_dir):
+    key = F.col("o_orderkey")
+    mz, i = ms1(key, 200 + key % 50, 1e8 * (1 + key % 7))
+    b = table(spark, sf_dir, "orders").select("o_orderkey", isotopes.deduce_bounds((200 + key % 50).cast("double"), mz, i).alias("b"))
+    return b.select("o_orderkey", *[F.col(f"b.{side}")[INDEX[e]].alias(f"{side}_{e.lower()}") for e in COUNTS for side in ("min", "max")])
+
+
+@query("""SELECT o_orderkey, (c = 0 OR n > 0 AND n / c BETWEEN 1 / 2.1e0 AND 2.1e0) AND (s = 0 OR m > 0 AND m / s BETWEEN 1 / 2.1e0 AND 2.1e0) AS fits
+FROM (SELECT o_orderkey, (o_orderkey % 30)::DOUBLE AS n, o_orderkey % 30 + o_orderkey % 11 AS c, (o_orderkey % 3)::DOUBLE AS m, o_orderkey % 3 + CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS s FROM orders)""")
+def isotope_fits(spark, sf_dir):
+    key = F.col("o_orderkey")
+    mz, i = ms1(key, 200 + key % 50, F.lit(1e8))
+    claimed = {"C": key % 30 + key % 11, "S": key % 3 + F.when(key % 5 == 0, 1).otherwise(0), "Cl": key % 4, "Br": key % 2}
+    f = F.array(*[(claimed[e] if e in claimed else F.lit(0)).cast("int") for e in ELEMENTS])
+    fits = isotopes.fits_pattern(f, (200 + key % 50).cast("double"), mz, i, isotopes.IsotopeConfig(ratio_tolerance=2.1))
+    return table(spark, sf_dir, "orders").select("o_orderkey", fits.alias("fits"))
+
+
+@query(f"""WITH {LATTICE}, {PIECE_SQL}, x AS (SELECT p_partkey, {MASS_SQL} AS mass, ceil((1e8 * (8 + p_partkey % 4) * 0.95e0 * 0.0107e0 / 0.9893e0 - 5e4) * 0.9893e0 / 0.0107e0 / 1e8) AS lo,
+  floor((1e8 * (8 + p_partkey % 4) * 1.05e0 * 0.0107e0 / 0.9893e0 + 5e4) * 0.9893e0 / 0.0107e0 / 1e8) AS hi FROM part), sub AS (SELECT lat.* FROM lat WHERE m < 90)
+SELECT p_partkey, count(DISTINCT l.m) AS n_formulas, count(DISTINCT CASE WHEN s.m IS NOT NULL THEN l.m * 10 + piece END) AS n_fragments
+FROM x LEFT JOIN lat l ON abs(l.m - mass) <= greatest(mass, 200e0) * 3e-6 AND l.c BETWEEN lo AND hi CROSS JOIN piece LEFT JOIN sub s ON {INSIDE_SQL} GROUP BY p_partkey""")
+def annotate_pipeline(spark, sf_dir):
+    decompose.batches_for_lists(spark)
+    ion = F.col("mass") + F.lit(MASSES[INDEX["H"]])
+    d, p0, p1 = ISOTOPES["C"]
+    peaks = masses(spark, sf_dir).select("p_partkey", ion.alias("precursor_mz"), pieces(MASSES[INDEX["H"]]).alias("mz"), F.array(*[F.lit(1.0)] * 3).alias("intensity"),
+                                         F.array(ion, ion + d).alias("ms1_mz"), F.array(F.lit(1e8), 1e8 * (8 + F.col("p_partkey") % 4) * F.lit(p1 / p0)).alias("ms1_intensity"))
+    found = chromatogram.annotate_formulas(peaks, {}, BOUNDS, 3.0, 5.0, 1e3)
+    return found.groupBy("p_partkey").agg(F.count("formula").alias("n_formulas"), F.sum(F.size("cleaned.masses_normalized")).alias("n_fragments"))
+
+
+# pairs of spectra
+
+@query("""WITH s AS (SELECT l_orderkey, l_partkey % 2 = 0 AS both_, l_quantity AS a, 51 - l_quantity AS b FROM lineitem), t AS (SELECT l_orderkey, sum(a) AS ta, sum(b) AS tb FROM s GROUP BY 1),
+e AS (SELECT l_orderkey, -sum(a / ta * ln(a / ta)) AS ea, -sum(b / tb * ln(b / tb)) AS eb, any_value(ta) AS ta, any_value(tb) AS tb FROM s JOIN t USING (l_orderkey) GROUP BY 1),
+w AS (SELECT l_orderkey, both_, CASE WHEN ea < 3 THEN (a / ta) ** (0.25e0 + 0.25e0 * ea) ELSE a / ta END AS wa, CASE WHEN eb < 3 THEN (b / tb) ** (0.25e0 + 0.25e0 * eb) ELSE b / tb END AS wb FROM s JOIN e USING (l_orderkey)),
+n AS (SELECT *, wa / sum(wa) OVER (PARTITION BY l_orderkey) AS p, wb / sum(wb) OVER (PARTITION BY l_orderkey) AS q FROM w)
+SELECT l_orderkey, round(1 - (2 * sum(CASE WHEN both_ THEN -(p + q) / 2 * ln((p + q) / 2) ELSE -p / 2 * ln(p / 2) - q / 2 * ln(q / 2) END) + sum(p * ln(p)) + sum(q * ln(q))) / ln(4), 6) + 0 AS similarity FROM n GROUP BY l_orderkey""")
+def entropy_similarity(spark, sf_dir):
+    """An order's lines as two spectra: quantities against 51 less them, where only even parts share their m/z."""
+    mz = F.col("l_extendedprice") / 1000
+    peak = F.struct(mz.alias("a"), F.when(F.col("l_partkey") % 2 == 0, mz).otherwise(mz + 500).alias("b"), F.col("l_quantity").alias("i"))
+    s = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(peak)).alias("p"))
+    score = arrays.entropy_similarity(F.col("p.a"), F.col("p.i"), F.col("p.b"), F.transform("p.i", lambda x: 51 - x), 1e-7)
+    return s.select("l_orderkey", (r6(score) + 0).alias("similarity"))
+
+
+@query(f"""WITH {EVENT_SQL}, f AS (SELECT *, CASE WHEN peak_id % 3 > 0 THEN peak_id % 4 END AS spec FROM e), s AS (SELECT * FROM f WHERE event_type <> 'error'), b AS (SELECT * FROM f WHERE event_type = 'error')
+SELECT peak_id, round(mz, 6) AS mz FROM s WHERE NOT EXISTS (SELECT 1 FROM b WHERE abs(s.mz / b.mz - 1) <= 1e-3 AND s.height < 5 * b.height
+  AND CASE WHEN s.spec IS NOT NULL AND b.spec IS NOT NULL THEN abs(s.rt - b.rt) < 2000 AND s.spec = b.spec ELSE abs(s.rt - b.rt) < 1000 END)""")
+def blank_subtract_ms2(spark, sf_dir):
+    e = event_peaks(spark, sf_dir)
+    has = F.col("peak_id") % 3 > 0
+    e = e.withColumn("mz", F.when(has, F.array((50 + F.col("peak_id") % 4).cast("double")))).withColumn("intensity", F.when(has, F.array(F.lit(1.0))))
+    cfg = chromatogram.BlankConfig(ms1_mass_tolerance=1e-3, rt_tolerance=1000.0, rt_tolerance_ms2=2000.0, height_ratio=5.0)
+    cols = ["peak_id", "rt_min", "precursor_mz", "height", "mz", "intensity"]
+    left = chromatogram.subtract_blank(e.filter("event_type <> 'error'").select(cols), e.filter("event_type = 'error'").select(cols), cfg)
+    return left.select("peak_id", r6(F.col("precursor_mz")).alias("mz"))
+
+
+# joins to dimensions, slices
+
+@query("SELECT c_custkey, n_name AS inchi, n_regionkey::VARCHAR AS smiles FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_regionkey < 3")
+def structure_enrichment(spark, sf_dir):
+    key = lambda c: F.concat(F.lit("K"), F.col(c)).alias("InChIKey")
+    known = table(spark, sf_dir, "nation").filter("n_regionkey < 3").select(key("n_nationkey"), F.col("n_name").alias("InChI"), F.col("n_regionkey").cast("string").alias("SMILES"))
+    out = libraries.add_structures(table(spark, sf_dir, "customer").select("c_custkey", key("c_nationkey")), known)
+    return out.select("c_custkey", F.col("InChI").alias("inchi"), F.col("SMILES").alias("smiles"))
+
+
+@query("SELECT event_id, value FROM events ORDER BY event_id LIMIT 100 OFFSET 50")
+def slice_rows(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", "value").orderBy("event_id").offset(50).limit(100)
