@@ -419,6 +419,16 @@ def json_fragment_fields(spark, sf_dir):
 
 # compositions
 
+#: Masses of C(8..11)H(10..18)N(0, 2)O(0..6) by key, up to 1 ppm off.
+BUILT = {"C": lambda k: 8 + k % 4, "H": lambda k: 10 + 2 * (k % 5), "N": lambda k: 2 * (k % 2), "O": lambda k: k % 7}
+BUILT_SQL = "(((10 + 2 * (p_partkey % 5)) * 1.007825e0 + (8 + p_partkey % 4) * 12e0 + 2 * (p_partkey % 2) * 14.003074e0 + (p_partkey % 7) * 15.994915e0) * (1 + (p_partkey % 3 - 1) * 1e-6))"
+
+
+def built_masses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    exact = sum((BUILT[e](F.col("p_partkey")) * MASSES[INDEX[e]] for e in ("H", "C", "N", "O")), F.lit(0.0))
+    return table(spark, sf_dir, "part").select("p_partkey", (exact * (1 + (F.col("p_partkey") % 3 - 1) * 1e-6)).alias("mass"))
+
+
 FRAGMENTS = ({"C": 6, "H": 6}, {"C": 2, "H": 4, "O": 1}, {"C": 1, "H": 4, "N": 1})
 PIECE_SQL = "piece AS (SELECT * FROM (VALUES (1, 6 * 12e0 + 6 * 1.007825e0), (2, 2 * 12e0 + 4 * 1.007825e0 + 15.994915e0), (3, 12e0 + 4 * 1.007825e0 + 14.003074e0)) v(piece, exact))"
 #: Fragments of a candidate: formulas within it, at most 5 ppm of 200 away.
@@ -433,10 +443,10 @@ def pieces(shift: float = 0.0) -> Column:
 
 @query(f"""WITH {LATTICE}, {PIECE_SQL}, sub AS (SELECT lat.* FROM lat WHERE m < 90)
 SELECT p_partkey, l.name AS formula, count(s.m) AS n_fragment_formulas
-FROM part LEFT JOIN (SELECT *, {NAME_SQL} AS name FROM lat) l ON abs(l.m - {MASS_SQL}) <= greatest({MASS_SQL}, 200e0) * 5e0 / 1e6 CROSS JOIN piece LEFT JOIN sub s ON {INSIDE_SQL} GROUP BY ALL""")
+FROM part LEFT JOIN (SELECT *, {NAME_SQL} AS name FROM lat) l ON abs(l.m - {BUILT_SQL}) <= greatest({BUILT_SQL}, 200e0) * 5e0 / 1e6 CROSS JOIN piece LEFT JOIN sub s ON {INSIDE_SQL} GROUP BY ALL""")
 def decompose_spectra_unknown(spark, sf_dir):
     decompose.batches_for_lists(spark)
-    parts = masses(spark, sf_dir).select("p_partkey", "mass", pieces().alias("mz"))
+    parts = built_masses(spark, sf_dir).select("p_partkey", "mass", pieces().alias("mz"))
     found = decompose.decompose_spectra(parts, "mass", "mz", 5.0, {}, BOUNDS)
     name = F.when(F.col("formula").isNotNull(), formula.write(F.col("formula")))
     return found.select("p_partkey", name.alias("formula"), F.size(F.flatten("fragment_formulas")).cast("long").alias("n_fragment_formulas"))
@@ -490,7 +500,7 @@ def isotope_fits(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", fits.alias("fits"))
 
 
-@query(f"""WITH {LATTICE}, {PIECE_SQL}, x AS (SELECT p_partkey, {MASS_SQL} AS mass, ceil((1e8 * (8 + p_partkey % 4) * 0.95e0 * 0.0107e0 / 0.9893e0 - 5e4) * 0.9893e0 / 0.0107e0 / 1e8) AS lo,
+@query(f"""WITH {LATTICE}, {PIECE_SQL}, x AS (SELECT p_partkey, {BUILT_SQL} AS mass, ceil((1e8 * (8 + p_partkey % 4) * 0.95e0 * 0.0107e0 / 0.9893e0 - 5e4) * 0.9893e0 / 0.0107e0 / 1e8) AS lo,
   floor((1e8 * (8 + p_partkey % 4) * 1.05e0 * 0.0107e0 / 0.9893e0 + 5e4) * 0.9893e0 / 0.0107e0 / 1e8) AS hi FROM part), sub AS (SELECT lat.* FROM lat WHERE m < 90)
 SELECT p_partkey, count(DISTINCT l.m) AS n_formulas, count(DISTINCT CASE WHEN s.m IS NOT NULL THEN l.m * 10 + piece END) AS n_fragments
 FROM x LEFT JOIN lat l ON abs(l.m - mass) <= greatest(mass, 200e0) * 3e-6 AND l.c BETWEEN lo AND hi CROSS JOIN piece LEFT JOIN sub s ON {INSIDE_SQL} GROUP BY p_partkey""")
@@ -498,7 +508,7 @@ def annotate_pipeline(spark, sf_dir):
     decompose.batches_for_lists(spark)
     ion = F.col("mass") + F.lit(MASSES[INDEX["H"]])
     d, p0, p1 = ISOTOPES["C"]
-    peaks = masses(spark, sf_dir).select("p_partkey", ion.alias("precursor_mz"), pieces(MASSES[INDEX["H"]]).alias("mz"), F.array(*[F.lit(1.0)] * 3).alias("intensity"),
+    peaks = built_masses(spark, sf_dir).select("p_partkey", ion.alias("precursor_mz"), pieces(MASSES[INDEX["H"]]).alias("mz"), F.array(*[F.lit(1.0)] * 3).alias("intensity"),
                                          F.array(ion, ion + d).alias("ms1_mz"), F.array(F.lit(1e8), 1e8 * (8 + F.col("p_partkey") % 4) * F.lit(p1 / p0)).alias("ms1_intensity"))
     found = chromatogram.annotate_formulas(peaks, {}, BOUNDS, 3.0, 5.0, 1e3)
     return found.groupBy("p_partkey").agg(F.count("formula").alias("n_formulas"), F.sum(F.size("cleaned.masses_normalized")).alias("n_fragments"))
