@@ -15,7 +15,8 @@ from ionloom.llm.queries import TOKENIZER
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Near copies: five-word shingles. Texts whose shingle sets have a similarity of 0.8 differ in 10 of 64 bits in
-#: the mean, so that is the radius; a second fingerprint keeps out unrelated texts that meet by chance.
+#: the mean, so that is the radius for one of two fingerprints; the other, within RADIUS2, keeps out unrelated
+#: texts that meet by chance.
 WORDS, RADIUS, RADIUS2 = 5, 10, 14
 
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ionloom.llm.common import components, join_small, materialize, text_batches, whole_groups
+from ionloom.llm.common import components, join_small, materialize, release, text_batches, whole_groups
 
 SEED = 42
 #: Nodes of a shard's tree; a larger shard is cut into blocks of this size that are searched pairwise.
@@ -224,7 +224,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 10, radius2:
     """doc_id, fp (with radius2 also fp2) and component_id (the smallest doc_id reachable by links, itself included) of every row.
 
     Texts are linked if their fingerprints differ in radius bits at most. At a large radius unrelated texts
-    meet by chance, so with radius2 a second fingerprint from other hashes must agree up to radius2 bits as well.
+    meet by chance and near copies miss each other by chance, so with radius2 there are two fingerprints from
+    different hashes, of which one must differ in radius bits at most, whichever, and the other in radius2.
     docs: doc_id, text; other columns are ignored. A null or empty text has the fingerprint 0 and links as
     any other. A row with a null doc_id shares the component of the documents with its fingerprint; without
     such its component is null. Repeated rows come back as often as they came. An empty table gives an empty
@@ -233,7 +234,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 10, radius2:
     own = ["fp"] if radius2 is None else ["fp", "fp2"]
     fps = materialize(fingerprints(docs, words, (SEED,) if radius2 is None else (SEED, SEED + 1)))
     codes = materialize(fps.groupBy(*own).agg(F.min("doc_id").alias("node")).filter("node is not null"))
-    found = components(links(codes, radius, radius2)).withColumnRenamed("u", "node")
+    edges = links(codes, radius, radius2)
+    if radius2 is not None:
+        edges = materialize(edges)
+        release(docs.sparkSession)
+        edges = edges.unionByName(links(codes.select("node", F.col("fp2").alias("fp"), F.col("fp").alias("fp2")), radius, radius2))
+    found = components(edges).withColumnRenamed("u", "node")
     key = F.col("node").bitwiseXOR(F.lit(1)).alias("k")
     classes = codes.select("*", key).join(found.select(key, "component"), "k", "left").select(*own, F.coalesce("component", "node").alias("component_id"))
     return fps.join(classes, own, "left").select("doc_id", *own, "component_id")

@@ -43,7 +43,8 @@ def test_stages(spark, outputs):
     group = {i: i for i in fps}
     for i in sorted(fps):
         for j in sorted(fps):
-            if i < j and (fps[i][0] ^ fps[j][0]).bit_count() <= p.RADIUS and (fps[i][1] ^ fps[j][1]).bit_count() <= p.RADIUS2:
+            low, high = sorted((x ^ y).bit_count() for x, y in zip(fps[i], fps[j]))
+            if i < j and low <= p.RADIUS and high <= p.RADIUS2:
                 a, b = sorted((group[i], group[j]))
                 group = {k: a if g == b else g for k, g in group.items()}
     assert {*by_id(single)} == {i for i, g in group.items() if i == g}
