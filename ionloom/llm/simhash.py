@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ionloom.llm.common import components, join_small, materialize, release, text_batches, whole_groups
+from ionloom.llm.common import components, join_small, materialize, mixed, release, text_batches, whole_groups
 
 SEED = 42
 #: Nodes of a shard's tree; a larger shard is cut into blocks of this size that are searched pairwise.
@@ -79,11 +79,11 @@ def sharding(n: int, radius: int) -> tuple[int, int]:
     return found
 
 
-def shard_keys(fp: Column, blocks: int, equal: int) -> Column:
-    """An array of (shard table, key): the bits of each choice of `equal` blocks."""
+def shard_keys(fp: Column, blocks: int, equal: int, tables: slice = slice(None)) -> Column:
+    """An array of (shard table, key): the bits of each choice of `equal` blocks, or of the choices in `tables`."""
     cuts = [64 * i // blocks for i in range(blocks + 1)]
     out = []
-    for t, choice in enumerate(combinations(range(blocks), equal)):
+    for t, choice in list(enumerate(combinations(range(blocks), equal)))[tables]:
         mask = sum(((1 << (cuts[i + 1] - cuts[i])) - 1) << cuts[i] for i in choice)
         mask -= 1 << 64 if mask >> 63 else 0
         out.append(F.struct(F.lit(t).alias("t"), fp.bitwiseAND(F.lit(mask).cast("long")).alias("key")))
@@ -152,9 +152,24 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _links_of(group: np.ndarray, codes: np.ndarray, other: np.ndarray | None, probe: np.ndarray, radius: int, radius2: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows' indexes (row, root of its component in the shard) for rows that have a link."""
+def spanning(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what (a, b) connect, one for each index but the smallest of its component."""
+    label = roots(n, a, b)
+    rows = np.flatnonzero(label != np.arange(n))
+    return rows, label[rows]
+
+
+def _links_of(group: np.ndarray, codes: np.ndarray, other: np.ndarray | None, probe: np.ndarray, node: np.ndarray, radius: int, radius2: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of nodes (node, smallest node of its component in these shards) for nodes that have a link to another."""
+    start = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    several = np.minimum.reduceat(node, start) != np.maximum.reduceat(node, start)
+    use = np.repeat(several, np.diff(np.append(start, len(codes))))  # a group of one node has nothing to link
+    group, codes, probe, node = group[use], codes[use], probe[use], node[use]
+    other = other[use] if other is not None else None
     n = len(codes)
+    if not n:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    names, place_of = np.unique(node, return_inverse=True)
     start = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
     first = np.repeat(start, np.diff(np.append(start, n)))  # a group's tree rows come first
     in_tree = np.flatnonzero(~probe)
@@ -166,40 +181,46 @@ def _links_of(group: np.ndarray, codes: np.ndarray, other: np.ndarray | None, pr
     blocks_with_probes = np.zeros(n, bool)
     blocks_with_probes[first[probe]] = True
     ask = np.flatnonzero(has_tree & (probe | ~blocks_with_probes[first]))
-    left, right = [], []
+    left, right, held = [], [], 0
     for at in range(0, len(ask), 8_000):
         asked = ask[at : at + 8_000]
-        for q, node in search(codes_t, first, edges, codes[asked], place[first[asked]], radius):
-            a, b = asked[q], in_tree[node]
-            keep = a != b
+        for q, found in search(codes_t, first, edges, codes[asked], place[first[asked]], radius):
+            a, b = asked[q], in_tree[found]
+            keep = place_of[a] != place_of[b]
             if other is not None:
                 keep &= np.bitwise_count(other[a] ^ other[b]) <= radius2
-            left.append(a[keep])
-            right.append(b[keep])
+            left.append(place_of[a[keep]])
+            right.append(place_of[b[keep]])
+            held += len(left[-1])
+            if held > 1_000_000:
+                a, b = spanning(len(names), np.concatenate(left), np.concatenate(right))
+                left, right, held = [a], [b], 0
     if not left:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    a, b = np.concatenate(left), np.concatenate(right)
-    label = roots(n, a, b)
-    rows = np.flatnonzero(label != np.arange(n))
-    return rows, label[rows]
+    a, b = spanning(len(names), np.concatenate(left), np.concatenate(right))
+    return names[a], names[b]
 
 
-def links(codes: DataFrame, radius: int, radius2: int | None = None, tree_nodes: int = TREE_NODES) -> DataFrame:
-    """Edges (u, v) that connect what is connected by pairs of codes within radius bits.
+def links(codes: DataFrame, radius: int, radius2: int | None = None, tree_nodes: int = TREE_NODES, part: str = "all") -> DataFrame:
+    """Edges (u, v) between nodes that connect what is connected by pairs of codes within radius bits.
 
-    codes: node long, fp long (distinct), and with radius2 also fp2 long, a second fingerprint in
-    which a pair may differ by radius2 bits at most. A shard answers with one edge for each linked
-    row, to its component in the shard, never with all its pairs.
+    codes: node long, fp long, and with radius2 also fp2 long, a second fingerprint in which a pair
+    may differ by radius2 bits at most. Codes of one node count as linked, so a shard that holds one
+    node is not searched. Shards answer with one edge for each linked node, never with all their
+    pairs. part: "first" takes the shards that hold to the first block, "rest" the others.
     """
     spark = codes.sparkSession
     more = [] if radius2 is None else ["fp2"]
     blocks, equal = sharding(codes.count(), radius)
-    keyed = codes.select("node", "fp", *more, F.explode(shard_keys(F.col("fp"), blocks, equal)).alias("s")).select("node", "fp", *more, "s.t", "s.key")
-    heavy = materialize(keyed.groupBy("t", "key").count().filter(F.col("count") > tree_nodes).select("t", "key", F.ceil(F.col("count") / (tree_nodes // 2)).cast("int").alias("k")))
+    ahead = comb(blocks - 1, equal - 1)
+    tables = {"all": slice(None), "first": slice(ahead), "rest": slice(ahead, None)}[part]
+    keyed = codes.select("node", "fp", *more, F.explode(shard_keys(F.col("fp"), blocks, equal, tables)).alias("s")).select("node", "fp", *more, "s.t", "s.key")
+    large = keyed.groupBy("t", "key").agg(F.count("*").alias("n"), (F.min("node") == F.max("node")).alias("one")).filter(F.col("n") > tree_nodes)
+    heavy = materialize(large.select("t", "key", "one", F.ceil(F.col("n") / (tree_nodes // 2)).cast("int").alias("k")))
     if heavy.isEmpty():
         keyed = keyed.select("*", F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(False).alias("probe"))
     else:
-        keyed = join_small(keyed, heavy, ["t", "key"])
+        keyed = join_small(keyed, heavy, ["t", "key"]).filter(~F.coalesce("one", F.lit(False)))
         home = F.coalesce(F.pmod(F.xxhash64("fp", F.lit(7)), F.col("k")), F.lit(0)).cast("int")
         top = F.coalesce(F.col("k") - 1, F.lit(0))
         as_tree = F.transform(F.sequence(F.lit(0), F.col("h")), lambda a: F.struct(a.alias("a"), F.col("h").alias("b"), F.lit(False).alias("probe")))
@@ -213,8 +234,8 @@ def links(codes: DataFrame, radius: int, radius2: int | None = None, tree_nodes:
             for c in ("t", "key", "a", "b"):
                 changes[1:] |= col[c][1:] != col[c][:-1]
             probe = table.column("probe").to_numpy(zero_copy_only=False).astype(bool)
-            rows, root = _links_of(np.cumsum(changes), col["fp"].view(np.uint64), col["fp2"].view(np.uint64) if more else None, probe, radius, radius2 or 0)
-            yield pa.RecordBatch.from_arrays([pa.array(col["node"][rows]), pa.array(col["node"][root])], names=["u", "v"])
+            u, v = _links_of(np.cumsum(changes), col["fp"].view(np.uint64), col["fp2"].view(np.uint64) if more else None, probe, col["node"], radius, radius2 or 0)
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     dealt = keyed.repartition("t", "key", "a", "b").sortWithinPartitions("t", "key", "a", "b", "probe")
     return dealt.mapInArrow(run, "u long, v long")
@@ -234,12 +255,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 10, radius2:
     own = ["fp"] if radius2 is None else ["fp", "fp2"]
     fps = materialize(fingerprints(docs, words, (SEED,) if radius2 is None else (SEED, SEED + 1)))
     codes = materialize(fps.groupBy(*own).agg(F.min("doc_id").alias("node")).filter("node is not null"))
-    edges = links(codes, radius, radius2)
-    if radius2 is not None:
-        edges = materialize(edges)
+    # What one pass connects is one node in the next, which has to find only what is still apart.
+    passes = [("fp", "first"), ("fp", "rest")] + [("fp2", "all")] * (radius2 is not None)
+    for by, part in passes:
+        turned = codes if by == "fp" else codes.select("node", F.col("fp2").alias("fp"), F.col("fp").alias("fp2"))
+        found = components(links(turned, radius, radius2, part=part)).select(mixed(F.col("u")).alias("k"), "component")
+        codes = materialize(codes.withColumn("k", mixed(F.col("node"))).join(found, "k", "left").select(*own, F.coalesce("component", "node").alias("node")))
         release(docs.sparkSession)
-        edges = edges.unionByName(links(codes.select("node", F.col("fp2").alias("fp"), F.col("fp").alias("fp2")), radius, radius2))
-    found = components(edges).withColumnRenamed("u", "node")
-    key = F.col("node").bitwiseXOR(F.lit(1)).alias("k")
-    classes = codes.select("*", key).join(found.select(key, "component"), "k", "left").select(*own, F.coalesce("component", "node").alias("component_id"))
-    return fps.join(classes, own, "left").select("doc_id", *own, "component_id")
+    return fps.join(codes.withColumnRenamed("node", "component_id"), own, "left").select("doc_id", *own, "component_id")
