@@ -113,6 +113,26 @@ def test_simhash_large_shards_are_cut(spark):
     assert {i: found.get(i, i) for i in codes} == want
 
 
+@pytest.mark.parametrize("tree_nodes", [16, 4096])
+def test_simhash_passes_meet_all_links(spark, tree_nodes):
+    """The parts of the shards together link what all link; codes of one node are not searched again."""
+    rng = random.Random(2)
+    base = rng.getrandbits(64)
+    codes = {i: base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 6))) for i in range(150)}
+    codes |= {1000 + i: rng.getrandbits(64) for i in range(50)}
+    seen = {}
+    codes = {i: c for i, c in codes.items() if seen.setdefault(c, i) == i}
+    signed = lambda x: x - 2**64 if x >> 63 else x
+    df = spark.createDataFrame([(i, signed(c)) for i, c in codes.items()], "node long, fp long")
+    want = linked(codes, lambda a, b: (a ^ b).bit_count() <= 3)
+    first = {r.u: r.component for r in components(simhash.links(df, 3, tree_nodes=tree_nodes, part="first")).collect()}
+    held = spark.createDataFrame([(first.get(i, i), signed(c)) for i, c in codes.items()], "node long, fp long")
+    rest = {r.u: r.component for r in components(simhash.links(held, 3, tree_nodes=tree_nodes, part="rest")).collect()}
+    assert {i: rest.get(first.get(i, i), first.get(i, i)) for i in codes} == want
+    done = spark.createDataFrame([(want[i], signed(c)) for i, c in codes.items()], "node long, fp long")
+    assert simhash.links(done, 3, tree_nodes=tree_nodes).isEmpty()
+
+
 def test_components(spark):
     rng = random.Random(4)
     pairs = [(i, i + 1) for i in range(200, 260)] + [(rng.randrange(100), rng.randrange(100)) for _ in range(60)] + [(500, i) for i in range(501, 560)]
