@@ -27,6 +27,8 @@ WIDTH = 100
 #: compared by grouped minima, which any number of tasks share: first by pieces of PIECE windows, then the
 #: windows of the pieces that may differ in part.
 GROUP, PIECE = 1000, 10
+#: Texts in an Arrow batch: each gives many anchors and contexts, all of them held at once.
+BATCH_ROWS = 128
 #: The id that stands for null; it comes last.
 NULL_ID = (1 << 63) - 1
 
@@ -153,7 +155,7 @@ def _with_text(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """id, q, n: runs of n windows that start at byte q and each repeat an earlier window. docs: id long, text."""
-    text_batches(docs.sparkSession)
+    text_batches(docs.sparkSession, BATCH_ROWS)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
