@@ -14,10 +14,16 @@ from ionloom.llm.common import materialize
 from ionloom.llm.queries import TOKENIZER
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Near copies: five-word shingles. Texts whose shingle sets have a similarity of 0.8 differ in 10 of 64 bits in
-#: the mean, so that is the radius for one of two fingerprints; the other, within RADIUS2, keeps out unrelated
-#: texts that meet by chance.
+#: Near copies: sets of five-word shingles with a Jaccard similarity of SIMILARITY. Such texts differ in 10 of 64
+#: bits in the mean, so that is the radius for one of two fingerprints; the other, within RADIUS2, keeps the
+#: candidates few. What the fingerprints find is then held against the shingles themselves.
 WORDS, RADIUS, RADIUS2 = 5, 10, 14
+SIMILARITY = 0.8
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs, written, with a number `row` of each row's own: doc_id may be null or repeated."""
+    return materialize(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +40,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document (smallest doc_id) of each group of near copies stays."""
-    kept = simhash.near_duplicates(docs, WORDS, RADIUS, RADIUS2).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(COLUMNS)
+    rows = numbered(docs)
+    groups = simhash.similar_documents(rows.select(F.col("row").alias("doc_id"), "text"), WORDS, RADIUS, RADIUS2, SIMILARITY).withColumnRenamed("doc_id", "row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    kept = rows.select("row", "doc_id").join(groups, "row").groupBy("component_id").agg(first.alias("first")).select("first.row")
+    return rows.join(kept, "row", "left_semi").select(COLUMNS)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,14 +17,16 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ionloom.llm.common import components, join_small, materialize, mixed, release, text_batches, whole_groups
+from ionloom.llm.common import components, discard, join_small, materialize, mixed, release, text_batches, whole_groups
 
 SEED = 42
 #: Nodes of a shard's tree; a larger shard is cut into blocks of this size that are searched pairwise.
 TREE_NODES = 4096
+#: Pairs of texts in an Arrow batch.
+PAIR_ROWS = 128
 
 
 def shingles(text: str, words: int) -> list[bytes]:
@@ -39,12 +41,19 @@ def shingles(text: str, words: int) -> list[bytes]:
     return [joined[a:b] for a, b in zip(starts, stops)]
 
 
+def piece_hashes(pieces: list[bytes], seed: int = SEED) -> np.ndarray:
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(p, seed) for p in pieces], dtype="<u8")
+
+
 def fingerprint(pieces: list[bytes], seed: int = SEED) -> int:
     """SimHash of shingles; 0 for none. A bit is set if it is in over half the hashes."""
-    if not pieces:
+    return simhash(piece_hashes(pieces, seed))
+
+
+def simhash(hashes: np.ndarray) -> int:
+    if not len(hashes):
         return 0
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(p, seed) for p in pieces], dtype="<u8")
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65536):
         part = hashes[at : at + 65536].view(np.uint8).reshape(-1, 8)
@@ -66,6 +75,24 @@ def fingerprints(docs: DataFrame, words: int, seeds: tuple[int, ...] = (SEED,))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
 
 
+def signatures(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, two fingerprints (fp, fp2) and a 128-bit digest (d1, d2) of the set of shingles of every whole text."""
+    text_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for t in b.column(1).to_pylist():
+                pieces = shingles(t or "", words)
+                hashes = piece_hashes(pieces)
+                digest = xxhash.xxh3_128_intdigest(np.unique(hashes).tobytes())
+                rows.append((simhash(hashes), fingerprint(pieces, SEED + 1), digest >> 64, digest & (1 << 64) - 1))
+            out = np.array(rows, dtype=np.uint64).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(out[:, i].copy().view(np.int64)) for i in range(4))], names=["doc_id", "fp", "fp2", "d1", "d2"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long, fp2 long, d1 long, d2 long")
+
+
 def sharding(n: int, radius: int) -> tuple[int, int]:
     """(blocks, blocks that must agree): the cheapest exact sharding of n fingerprints."""
     best, found = float("inf"), (radius + 1, 1)
@@ -159,17 +186,18 @@ def spanning(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return rows, label[rows]
 
 
-def _links_of(group: np.ndarray, codes: np.ndarray, other: np.ndarray | None, probe: np.ndarray, node: np.ndarray, radius: int, radius2: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of nodes (node, smallest node of its component in these shards) for nodes that have a link to another."""
+def _linkable(group: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """Which rows are in a group of several nodes; a group of one node has nothing to link."""
     start = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
     several = np.minimum.reduceat(node, start) != np.maximum.reduceat(node, start)
-    use = np.repeat(several, np.diff(np.append(start, len(codes))))  # a group of one node has nothing to link
-    group, codes, probe, node = group[use], codes[use], probe[use], node[use]
-    other = other[use] if other is not None else None
+    return np.repeat(several, np.diff(np.append(start, len(group))))
+
+
+def _hits(group: np.ndarray, codes: np.ndarray, other: np.ndarray | None, probe: np.ndarray, node: np.ndarray, radius: int, radius2: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of different nodes within the radii, some of them twice."""
     n = len(codes)
     if not n:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    names, place_of = np.unique(node, return_inverse=True)
+        return
     start = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
     first = np.repeat(start, np.diff(np.append(start, n)))  # a group's tree rows come first
     in_tree = np.flatnonzero(~probe)
@@ -181,36 +209,81 @@ def _links_of(group: np.ndarray, codes: np.ndarray, other: np.ndarray | None, pr
     blocks_with_probes = np.zeros(n, bool)
     blocks_with_probes[first[probe]] = True
     ask = np.flatnonzero(has_tree & (probe | ~blocks_with_probes[first]))
-    left, right, held = [], [], 0
     for at in range(0, len(ask), 8_000):
         asked = ask[at : at + 8_000]
         for q, found in search(codes_t, first, edges, codes[asked], place[first[asked]], radius):
             a, b = asked[q], in_tree[found]
-            keep = place_of[a] != place_of[b]
+            keep = node[a] != node[b]
             if other is not None:
                 keep &= np.bitwise_count(other[a] ^ other[b]) <= radius2
-            left.append(place_of[a[keep]])
-            right.append(place_of[b[keep]])
-            held += len(left[-1])
-            if held > 1_000_000:
-                a, b = spanning(len(names), np.concatenate(left), np.concatenate(right))
-                left, right, held = [a], [b], 0
+            yield a[keep], b[keep]
+
+
+def _links_of(group: np.ndarray, codes: np.ndarray, other: np.ndarray | None, probe: np.ndarray, node: np.ndarray, radius: int, radius2: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of nodes (node, smallest node of its component in these shards) for nodes that have a link to another."""
+    use = _linkable(group, node)
+    group, codes, probe, node = group[use], codes[use], probe[use], node[use]
+    other = other[use] if other is not None else None
+    names, place_of = np.unique(node, return_inverse=True)
+    left, right, held = [], [], 0
+    for a, b in _hits(group, codes, other, probe, node, radius, radius2):
+        left.append(place_of[a])
+        right.append(place_of[b])
+        held += len(a)
+        if held > 1_000_000:
+            a, b = spanning(len(names), np.concatenate(left), np.concatenate(right))
+            left, right, held = [a], [b], 0
     if not left:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     a, b = spanning(len(names), np.concatenate(left), np.concatenate(right))
     return names[a], names[b]
 
 
-def links(codes: DataFrame, radius: int, radius2: int | None = None, tree_nodes: int = TREE_NODES, part: str = "all") -> DataFrame:
+def _pairs_of(group: np.ndarray, codes: np.ndarray, other: np.ndarray | None, probe: np.ndarray, node: np.ndarray, own: np.ndarray, radius: int, radius2: int, lowest: bool) -> Iterator[tuple[np.ndarray, ...]]:
+    """Pairs of codes of different nodes as (own, own, node, node), the larger own first; with `lowest` only each code's pair with the smallest."""
+    use = _linkable(group, node)
+    group, codes, probe, node, own = group[use], codes[use], probe[use], node[use], own[use]
+    other = other[use] if other is not None else None
+    best = np.full(len(own), -1)
+    left, right, held = [], [], 0
+    for a, b in _hits(group, codes, other, probe, node, radius, radius2):
+        a, b = np.where(own[a] > own[b], a, b), np.where(own[a] > own[b], b, a)
+        if lowest:
+            order = np.lexsort((own[b], a))
+            a, b = a[order], b[order]
+            head = np.concatenate(([True], a[1:] != a[:-1]))[: len(a)]
+            a, b = a[head], b[head]
+            better = (best[a] < 0) | (own[b] < own[best[a]])
+            best[a[better]] = b[better]
+            continue
+        left.append(a)
+        right.append(b)
+        held += len(a)
+        if held > 200_000:
+            a, b = np.concatenate(left), np.concatenate(right)
+            yield own[a], own[b], node[a], node[b]
+            left, right, held = [], [], 0
+    if lowest:
+        left, right = [np.flatnonzero(best >= 0)], [best[best >= 0]]
+    if left:
+        a, b = np.concatenate(left), np.concatenate(right)
+        yield own[a], own[b], node[a], node[b]
+
+
+def links(codes: DataFrame, radius: int, radius2: int | None = None, tree_nodes: int = TREE_NODES, part: str = "all", pairs: str | None = None) -> DataFrame:
     """Edges (u, v) between nodes that connect what is connected by pairs of codes within radius bits.
 
     codes: node long, fp long, and with radius2 also fp2 long, a second fingerprint in which a pair
     may differ by radius2 bits at most. Codes of one node count as linked, so a shard that holds one
     node is not searched. Shards answer with one edge for each linked node, never with all their
     pairs. part: "first" takes the shards that hold to the first block, "rest" the others.
+
+    pairs: "all" gives the pairs of codes of different nodes themselves, as (u, v, un, vn): the codes' own
+    ids (column `own` of codes) and their nodes, repeated where they meet again; "lowest" only those of a code with the smallest
+    code that it meets in a shard.
     """
     spark = codes.sparkSession
-    more = [] if radius2 is None else ["fp2"]
+    more = ([] if radius2 is None else ["fp2"]) + ["own"] * bool(pairs)
     blocks, equal = sharding(codes.count(), radius)
     ahead = comb(blocks - 1, equal - 1)
     tables = {"all": slice(None), "first": slice(ahead), "rest": slice(ahead, None)}[part]
@@ -234,11 +307,64 @@ def links(codes: DataFrame, radius: int, radius2: int | None = None, tree_nodes:
             for c in ("t", "key", "a", "b"):
                 changes[1:] |= col[c][1:] != col[c][:-1]
             probe = table.column("probe").to_numpy(zero_copy_only=False).astype(bool)
-            u, v = _links_of(np.cumsum(changes), col["fp"].view(np.uint64), col["fp2"].view(np.uint64) if more else None, probe, col["node"], radius, radius2 or 0)
+            given = np.cumsum(changes), col["fp"].view(np.uint64), col["fp2"].view(np.uint64) if "fp2" in col else None, probe, col["node"]
+            if pairs:
+                for met in _pairs_of(*given, col["own"], radius, radius2 or 0, pairs == "lowest"):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in met], names=["u", "v", "un", "vn"])
+                continue
+            u, v = _links_of(*given, radius, radius2 or 0)
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     dealt = keyed.repartition("t", "key", "a", "b").sortWithinPartitions("t", "key", "a", "b", "probe")
-    return dealt.mapInArrow(run, "u long, v long")
+    return dealt.mapInArrow(run, "u long, v long, un long, vn long" if pairs else "u long, v long")
+
+
+def resemblance(a: set[bytes], b: set[bytes]) -> float:
+    """Jaccard similarity; two empty sets are equal."""
+    both = len(a & b)
+    return both / (len(a) + len(b) - both) if a or b else 1.0
+
+
+def similar_pairs(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """u and v (the nodes un and vn) of those pairs (u, v, un, vn) whose texts' sets of shingles have `similarity` at least."""
+    asked = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+    texts = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(asked, "doc_id", "left_semi"))
+    side = lambda c: texts.select(mixed(F.col("doc_id")).alias(f"k{c}"), F.col("text").alias(c))
+    met = pairs.withColumn("ka", mixed(F.col("u"))).join(side("a"), "ka").withColumn("kb", mixed(F.col("v"))).join(side("b"), "kb").select("un", "vn", "a", "b")
+    text_batches(docs.sparkSession, PAIR_ROWS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [resemblance(set(shingles(a or "", words)), set(shingles(b or "", words))) >= similarity for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    out = materialize(met.mapInArrow(run, "u long, v long"))
+    discard(texts)
+    text_batches(docs.sparkSession)
+    return out
+
+
+def similar_documents(docs: DataFrame, words: int = 5, radius: int = 10, radius2: int = 14, similarity: float = 0.8) -> DataFrame:
+    """doc_id and component_id (the smallest doc_id reachable by links, itself included) of every row.
+
+    The pairs that near_duplicates would link are candidates here: a pair is linked if its texts' sets of
+    shingles have a Jaccard similarity of `similarity` at least, counted on the shingles themselves. Texts
+    with equal sets are linked whatever their fingerprints. docs: doc_id (unique and not null), text. A first
+    pass holds each text against the smallest that it meets, so that most of a group of near copies is one
+    node before all its pairs are asked for.
+    """
+    spark = docs.sparkSession
+    own = ["fp", "fp2", "d1", "d2"]
+    marks = materialize(signatures(docs, words))
+    codes = materialize(marks.groupBy(*own).agg(F.min("doc_id").alias("own")).withColumn("node", F.min("own").over(Window.partitionBy("d1", "d2"))))
+    for by, part, which in (("fp", "first", "lowest"), ("fp", "all", "all"), ("fp2", "all", "all")):
+        turned = codes if by == "fp" else codes.select("own", "node", F.col("fp2").alias("fp"), F.col("fp").alias("fp2"))
+        pairs = materialize(links(turned, radius, radius2, part=part, pairs=which).distinct())
+        found = components(similar_pairs(docs, pairs, words, similarity)).select(mixed(F.col("u")).alias("k"), "component")
+        discard(pairs)
+        codes = materialize(codes.withColumn("k", mixed(F.col("node"))).join(found, "k", "left").select(*own, "own", F.coalesce("component", "node").alias("node")))
+        release(spark)
+    return marks.join(codes.withColumnRenamed("node", "component_id"), own).select("doc_id", "component_id")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 10, radius2: int | None = 14) -> DataFrame:

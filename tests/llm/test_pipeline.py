@@ -62,3 +62,35 @@ def test_stages(spark, outputs):
 
 def test_run(spark, outputs):
     assert Counter(map(tuple, p.run(spark, SF).collect())) == Counter(map(tuple, outputs[-1].collect()))
+
+
+def test_near_copies_have_the_similarity(spark):
+    base = [f"w{i}" for i in range(400)]
+    far = [*base]
+    for i in range(0, 400, 24):  # 17 edits: similarity 0.66
+        far[i] = f"x{i}"
+    near = [*base]
+    near[200] = "y"
+    rows = {1: base, 2: far, 3: near, 4: [*base], 5: ["z"] * 300 + base[:40], 6: ["z"] * 300 + base[300:340]}  # 5 and 6: one shingle outweighs all others
+    text = {i: " ".join(t) for i, t in rows.items()}
+    fps = {i: [simhash.fingerprint(simhash.shingles(t, p.WORDS), s) for s in (42, 43)] for i, t in text.items()}
+    for a, b in ((1, 2), (5, 6)):
+        low, high = sorted((x ^ y).bit_count() for x, y in zip(fps[a], fps[b]))
+        assert low <= p.RADIUS and high <= p.RADIUS2  # the fingerprints alone would link them
+        assert simhash.resemblance({*simhash.shingles(text[a], p.WORDS)}, {*simhash.shingles(text[b], p.WORDS)}) < 0.8
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in text.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in p.simhash_near_dedup(spark, docs, SF).collect()) == [1, 2, 5, 6]
+
+
+def test_near_dedup_on_real_text(outputs):
+    text = {i: r.text for i, r in by_id(outputs[2]).items()}
+    fps = {i: [simhash.fingerprint(simhash.shingles(t, p.WORDS), s) for s in (42, 43)] for i, t in text.items()}
+    sets = {i: {*simhash.shingles(t, p.WORDS)} for i, t in text.items()}
+    group = {i: i for i in text}
+    for i in sorted(text):
+        for j in sorted(text):
+            low, high = sorted((x ^ y).bit_count() for x, y in zip(fps[i], fps[j]))
+            if i < j and low <= p.RADIUS and high <= p.RADIUS2 and simhash.resemblance(sets[i], sets[j]) >= p.SIMILARITY:
+                a, b = sorted((group[i], group[j]))
+                group = {k: a if g == b else g for k, g in group.items()}
+    assert {*by_id(outputs[3])} == {i for i, g in group.items() if i == g}
