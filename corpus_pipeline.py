@@ -6,7 +6,7 @@ Parquet in the shared folder and reads again. All stages but the last return the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ionloom.llm import bpe, lines, mixing, quality, simhash
@@ -28,8 +28,9 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    judged = quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).filter("kept").select("doc_id").distinct()
-    return docs.join(judged, "doc_id", "left_semi").select(COLUMNS)
+    rows = numbered(docs)
+    judged = quality.classify(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=("row",)).filter("kept").select("row")
+    return rows.join(judged, "row", "left_semi").select(COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +51,13 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents are drawn to the sources' targets: each comes as often as it was drawn, up to three times."""
     _, draws = mixing.mix(docs, block_words=None)
-    times = draws.groupBy("doc_id").agg(F.count("*").alias("times"))
-    return docs.join(times, "doc_id").withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select(COLUMNS)
+    # rows that share an id are told apart as mix() does, by source, size and a running number; the key has no nulls
+    key = F.struct("src", "doc_id", "copy", "size").cast("string").alias("k")
+    times = draws.groupBy(key).agg(F.count("*").alias("times"))
+    alike = Window.partitionBy("doc_id", "source", "size").orderBy("text", "lang", "n_chars")
+    rows = docs.withColumn("size", mixing.n_words(F.col("text"))).withColumn("copy", F.row_number().over(alike).cast("long"))
+    rows = rows.withColumn("src", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))).select(*COLUMNS, key)
+    return rows.join(times, "k").withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select(COLUMNS)
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

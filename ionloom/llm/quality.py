@@ -62,8 +62,8 @@ def _strength(sites: DataFrame, mean: Column) -> float:
     return float(1 / min(max(rho, 1e-4), 0.9) - 1)
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", fit_rows: int = FIT_ROWS, site_weight: float = SITE_WEIGHT, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, host, path, n_words, own_score, host_rate, path_rate, score and kept of every row of docs.
+def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", fit_rows: int = FIT_ROWS, site_weight: float = SITE_WEIGHT, threshold: float = THRESHOLD, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, host, path, n_words, own_score, host_rate, path_rate, score, kept and the columns `carry` of every row of docs.
 
     docs: doc_id, text and the columns named by host and path (a path counts within its host); labels:
     doc_id, quality (0 or 1; nulls are left out). own_score: the probability of quality from the text
@@ -72,9 +72,9 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     Without labels of both kinds every text with a word scores 0.5 or more and is kept.
     """
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0")).alias
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), name(host)("host"), name(path)("path"), "text")
-    stats = with_stats(base, "doc_id", "host", "path")
-    stats = materialize(stats.select("doc_id", "host", "path", "n_words", *[v.alias(k) for k, v in features().items()]))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), name(host)("host"), name(path)("path"), *carry, "text")
+    stats = with_stats(base, "doc_id", "host", "path", *carry)
+    stats = materialize(stats.select("doc_id", "host", "path", *carry, "n_words", *[v.alias(k) for k, v in features().items()]))
 
     known = labels.filter("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("double").alias("y"))
     sample = stats.join(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows), "doc_id").select("y", *NAMES).toPandas()
@@ -86,7 +86,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
             z = F.least(F.greatest((F.col(c) - float(mean[i])) / float(scale[i]), F.lit(-20.0)), F.lit(20.0))
             odds = odds + z * float(w[i + 1]) + F.least(z * z, F.lit(50.0)) * float(squares[i])
         own = 1 / (1 + F.exp(-F.least(F.greatest(odds, F.lit(-30.0)), F.lit(30.0))))
-    scored = stats.select("doc_id", "host", "path", "n_words", own.alias("own_score"))
+    scored = stats.select("doc_id", "host", "path", *carry, "n_words", own.alias("own_score"))
 
     paths = materialize(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("own_score").alias("s")))
     hosts = materialize(paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s")))
@@ -104,4 +104,4 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     met = met.withColumn("host_rate", host_rate).withColumn("path_rate", path_rate)
     posterior = _logit(F.col("own_score")) + site_weight * (_logit(F.col("path_rate")) - float(np.log(rate / (1 - rate))))
     met = met.withColumn("score", 1 / (1 + F.exp(-posterior)))
-    return met.select("doc_id", "host", "path", "n_words", "own_score", "host_rate", "path_rate", "score", ((F.col("score") >= threshold) & (F.col("n_words") > 0)).alias("kept"))
+    return met.select("doc_id", "host", "path", "n_words", "own_score", "host_rate", "path_rate", "score", ((F.col("score") >= threshold) & (F.col("n_words") > 0)).alias("kept"), *carry)

@@ -3,6 +3,7 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as p
@@ -94,3 +95,23 @@ def test_near_dedup_on_real_text(outputs):
                 a, b = sorted((group[i], group[j]))
                 group = {k: a if g == b else g for k, g in group.items()}
     assert {*by_id(outputs[3])} == {i for i, g in group.items() if i == g}
+
+
+def test_null_and_repeated_ids(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(p.COLUMNS)
+    odd = materialize(docs.withColumn("doc_id", F.when(F.col("doc_id") % 5 > 0, F.floor(F.col("doc_id") / 2)).cast("long")))
+    judged = quality.classify(odd, spark.read.parquet(f"{SF}/labels.parquet")).filter("kept")
+    want = Counter(r.doc_id for r in judged.collect())
+    assert want[None] and Counter(r.doc_id for r in p.quality_classifier(spark, odd, SF).collect()) == want
+
+    text = lambda k: " ".join(f"{k}-{i}" for i in range(60))
+    given = [(7, text("p")), (7, text("q")), (8, text("q")), (None, text("r")), (None, text("s")), (None, text("p"))]
+    df = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in given], docs.schema)
+    got = sorted(((r.doc_id or 0, r.text[0]) for r in p.simhash_near_dedup(spark, df, SF).collect()))
+    assert got == [(0, "r"), (0, "s"), (7, "p"), (7, "q")]
+
+    # source c is small against its weight: each row comes three times
+    rare = [(7, text("p")), (7, text("q")), (7, text("q")), (None, text("r")), (None, text("s"))]
+    rows = [(i, t, "en", "c", len(t)) for i, t in rare] + [(100 + i, text(i), "en", "ab"[i % 2], 0) for i in range(60)]
+    out = p.source_mixing(spark, spark.createDataFrame(rows, docs.schema), SF).filter("source = 'c'").collect()
+    assert Counter((r.doc_id, r.text[0]) for r in out) == {(7, "p"): 3, (7, "q"): 6, (None, "r"): 3, (None, "s"): 3}
