@@ -1,8 +1,8 @@
 """Byte-level BPE encoding by dynamic programming over prefixes, and decoding.
 
 For every prefix of a piece of text exactly one token can come last in the prefix's encoding. The
-tokens that end at a position are the matches of a suffix automaton over the vocabulary; the last token
-is the one among them that is compatible with the last token of the prefix before it: the pair must
+tokens that end at a position are the matches of an Aho-Corasick automaton over the vocabulary (in place of
+a suffix automaton: it gives the same matches); the last token is the one among them that is compatible with the last token of the prefix before it: the pair must
 encode to itself, which following the merges back decides. Back-pointers from the end give the ids.
 
 Pieces repeat, so each Python worker keeps the ids of up to 2 * CACHED pieces and
