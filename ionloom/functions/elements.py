@@ -19,3 +19,8 @@ VALENCE = {"C": 2, "Si": 2, "P": 3, "N": 1, "B": 1, "As": 1, "H": -1, "F": -1, "
 PROTON_MASS = MASSES[0]
 #: Targets lighter than this share its absolute tolerance.
 LEAST_TOLERANCE_MASS = 200.0
+
+
+def element_info() -> list[dict]:
+    """symbol, index, mass, default bounds and isotope (mass difference and abundances, or None) of every element."""
+    return [{"symbol": e, "index": i, "mass": MASSES[i], "default_min": DEFAULT_MIN[i], "default_max": DEFAULT_MAX[i], "isotope": ISOTOPES.get(e)} for i, e in enumerate(ELEMENTS)]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ionloom.functions.arrays import bound
 from ionloom.functions.elements import ELEMENTS, INDEX, MASSES, VALENCE, WRITTEN
 
 
@@ -13,39 +14,43 @@ def literal(counts: dict[str, int]) -> Column:
     return F.array(*[F.lit(int(counts.get(e, 0))) for e in ELEMENTS])
 
 
+#: A symbol and its number; a symbol without one counts if a capital letter or the end follows.
+TOKEN = r"([A-Z][a-z]?)(\d+|(?=[A-Z])|\z)"
+
+
 def parse(formula: Column) -> Column:
-    """A plain formula string as an array. The first stay of a symbol counts; null gives zeros.
+    """A plain formula string as an array. The first stay of a symbol counts; null gives zeros. The text is read once for the
+    symbols and once for their numbers."""
+    read = lambda g: F.coalesce(F.regexp_extract_all(formula, F.lit(TOKEN), F.lit(g)), F.array().cast("array<string>"))
 
-    A symbol without a number counts one if a capital letter or the end follows.
-    """
-    def count(e: str) -> Column:
-        found = F.regexp_extract(formula, rf"{e}(\d+|(?=[A-Z])|\z)", 1)
-        return F.when(F.regexp_like(formula, F.lit(rf"{e}(\d+|[A-Z]|\z)")), F.when(found == "", 1).otherwise(found.try_cast("int"))).otherwise(0)
+    def counts(t: Column) -> Column:
+        def count(e: Column) -> Column:
+            at = F.array_position(t["symbols"], e).cast("int")
+            found = F.get(t["numbers"], at - 1)
+            return F.when(at == 0, 0).when(found == "", 1).otherwise(F.coalesce(found.try_cast("int"), F.lit(0)))
+
+        return F.transform(F.split(F.lit(",".join(ELEMENTS)), ","), count)
 
-    return F.array(*[F.coalesce(count(e), F.lit(0)).cast("int") for e in ELEMENTS])
+    return bound(F.struct(read(1).alias("symbols"), read(2).alias("numbers")), counts)
 
 
 def add(a: Column, b: Column, sign: int = 1) -> Column:
     return F.zip_with(a, b, lambda x, y: x + y * F.lit(sign))
 
 
-def _times(n: Column):
-    return lambda x: x * n
-
-
 def parse_signed(formula: Column, compat: bool = False) -> Column:
     """A formula with one added and one removed group, as in C6H12O6+2H-H2O, as an array.
 
     A number directly after the sign multiplies its group; with compat the first digits anywhere in it do.
     """
-    main = F.regexp_extract(formula, r"^([A-Za-z0-9]+)", 1)
-    total = parse(main)
-    for sign, s in (("+", 1), ("-", -1)):
+    def joined(total: Column, sign: str, s: int) -> Column:
         group = F.regexp_extract(formula, rf"\{sign}([A-Za-z0-9]+)", 1)
         times = F.coalesce(F.regexp_extract(group, r"(\d+)" if compat else r"^(\d+)", 1).try_cast("int"), F.lit(1))
-        counts = parse(F.regexp_replace(group, r"^\d+", ""))
-        total = F.when(group == "", total).otherwise(add(total, F.transform(counts, _times(times)), s))
-    return F.transform(total, lambda x: x.cast("int"))
+        told = F.struct(times.alias("n"), parse(F.regexp_replace(group, r"^\d+", "")).alias("c"))
+        added = lambda total: bound(told, lambda g: F.zip_with(total, g["c"], lambda x, y: (x + y * g["n"] * F.lit(s)).cast("int")))
+        return bound(total, lambda total: F.when((group == "") | group.isNull(), total).otherwise(added(total)))
+
+    return joined(joined(parse(F.regexp_extract(formula, r"^([A-Za-z0-9]+)", 1)), "+", 1), "-", -1)
 
 
 def ion_formula(formula: Column, adduct: Column) -> Column:

@@ -13,20 +13,61 @@ KINDS = ("morgan", "rdkit", "atompair", "torsion", "maccs")
 MISSING = "RDKit is not installed; structure operators need it on the driver and every executor"
 
 
+METHODS = ("GetFingerprint", "GetSparseFingerprint", "GetCountFingerprint", "GetSparseCountFingerprint")
+MACCS_SIZE = 167
+
+
 @dataclass(frozen=True)
 class FingerprintParams:
+    """Parameters of a fingerprint; each kind takes its own, those that are None are left to RDKit."""
+
     fp_type: str = "morgan"
+    fp_method: str = "GetFingerprint"
     fpSize: int = 2048
-    radius: int = 2
-    count: bool = False
+    radius: int | None = 2
+    useBondTypes: bool | None = True
+    minPath: int | None = 1
+    maxPath: int | None = 7
+    numBitsPerFeature: int | None = 2
+    use2D: bool | None = True
+    minDistance: int | None = 1
+    maxDistance: int | None = 30
+    countSimulation_AP: bool | None = True
+    includeChirality: bool | None = False
+    targetSize: int | None = 4
+    countSimulation_TT: bool | None = True
+    atomInvariantsGenerator: object | None = None
+
+    def __post_init__(self) -> None:
+        if self.fp_type not in KINDS:
+            raise ValueError(f"fp_type must be one of {KINDS}")
+        if self.fp_method not in METHODS:
+            raise ValueError(f"fp_method must be one of {METHODS}")
+        if self.fp_type == "morgan" and self.radius is None:
+            object.__setattr__(self, "radius", 4)
+        if self.fp_type == "maccs":
+            object.__setattr__(self, "fpSize", MACCS_SIZE)
 
     @classmethod
     def from_dict(cls, values: dict) -> FingerprintParams:
-        return cls(**{k: v for k, v in values.items() if k in {f.name for f in fields(cls)}})
+        if unknown := values.keys() - {f.name for f in fields(cls)}:
+            raise ValueError(f"unknown keys: {sorted(unknown)}")
+        return cls(**values)
 
     def to_dict(self) -> dict:
         return asdict(self)
 
+    def generator_args(self) -> dict:
+        """What RDKit's generator of the kind is called with."""
+        own = {
+            "morgan": {"radius": self.radius, "useBondTypes": self.useBondTypes, "atomInvariantsGenerator": self.atomInvariantsGenerator, "includeChirality": self.includeChirality},
+            "rdkit": {"minPath": self.minPath, "maxPath": self.maxPath, "numBitsPerFeature": self.numBitsPerFeature},
+            "atompair": {"minDistance": self.minDistance, "maxDistance": self.maxDistance, "includeChirality": self.includeChirality, "use2D": self.use2D, "countSimulation": self.countSimulation_AP if self.fp_method == "GetFingerprint" else None},
+            "torsion": {"targetSize": self.targetSize, "includeChirality": self.includeChirality, "countSimulation": self.countSimulation_TT if self.fp_method == "GetFingerprint" else None},
+            "maccs": {},
+        }[self.fp_type]
+        return {k: v for k, v in {**own, "fpSize": self.fpSize}.items() if v is not None}
+
 
 def _chem():
     try:
@@ -72,23 +113,34 @@ def smiles_to_inchikey(c: Column) -> Column:
 
 
 def eliminate(c: Column, pattern: str) -> Column:
-    """The product of splitting off a neutral by a reaction pattern; null if it doesn't apply, else 'multiple products' if not unique."""
+    """The product of splitting off a neutral by a reaction pattern, without stereochemistry; null if it doesn't apply or
+    the structure can't be read, 'multiple products' if it applies in more than one way."""
 
     def convert(chem, x):
         from rdkit.Chem import AllChem
 
-        products = {chem.MolToSmiles(p[0]) for p in AllChem.ReactionFromSmarts(pattern).RunReactants((chem.MolFromSmiles(x),))}
-        return None if not products else products.pop() if len(products) == 1 else "multiple products"
+        mol = chem.MolFromSmiles(x)
+        chem.RemoveStereochemistry(mol)
+        products = AllChem.ReactionFromSmarts(pattern).RunReactants((mol,))
+        if len(products) != 1:
+            return "multiple products" if products else None
+        chem.SanitizeMol(products[0][0])
+        return chem.MolToSmiles(products[0][0])
 
     return _text_udf(convert, c, None)
 
 
+# A carbon with a hydrogen beside one with the leaving group.
+WATER = "[C;h:1]-[C:2]-[OH]>>[C:1]=[C:2]"
+AMMONIA = "[C;h:1]-[C:2]-[NH2]>>[C:1]=[C:2]"
+
+
 def eliminate_water(c: Column) -> Column:
-    return eliminate(c, "[C:1]([H])[C:2][OX2H]>>[C:1]=[C:2]")
+    return eliminate(c, WATER)
 
 
 def eliminate_ammonia(c: Column) -> Column:
-    return eliminate(c, "[C:1]([H])[C:2][NX3H2]>>[C:1]=[C:2]")
+    return eliminate(c, AMMONIA)
 
 
 def exact_mass(c: Column) -> Column:
@@ -106,29 +158,30 @@ def exact_mass(c: Column) -> Column:
 
 
 def fingerprint(c: Column, params: FingerprintParams = FingerprintParams()) -> Column:
-    """array<float> of fpSize values (maccs: 167); zeros for what can't be read."""
+    """array<float> of fpSize values (maccs: 167), zeros for what can't be read. Sparse fingerprints are folded to fpSize."""
     _chem()
-    if params.fp_type not in KINDS:
-        raise ValueError(f"fp_type must be one of {KINDS}")
 
     @F.pandas_udf("array<float>")
     def run(s: pd.Series) -> pd.Series:
+        import numpy as np
         from rdkit.Chem import MACCSkeys
         from rdkit.Chem import rdFingerprintGenerator as g
 
         chem = _chem()
-        p = params
-        make = {"morgan": lambda: g.GetMorganGenerator(radius=p.radius, fpSize=p.fpSize), "rdkit": lambda: g.GetRDKitFPGenerator(fpSize=p.fpSize), "atompair": lambda: g.GetAtomPairGenerator(fpSize=p.fpSize), "torsion": lambda: g.GetTopologicalTorsionGenerator(fpSize=p.fpSize)}
-        size = 167 if p.fp_type == "maccs" else p.fpSize
+        makers = {"morgan": g.GetMorganGenerator, "rdkit": g.GetRDKitFPGenerator, "atompair": g.GetAtomPairGenerator, "torsion": g.GetTopologicalTorsionGenerator}
+        make = None if params.fp_type == "maccs" else getattr(makers[params.fp_type](**params.generator_args()), params.fp_method)
 
         def one(x):
+            out = np.zeros(params.fpSize, np.float32)
             m = chem.MolFromSmiles(x) if x else None
-            if m is None:
-                return [0.0] * size
-            if p.fp_type == "maccs":
-                return [float(b) for b in MACCSkeys.GenMACCSKeys(m)]
-            made = make[p.fp_type]()
-            return (made.GetCountFingerprintAsNumPy(m) if p.count else made.GetFingerprintAsNumPy(m)).astype(float).tolist()
+            if m is not None:
+                made = MACCSkeys.GenMACCSKeys(m) if make is None else make(m)
+                values = made.GetNonzeroElements() if hasattr(made, "GetNonzeroElements") else dict.fromkeys(made.GetOnBits(), 1)
+                for bit, n in values.items():
+                    out[bit % params.fpSize] += n
+                if "Count" not in params.fp_method or make is None:
+                    out = np.minimum(out, 1)
+            return out.tolist()
 
         return s.map(one)
 

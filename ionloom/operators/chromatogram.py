@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from dataclasses import asdict, dataclass, fields
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ionloom.functions import arrays
@@ -13,20 +13,41 @@ from ionloom.operators import decompose, isotopes
 from ionloom.operators.rangejoin import range_join
 
 
+# Columns of an annotated chromatogram by their names here.
+OUTPUT = {
+    "peak_id": "Peak ID", "rt_min": "RT (min)", "precursor_mz": "Precursor_mz_MSDIAL", "height": "Height", "adduct": "Precursor_type_MSDIAL", "mz": "msms_m/z", "intensity": "msms_intensity",
+    "isobars": "isobars", "mz_cleaned": "msms_m/z_cleaned", "intensity_cleaned": "msms_intensity_cleaned", "spectral_entropy": "spectral_entropy", "energy_is_too_low": "energy_is_too_low",
+    "energy_is_too_high": "energy_is_too_high", "ms1_mz": "ms1_isotopes_m/z", "ms1_intensity": "ms1_isotopes_intensity",
+}
+
+
 @dataclass(frozen=True)
 class BlankConfig:
+    """What a blank peak must have in common with the sample peak that it explains. Mass tolerances are shares;
+    an ms1_mass_tolerance over 1e-4 is taken as ppm."""
+
     ms1_mass_tolerance: float = 3e-6
-    rt_tolerance: float = 0.1
-    rt_tolerance_ms2: float = 0.2
-    height_ratio: float = 5.0
+    dRT_min: float = 0.1
+    ratio: float = 5.0
+    use_ms2: bool = False
+    dRT_min_with_ms2: float = 0.3
     ms2_fit: float = 0.85
-    ms2_tolerance: float = 0.005
+    ms2_mass_tolerance: float = 5e-6
+    noise_threshold: float = 0.005
+
+    def __post_init__(self) -> None:
+        if self.ms1_mass_tolerance > 1e-4:
+            object.__setattr__(self, "ms1_mass_tolerance", self.ms1_mass_tolerance * 1e-6)
+
+    def to_dict(self) -> dict:
+        return asdict(self)
 
     @classmethod
     def from_dict(cls, values: dict) -> BlankConfig:
-        """Unknown keys are ignored; a tolerance over 1e-4 is taken as ppm."""
-        own = cls(**{k: v for k, v in values.items() if k in {f.name for f in fields(cls)}})
-        return cls(**{**own.__dict__, "ms1_mass_tolerance": own.ms1_mass_tolerance * 1e-6}) if own.ms1_mass_tolerance > 1e-4 else own
+        """Values that are None keep their default; an unknown key is an error."""
+        if unknown := values.keys() - {f.name for f in fields(cls)}:
+            raise ValueError(f"unknown keys: {sorted(unknown)}")
+        return cls(**{k: v for k, v in values.items() if v is not None})
 
 
 def annotate_isobars(df: DataFrame, seconds: float = 6.0, height_ratio: float = 3.0) -> DataFrame:
@@ -79,32 +100,60 @@ def annotate_energy_and_entropy(df: DataFrame) -> DataFrame:
     return df.withColumn("energy_is_too_low", F.when(some, low)).withColumn("energy_is_too_high", F.when(some, high)).withColumn("spectral_entropy", arrays.entropy(F.col("intensity")).cast("float"))
 
 
-def subtract_blank(sample: DataFrame, blank: DataFrame, config: BlankConfig = BlankConfig(), with_ms2: bool = True) -> DataFrame:
-    """Sample peaks that no blank peak explains: one left anti range join on m/z.
+def subtract_blank(sample: DataFrame, blank: DataFrame, config: BlankConfig = BlankConfig()) -> DataFrame:
+    """Sample peaks that no blank peak explains: one left anti range join on m/z and retention time.
 
-    A blank peak explains a sample peak within the mass tolerance that is less than height_ratio times as high,
-    if they are within rt_tolerance (strictly) and one has no spectrum, or within rt_tolerance_ms2 and their spectra
-    are similar. Both: peak_id, rt_min, precursor_mz, height and, with_ms2, mz and intensity lists.
+    A blank peak explains a sample peak within the mass tolerance that is less than ratio times as high,
+    if they are within dRT_min (strictly). With use_ms2 that holds where one has no spectrum; two spectra are
+    cleaned of noise, their peaks closer than twice the tolerance merged, and must be within dRT_min_with_ms2
+    and similar. Both: peak_id, rt_min, precursor_mz, height and, with use_ms2, mz and intensity lists.
     """
     c = config
-    b = blank.select(*[F.col(x).alias(f"b_{x}") for x in blank.columns])
     gap = F.abs(F.col("rt_min") - F.col("b_rt_min"))
-    lower = F.col("height") < F.lit(c.height_ratio) * F.col("b_height")
-    if with_ms2:
-        both = F.col("mz").isNotNull() & F.col("b_mz").isNotNull()
-        similar = arrays.entropy_similarity(F.col("mz"), F.col("intensity"), F.col("b_mz"), F.col("b_intensity"), c.ms2_tolerance) >= c.ms2_fit
-        when = F.when(both, (gap < c.rt_tolerance_ms2) & similar).otherwise(gap < c.rt_tolerance)
+    lower = F.col("height") < F.lit(c.ratio) * F.col("b_height")
+    own = sample
+    if c.use_ms2:
+        spectrum = arrays.cleaned(F.col("mz"), F.col("intensity"), 2e6 * c.ms2_mass_tolerance, c.noise_threshold)
+        own, blank = sample.withColumn("_clean", spectrum), blank.withColumn("clean", spectrum)
+        b = blank.select(*[F.col(x).alias(f"b_{x}") for x in ("rt_min", "precursor_mz", "height", "clean")])
+        both = F.col("_clean").isNotNull() & F.col("b_clean").isNotNull()
+        similar = arrays.entropy_similarity(F.col("_clean.mz"), F.col("_clean.i"), F.col("b_clean.mz"), F.col("b_clean.i"), 1e6 * c.ms2_mass_tolerance, ppm=True) >= c.ms2_fit
+        when = F.when(both, (gap < c.dRT_min_with_ms2) & similar).otherwise(gap < c.dRT_min)
     else:
-        when = gap < c.rt_tolerance
-    return range_join(sample, b, "precursor_mz", "b_precursor_mz", c.ms1_mass_tolerance, "ratio", "left_anti", lower & when)
+        b = blank.select(*[F.col(x).alias(f"b_{x}") for x in ("rt_min", "precursor_mz", "height")])
+        when = gap < c.dRT_min
+    reach = max(c.dRT_min, c.dRT_min_with_ms2 if c.use_ms2 else 0.0)
+    return range_join(own, b, "precursor_mz", "b_precursor_mz", c.ms1_mass_tolerance, "ratio", "left_anti", lower & when, band=("rt_min", "b_rt_min", reach)).select(sample.columns)
+
+
+def annotated(peaks: DataFrame) -> DataFrame:
+    """Read peaks with isobars, subtracted spectra, energy flags and entropy, under the names of OUTPUT."""
+    with_spectrum = annotate_isobars(peaks.filter("mz is not null")).select("peak_id", "isobars")
+    df = peaks.join(with_spectrum, "peak_id", "left")
+    df = annotate_energy_and_entropy(df.join(subtract_isobars(df), "peak_id", "left"))
+    return df.select(*[F.col(c).alias(name) for c, name in OUTPUT.items()])
+
+
+def get_chromatogram(spark: SparkSession, path: str) -> DataFrame:
+    """A chromatogram export (a file, folder or glob) read and annotated; see OUTPUT."""
+    from ionloom.sources.spectra import read_chromatogram
+
+    return annotated(read_chromatogram(spark, path))
+
+
+def from_output(df: DataFrame) -> DataFrame:
+    """An annotated chromatogram under the names that the operators here take."""
+    return df.select(*[F.col(f"`{name}`").alias(c) for c, name in OUTPUT.items() if name in df.columns])
 
 
-def annotate_formulas(df: DataFrame, low=None, high=None, precursor_ppm: float = 3.0, fragment_ppm: float = 5.0, normalized_ppm: float = 3.0, ion_mass: float = PROTON_MASS, config: isotopes.IsotopeConfig = isotopes.IsotopeConfig()) -> DataFrame:
+def annotate_formulas(df: DataFrame, low=None, high=None, precursor_ppm: float = 3.0, fragment_ppm: float = 5.0, normalized_ppm: float = 4.0, ion_mass: float = PROTON_MASS, config: isotopes.BoundsConfig | None = None) -> DataFrame:
     """A row per candidate formula of each peak with its cleaned, recalibrated spectrum.
 
     df: precursor_mz, mz, intensity, ms1_mz, ms1_intensity. Bounds are deduced from the isotope peaks; the rows are
     dealt anew after the candidates were exploded.
     """
+    # the precursor's tolerance is also that of its peak in the MS1 spectrum
+    config = config or isotopes.BoundsConfig(precursor_ppm, 2.0, 5e4, 2e5, 0.1)
     lows, highs = decompose._bounds(low, decompose.DEFAULT_MIN), decompose._bounds(high, decompose.DEFAULT_MAX)
     out = df.withColumn("bounds", isotopes.deduce_bounds(F.col("precursor_mz"), F.col("ms1_mz"), F.col("ms1_intensity"), lows, highs, config))
     out = out.withColumn("non_ionized_mass", F.col("precursor_mz") - F.lit(ion_mass)).withColumn("non_ionized_mz", F.transform("mz", lambda x: x - F.lit(ion_mass)))

@@ -8,14 +8,17 @@ formula. The tolerance is ppm of max(mass, 200).
 
 from __future__ import annotations
 
-import functools
+import math
+from collections import OrderedDict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionloom.functions import formula
+from ionloom.functions import arrays, formula
 from ionloom.functions.elements import DEFAULT_MAX, DEFAULT_MIN, ELEMENTS, INDEX, LEAST_TOLERANCE_MASS, MASSES, NUM_ELEMENTS, VALENCE
 
 _MASS = np.array(MASSES)
@@ -24,10 +27,17 @@ _CORE = [INDEX[e] for e in ("C", "H", "N", "O")]
 _HETERO = [i for i in range(NUM_ELEMENTS) if i not in _CORE]
 #: Arrow rows per batch of operators whose answers are long lists.
 BATCH_ROWS = 500
+#: Combinations of a lattice join at most, and bytes of tables that a worker keeps.
+LATTICE_ROWS, KEPT_BYTES = 10_000_000, 256 << 20
+#: Per-row bounds are searched in one table, up to the next multiple of so many atoms.
+BOUND_STEP = 4
 
 
 def lattice(spark: SparkSession, low: dict[str, int], high: dict[str, int], dbe: tuple[float, float] = (0, 40)) -> DataFrame:
     """formula (array<int>), lattice_mass: all formulas within bounds whose unsaturation is whole and in range."""
+    rows = math.prod(n + 1 - low.get(e, 0) for e, n in high.items())
+    if rows > LATTICE_ROWS:
+        raise ValueError(f"bounds allow {rows} combinations, over {LATTICE_ROWS}: use decompose_mass")
     df = spark.range(1).select(F.lit(0).alias("_one"))
     for e, n in high.items():
         df = df.crossJoin(spark.range(low.get(e, 0), n + 1).select(F.col("id").cast("int").alias(f"n_{e}"))) if n else df.withColumn(f"n_{e}", F.lit(0))
@@ -80,45 +90,66 @@ class Space:
         wide[:, i] = np.tile(n, len(rows))
         return wide[wide @ _MASS <= heaviest + 1]
 
-    def find_many(self, masses: np.ndarray, ppm: float, dbe: tuple[float, float]) -> list[np.ndarray]:
-        """For each mass the formulas (n, 15) within tolerance, by absolute error, then formula."""
-        none = np.empty((0, NUM_ELEMENTS), np.int32)
-        out = [none] * len(masses)
+    @property
+    def nbytes(self) -> int:
+        return 0 if self.empty else sum(a.nbytes for a in (self.core, self.core_mass, self.rest, self.rest_mass))
+
+    def find(self, masses: np.ndarray, ppm: float, dbe: tuple[float, float], low: np.ndarray | None = None, high: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(index of the mass, formula) of all formulas within tolerance, by mass, then absolute error, then formula.
+        low, high: (masses, 15) bounds of each mass, within the table's."""
+        none = np.empty(0, np.int64), np.empty((0, NUM_ELEMENTS), np.int32)
         if self.empty or not len(masses):
-            return out
+            return none
         masses = np.asarray(masses, float)
         tol = np.maximum(masses, LEAST_TOLERANCE_MASS) * ppm / 1e6
         # pairs of masses and hetero formulas, a bounded number at a time
         step = max(1, 2_000_000 // len(self.rest))
+        out = [none]
         for start in range(0, len(masses), step):
             part, t = masses[start : start + step], tol[start : start + step]
             which, rest = np.nonzero((part > 0)[:, None] & (self.rest_mass[None] <= (part + t)[:, None]))
+            if low is not None:
+                fits = np.ones(len(which), bool)
+                for e in _HETERO:
+                    n = self.rest[rest, e]
+                    fits &= (n >= low[start + which, e]) & (n <= high[start + which, e])
+                which, rest = which[fits], rest[fits]
             left = part[which] - self.rest_mass[rest]
             lo = np.searchsorted(self.core_mass, left - t[which] - 1e-9, "left")
             n = np.searchsorted(self.core_mass, left + t[which] + 1e-9, "right") - lo
             at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(n) else np.empty(0, np.int64)
             which, found = np.repeat(which, n), self.core[at] + self.rest[np.repeat(rest, n)]
-            total = np.zeros(len(found))
-            for i in range(NUM_ELEMENTS):  # in element order, as everywhere
-                total = total + found[:, i] * _MASS[i]
             u = 2 + found @ _VALENCE
-            error = np.abs(total - part[which])
+            error = np.abs(masses_of(found) - part[which])
             keep = (error <= t[which]) & (u % 2 == 0) & (u >= 2 * dbe[0]) & (u <= 2 * dbe[1])
+            if low is not None:
+                keep &= ((found >= low[start + which]) & (found <= high[start + which])).all(1)
             which, found, error = which[keep], found[keep], error[keep]
             order = np.lexsort((*[found[:, i] for i in reversed(range(NUM_ELEMENTS))], error, which))
-            which, found = which[order], found[order]
-            cuts = np.searchsorted(which, np.arange(len(part) + 1))
-            for i in np.flatnonzero(np.diff(cuts)):
-                out[start + i] = found[cuts[i] : cuts[i + 1]]
-        return out
+            out.append((start + which[order], found[order]))
+        return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def masses_of(formulas: np.ndarray) -> np.ndarray:
+    """Masses of (n, 15) formulas, summed in element order, as everywhere."""
+    total = np.zeros(len(formulas))
+    for i in range(NUM_ELEMENTS):
+        total = total + formulas[:, i] * _MASS[i]
+    return total
 
-    def find(self, mass: float, ppm: float, dbe: tuple[float, float]) -> np.ndarray:
-        return self.find_many(np.array([mass]), ppm, dbe)[0]
+
+_kept: OrderedDict[tuple, Space] = OrderedDict()
 
 
-@functools.lru_cache(64)
 def space(low: tuple[int, ...], high: tuple[int, ...], heaviest: float) -> Space:
-    return Space(low, high, heaviest)
+    """The table of these bounds; a worker keeps the latest ones, KEPT_BYTES of them or the last one."""
+    key = (low, high, heaviest)
+    if key not in _kept:
+        _kept[key] = Space(low, high, heaviest)
+        while len(_kept) > 1 and sum(s.nbytes for s in _kept.values()) > KEPT_BYTES:
+            _kept.popitem(last=False)
+    _kept.move_to_end(key)
+    return _kept[key]
 
 
 def _bounds(bounds: dict[str, int] | tuple[int, ...] | None, default: tuple[int, ...]) -> tuple[int, ...]:
@@ -127,33 +158,72 @@ def _bounds(bounds: dict[str, int] | tuple[int, ...] | None, default: tuple[int,
     return tuple(bounds.get(e, 0) for e in ELEMENTS) if isinstance(bounds, dict) else tuple(bounds)
 
 
-def _heaviest(masses: pd.Series) -> float:
+def _heaviest(masses: np.ndarray) -> float:
     """A cap on masses, in steps so that batches share their tables."""
-    top = masses.max()
-    return float(np.ceil(top / 100) * 100 + 1) if top == top else 0.0
+    fine = masses[np.isfinite(masses)]
+    return float(np.ceil(fine.max() / 100) * 100 + 1) if len(fine) else 0.0
+
+
+def _doubles(a: pa.Array) -> np.ndarray:
+    return pc.fill_null(a.cast(pa.float64()), math.nan).to_numpy(zero_copy_only=False)
+
+
+def _table(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, 15) counts of a list array and which rows have them."""
+    size = pc.fill_null(pc.list_value_length(a), -1).to_numpy(zero_copy_only=False)
+    known = size == NUM_ELEMENTS
+    out = np.zeros((len(a), NUM_ELEMENTS), np.int32)
+    if known.any():
+        out[known] = pc.fill_null(a.filter(pa.array(known)).flatten(), 0).to_numpy(zero_copy_only=False).reshape(-1, NUM_ELEMENTS)
+    return out, known
+
+
+def _nested(counts: np.ndarray, inner: pa.Array) -> pa.Array:
+    """A list array of so many items of inner each."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), inner)
+
+
+def _formulas(found: np.ndarray) -> pa.Array:
+    return _nested(np.full(len(found), NUM_ELEMENTS), pa.array(np.ascontiguousarray(found, np.int32).ravel()))
+
+
+def _candidates(rows: int, which: np.ndarray, found: np.ndarray, max_results: int | None) -> pa.Array:
+    """Lists of formulas per mass, the first max_results of each."""
+    counts = np.bincount(which, minlength=rows)
+    if max_results is not None:
+        start = np.concatenate(([0], np.cumsum(counts)[:-1]))
+        top = np.arange(len(which)) - start[which] < max_results
+        found, counts = found[top], np.minimum(counts, max_results)
+    return _nested(counts, _formulas(found))
 
 
 def decompose_mass(mass: Column, low=None, high=None, ppm: float = 5.0, dbe: tuple[float, float] = (0, 40), max_results: int | None = None) -> Column:
     """array<array<int>>: all formulas within uniform bounds; none for null masses."""
     lows, highs = _bounds(low, DEFAULT_MIN), _bounds(high, DEFAULT_MAX)
 
-    @F.pandas_udf("array<array<int>>")
-    def run(m: pd.Series) -> pd.Series:
-        s = space(lows, highs, _heaviest(m))
-        return pd.Series([s.find(x, ppm, dbe)[:max_results].tolist() for x in m])
+    @F.arrow_udf("array<array<int>>")
+    def run(m: pa.Array) -> pa.Array:
+        masses = _doubles(m)
+        return _candidates(len(m), *space(lows, highs, _heaviest(masses)).find(masses, ppm, dbe), max_results)
 
     return run(mass.cast("double"))
 
 
 def decompose_mass_per_bounds(mass: Column, low: Column, high: Column, ppm: float = 5.0, dbe: tuple[float, float] = (0, 40), max_results: int | None = None) -> Column:
-    """As decompose_mass with bounds (array<int> of 15) of each row; tables are shared by rows of equal bounds."""
+    """As decompose_mass with bounds (array<int> of 15) of each row. A batch is searched in one table of its loosest bounds,
+    in steps, so that batches share it; each row's own bounds then hold. An upper bound under 1 leaves an element out."""
 
-    @F.pandas_udf("array<array<int>>")
-    def run(m: pd.Series, lo: pd.Series, hi: pd.Series) -> pd.Series:
-        top = _heaviest(m)
-        return pd.Series([space(tuple(map(int, a)), tuple(map(int, b)), top).find(x, ppm, dbe)[:max_results].tolist() if a is not None and b is not None else [] for x, a, b in zip(m, lo, hi)])
+    @F.arrow_udf("array<array<int>>")
+    def run(m: pa.Array, lo: pa.Array, hi: pa.Array) -> pa.Array:
+        masses, (least, a), (most, b) = _doubles(m), _table(lo), _table(hi)
+        least = np.where(most > 0, np.minimum(least, most), 0)
+        most = np.maximum(most, 0)
+        masses = np.where(a & b, masses, math.nan)
+        top = -(-most.max(axis=0, initial=0) // BOUND_STEP) * BOUND_STEP
+        found = space(DEFAULT_MIN, tuple(top.tolist()), _heaviest(masses)).find(masses, ppm, dbe, least, most)
+        return _candidates(len(m), *found, max_results)
 
-    return run(mass.cast("double"), low, high)
+    return run(mass.cast("double"), low.cast("array<int>"), high.cast("array<int>"))
 
 
 def verbose(candidates: Column) -> Column:
@@ -161,31 +231,42 @@ def verbose(candidates: Column) -> Column:
     return F.struct(candidates.alias("formulas"), F.transform(candidates, formula.write).alias("formulas_str"))
 
 
-def _by_precursor(precursors: pd.Series, spectra: pd.Series, ppm: float, dbe: tuple[float, float]) -> list[list[np.ndarray]]:
-    """Candidates of each spectrum's fragments; all spectra of a precursor are searched at once."""
-    out: list[list[np.ndarray]] = [[] for _ in range(len(precursors))]
-    rows: dict[tuple[int, ...], list[int]] = {}
-    for i, (a, mz) in enumerate(zip(precursors, spectra)):
-        if a is not None and mz is not None:
-            rows.setdefault(tuple(map(int, a)), []).append(i)
-    for a, own in rows.items():
-        masses = [np.asarray(spectra.iloc[i], float) for i in own]
-        found = space(DEFAULT_MIN, a, float(np.dot(a, _MASS)) + 1).find_many(np.concatenate(masses), ppm, dbe)
-        at = 0
-        for i, m in zip(own, masses):
-            out[i] = found[at : at + len(m)]
-            at += len(m)
-    return out
+def _by_precursor(precursors: pa.Array, spectra: pa.Array, ppm: float, dbe: tuple[float, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(fragments of each row, their masses, index of the fragment, formula) of the formulas contained in the rows' precursors;
+    all spectra of a precursor are searched at once. Rows without a precursor or spectrum have no fragments."""
+    parents, known = _table(precursors)
+    size = pc.fill_null(pc.list_value_length(spectra), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    masses = _doubles(spectra.flatten())
+    of = np.repeat(np.arange(len(size)), size)
+    masses, of = masses[known[of]], of[known[of]]
+    kinds, kind = np.unique(parents, axis=0, return_inverse=True) if len(parents) else (parents, np.empty(0, np.int64))
+    kind = kind.reshape(-1)
+    out = [(np.empty(0, np.int64), np.empty((0, NUM_ELEMENTS), np.int32))]
+    for k, parent in enumerate(kinds):
+        own = np.flatnonzero(kind[of] == k)
+        if len(own):
+            which, found = space(DEFAULT_MIN, tuple(parent.tolist()), float(parent @ _MASS) + 1).find(masses[own], ppm, dbe)
+            out.append((own[which], found))
+    which, found = (np.concatenate(c) for c in zip(*out))
+    order = np.argsort(which, kind="stable")
+    return np.where(known, size, 0), masses, which[order], found[order]
 
 
 def decompose_fragments(precursor: Column, fragments: Column, ppm: float = 5.0, dbe: tuple[float, float] = (0, 30)) -> Column:
     """array<array<array<int>>>: for each fragment m/z the formulas contained in the precursor's; null fragments give none."""
 
-    @F.pandas_udf("array<array<array<int>>>")
-    def run(p: pd.Series, f: pd.Series) -> pd.Series:
-        return pd.Series([[c.tolist() for c in cs] for cs in _by_precursor(p, f, ppm, dbe)])
+    @F.arrow_udf("array<array<array<int>>>")
+    def run(p: pa.Array, f: pa.Array) -> pa.Array:
+        size, masses, which, found = _by_precursor(p, f, ppm, dbe)
+        return _nested(size, _candidates(len(masses), which, found, None))
+
+    return run(precursor.cast("array<int>"), fragments.cast("array<double>"))
 
-    return run(precursor, fragments)
+
+def decompose_fragments_verbose(precursor: Column, fragments: Column, ppm: float = 5.0, dbe: tuple[float, float] = (0, 30)) -> Column:
+    """struct<formulas, formulas_str>: decompose_fragments and its texts, list for list."""
+    found = decompose_fragments(precursor, fragments, ppm, dbe)
+    return arrays.bound(found, lambda c: F.struct(c.alias("formulas"), F.transform(c, lambda f: F.transform(f, formula.write)).alias("formulas_str")))
 
 
 def decompose_spectra(df: DataFrame, mass: str, fragments: str, ppm: float = 5.0, low=None, high=None) -> DataFrame:
@@ -208,54 +289,73 @@ def clean_spectra(precursor: Column, mz: Column, intensity: Column, ppm: float =
     )
 
 
-def recalibrate(candidates: list[np.ndarray], mz: np.ndarray, precursor: float, observed: float, threshold: float) -> tuple[np.ndarray, list[int], np.ndarray, np.ndarray]:
-    """Which fragments stay, the candidate of each, and their recalibrated masses and errors in ppm.
+def clean_spectra_verbose(precursor: Column, mz: Column, intensity: Column, ppm: float = 5.0) -> Column:
+    """clean_spectra with fragment_formulas_str besides."""
+    c = clean_spectra(precursor, mz, intensity, ppm)
+    fields = ("masses", "intensities", "fragment_formulas", "fragment_errors_ppm")
+    return arrays.bound(c, lambda x: F.struct(*[x[f].alias(f) for f in fields], F.transform(x["fragment_formulas"], lambda fs: F.transform(fs, formula.write)).alias("fragment_formulas_str")))
+
+
+def fitted(rows: int, of: np.ndarray, x: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's line e = a + b x with weights x, about the points' mean; b is 0 where they have one x. Rows without points: 0."""
+    w = np.bincount(of, x, rows)
+    some = np.where(w > 0, w, 1.0)
+    mx, me = np.bincount(of, x * x, rows) / some, np.bincount(of, x * e, rows) / some
+    dx = x - mx[of]
+    spread = np.bincount(of, x * dx * dx, rows)
+    b = np.where(w * spread > 1e-12, np.bincount(of, x * dx * (e - me[of]), rows) / np.where(spread > 0, spread, 1.0), 0.0)
+    return np.where(w > 0, me - b * mx, 0.0), np.where(w > 0, b, 0.0)
+
+
+def recalibrated(size: np.ndarray, mz: np.ndarray, which: np.ndarray, found: np.ndarray, precursor: np.ndarray, observed: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(fragments that stay, the candidate of each, recalibrated masses, errors in ppm) of a batch of spectra.
 
-    The error (calculated - observed) is fitted as a + b * m/z with weight m/z over fragments with one
-    candidate and the precursor; the others take the candidate nearest to the fit, which is then done anew.
+    A row's errors (calculated - observed) are fitted as a + b * m/z with weight m/z over fragments with one
+    candidate and the precursor; the others take the candidate nearest to the fit, to 12 digits, then the one with the
+    smallest error; the fit is then done anew.
     """
-    def fitted(x: list[float], e: list[float]) -> tuple[float, float]:
-        x_, e_ = np.array(x), np.array(e)
-        w = x_
-        sw, sx, sy, sxx, sxy = w.sum(), (w * x_).sum(), (w * e_).sum(), (w * x_ * x_).sum(), (w * x_ * e_).sum()
-        if not sw:
-            return 0.0, 0.0
-        d = sw * sxx - sx * sx
-        if abs(d) <= 1e-12:
-            return sy / sw, 0.0
-        b = (sw * sxy - sx * sy) / d
-        return (sy - b * sx) / sw, b
-
-    error = [np.array([sum(c[i] * MASSES[i] for i in range(NUM_ELEMENTS)) for c in cs]) - m for cs, m in zip(candidates, mz)]
-    extra = ([observed], [precursor - observed]) if observed and observed > 0 else ([], [])
-    one = [k for k, cs in enumerate(candidates) if len(cs) == 1]
-    a, b = fitted([*(mz[k] for k in one), *extra[0]], [*(error[k][0] for k in one), *extra[1]])
-    some = [k for k, cs in enumerate(candidates) if len(cs)]
-    pick = {k: int(np.argmin(np.abs(error[k] - (a + b * mz[k])))) for k in some}
-    a, b = fitted([*(mz[k] for k in some), *extra[0]], [*(error[k][pick[k]] for k in some), *extra[1]])
-    norm = np.array([mz[k] + a + b * mz[k] for k in some])
-    ppm = np.array([(error[k][pick[k]] - (a + b * mz[k])) * 1e6 for k in some]) / np.maximum(norm, LEAST_TOLERANCE_MASS)
+    rows = len(size)
+    row = np.repeat(np.arange(rows), size)
+    error = masses_of(found) - mz[which]
+    seen = np.flatnonzero(observed > 0)
+    extra = (seen, observed[seen], (precursor - observed)[seen])
+    join = lambda of, x, e: fitted(rows, *(np.concatenate(c) for c in zip((of, x, e), extra)))
+    single = np.flatnonzero(np.bincount(which, minlength=len(mz))[which] == 1)
+    a, b = join(row[which[single]], mz[which[single]], error[single])
+    off = np.round(np.abs(error - (a[row[which]] + b[row[which]] * mz[which])), 12)
+    order = np.lexsort((np.arange(len(which)), off, which))  # candidates stand by error and formula
+    pick = order[np.concatenate(([True], which[order][1:] != which[order][:-1]))] if len(order) else order
+    at = which[pick]
+    a, b = join(row[at], mz[at], error[pick])
+    shift = a[row[at]] + b[row[at]] * mz[at]
+    norm = mz[at] + shift
+    ppm = (error[pick] - shift) * 1e6 / np.maximum(norm, LEAST_TOLERANCE_MASS)
     keep = np.abs(ppm) <= threshold
-    stay = [k for k, x in zip(some, keep) if x]
-    return np.array(stay, int), [pick[k] for k in stay], norm[keep], ppm[keep]
+    return at[keep], pick[keep], norm[keep], ppm[keep]
 
 
 def clean_and_normalize_spectra(precursor: Column, observed_mass: Column, mz: Column, intensity: Column, ppm: float = 5.0, threshold_ppm: float = 5.0) -> Column:
     """struct<masses_normalized, intensities, fragment_formulas, fragment_errors_ppm, fragment_formulas_str>."""
 
-    @F.pandas_udf("masses_normalized array<double>, intensities array<double>, fragment_formulas array<array<int>>, fragment_errors_ppm array<double>")
-    def run(p: pd.Series, o: pd.Series, m: pd.Series, i: pd.Series) -> pd.DataFrame:
-        out = []
-        for a, obs, mz_, it, cs in zip(p, o, m, i, _by_precursor(p, m, ppm, (0, 30))):
-            if a is None or mz_ is None or it is None:
-                out.append(([], [], [], []))
-                continue
-            stay, pick, norm, err = recalibrate(cs, np.asarray(mz_, float), float(np.dot(a, _MASS)), 0.0 if obs is None or obs != obs else float(obs), threshold_ppm)
-            out.append((norm.tolist(), [float(it[k]) for k in stay], [cs[k][j].tolist() for k, j in zip(stay, pick)], err.tolist()))
-        return pd.DataFrame(out, columns=["masses_normalized", "intensities", "fragment_formulas", "fragment_errors_ppm"])
-
-    r = run(precursor, observed_mass.cast("double"), mz, intensity)
-    return F.struct(*[r[c].alias(c) for c in ("masses_normalized", "intensities", "fragment_formulas", "fragment_errors_ppm")], F.transform(r["fragment_formulas"], formula.write).alias("fragment_formulas_str"))
+    @F.arrow_udf("struct<masses_normalized: array<double>, place: array<int>, fragment_formulas: array<array<int>>, fragment_errors_ppm: array<double>>")
+    def run(p: pa.Array, o: pa.Array, m: pa.Array) -> pa.Array:
+        size, masses, which, found = _by_precursor(p, m, ppm, (0, 30))
+        parents, _ = _table(p)
+        at, pick, norm, err = recalibrated(size, masses, which, found, parents @ _MASS, np.nan_to_num(_doubles(o)), threshold_ppm)
+        start = np.concatenate(([0], np.cumsum(size)[:-1])) if len(size) else size
+        row = np.repeat(np.arange(len(size)), size)[at]
+        counts = np.bincount(row, minlength=len(size))
+        columns = (pa.array(norm), pa.array((at - start[row]).astype(np.int32)), _formulas(found[pick]), pa.array(err))
+        return pa.StructArray.from_arrays([_nested(counts, c) for c in columns], names=["masses_normalized", "place", "fragment_formulas", "fragment_errors_ppm"])
+
+    r = run(precursor.cast("array<int>"), observed_mass.cast("double"), F.when(intensity.isNotNull(), mz.cast("array<double>")))
+    return arrays.bound(r, lambda r: F.struct(
+        r["masses_normalized"].alias("masses_normalized"),
+        F.transform(r["place"], lambda k: F.get(intensity, k).cast("double")).alias("intensities"),
+        r["fragment_formulas"].alias("fragment_formulas"),
+        r["fragment_errors_ppm"].alias("fragment_errors_ppm"),
+        F.transform(r["fragment_formulas"], formula.write).alias("fragment_formulas_str"),
+    ))
 
 
 def batches_for_lists(spark: SparkSession) -> None:

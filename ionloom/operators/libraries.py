@@ -8,22 +8,30 @@ from pyspark.sql import functions as F
 from ionloom.functions import arrays
 
 
+# The patterns of adducts, and the instruments whose energies are related apart.
+FRAGMENT = r"-\d*((H(\d+|[A-Z]|[a-z]))|([A-G]|[I-Z])[a-z]?\d*)(([A-Z][a-z]?\d*))*"
+FLAGS = {"Isotope": "i", "Cation": "Cat", "Multimer": "[0-9]M", "MultiCharge": r"\][0-9]", "Fragment": FRAGMENT}
+INSTRUMENTS = ("Elite", "Velos", "Fusion")
+
+
 def precursor_type_flags(kind: Column) -> dict[str, Column]:
-    """What an adduct says of its ion."""
-    flags = {"Isotope": kind.contains("i"), "Cation": kind.contains("Cat"), "Multimer": F.regexp_like(kind, F.lit("[0-9]M")), "MultiCharge": F.regexp_like(kind, F.lit(r"\][0-9]")), "Fragment": F.regexp_like(kind, F.lit(r"\[M[+-][A-Za-z0-9]*-|\[M-[A-Z][A-Za-z0-9]*[a-z0-9]*\+|\[M-[A-Z]{1}[a-z0-9]+"))}
-    clean = ~(flags["Isotope"] | flags["Cation"] | flags["Multimer"] | flags["MultiCharge"] | flags["Fragment"])
-    return {**flags, "clean_precursor": clean}
+    """What an adduct says of its ion; clean_precursor: none of it, and the adduct names the molecule. Null for null."""
+    flags = {name: F.regexp_like(kind, F.lit(pattern)) for name, pattern in FLAGS.items()}
+    unclean = ~kind.contains("M")
+    for flag in flags.values():
+        unclean = unclean | flag
+    return {**flags, "clean_precursor": ~unclean}
 
 
 def molecular_ion_intensity(annotations: Column, intensity: Column) -> Column:
     """Intensity of the last peak if it is 'Mol'; -2 if 'Mol' stands elsewhere, -1 if nowhere."""
-    return F.when(F.element_at(annotations, -1) == "Mol", F.element_at(intensity, -1)).when(F.array_contains(annotations, "Mol"), F.lit(-2.0)).otherwise(F.lit(-1.0))
+    return F.when(F.try_element_at(annotations, F.lit(-1)) == "Mol", F.try_element_at(intensity, F.lit(-1))).when(F.array_contains(annotations, "Mol"), F.lit(-2.0)).otherwise(F.lit(-1.0))
 
 
 def base_peak(mz: Column, intensity: Column, precursor: Column) -> dict[str, Column]:
     """The most intense peak's m/z, its ratio to the precursor's and the difference, 3 decimals."""
     base = arrays.arg_max(intensity, mz)
-    return {"base_peak_mz": base, "base_peak_fraction": F.bround(base / precursor, 3), "base_peak_diff": F.bround(precursor - base, 3)}
+    return {"base_peak_mz": base, "base_peak_div_precursor_mz": arrays.rounded(base / precursor, 3), "precursor_minus_base_peak_mz": arrays.rounded(precursor - base, 3)}
 
 
 def energy_relation(df: DataFrame, x: Column, y: str, *keys: str) -> DataFrame:
@@ -40,6 +48,17 @@ def estimated_energy(df: DataFrame, nce: str, mz: str, ev: str, instrument: str)
     return df.join(lines, instrument, "left").withColumn("estimated_ev", x * F.col("slope") + F.col("intercept")).drop("slope", "intercept")
 
 
+def add_estimated_ev(library: DataFrame) -> DataFrame:
+    """library with Collision_energy_ev_estimated: for HCD spectra of the INSTRUMENTS, from the line of eV over NCE * m/z that the
+    instrument's spectra with both energies make; null for others. Needs the columns of a parsed library."""
+    kind = F.when(F.col("Instrument_type").contains("HCD"), F.coalesce(*[F.when(F.col("Instrument").contains(i), F.lit(i)) for i in INSTRUMENTS]))
+    x = F.col("Collision_energy_NCE") * F.col("PrecursorMZ")
+    known = library.withColumn("_kind", kind).filter("_kind is not null and Collision_energy_ev is not null and Collision_energy_NCE is not null")
+    lines = energy_relation(known, x, "Collision_energy_ev", "_kind").select(F.col("_kind").alias("_k"), "slope", "intercept")
+    out = library.join(F.broadcast(lines), kind == F.col("_k"), "left")  # a row for each of the INSTRUMENTS
+    return out.withColumn("Collision_energy_ev_estimated", x * F.col("slope") + F.col("intercept")).drop("_k", "slope", "intercept")
+
+
 def base_key(inchikey: Column) -> Column:
     """First block of an InChIKey."""
     return F.substring_index(inchikey, "-", 1)

@@ -46,9 +46,25 @@ def tree_score(precursor: Column, fragments: Column, metric: str = "l2") -> Colu
     return run(precursor, fragments)
 
 
+def _steps(d: int) -> np.ndarray:
+    """Steps of the d-dimensional additive sequence of lowest known discrepancy: powers of 1/g, g the root of x**(d+1) = x + 1."""
+    g = 2.0
+    for _ in range(200):
+        g = (1 + g) ** (1 / (d + 1))
+    return (1 / g) ** np.arange(1, d + 1) % 1
+
+
+#: Fractions of it set the sequences of different keys apart.
+KEY_STEP = 0.6180339887498949
+
+
 def coverage_score(precursor: Column, fragments: Column, key: Column, bandwidth: float = 0.12, alpha: float = 1.0, num_points: int = 2048, seed: int = 0) -> Column:
-    """100 times the mean over random points x of log1p(alpha * sum_j exp(-|x - f_j|^2 / 2 h^2)), f_j the distinct fragments over
-    the precursor in the elements that it has. The points follow from seed and key, not from a row's place. No fragments: 0."""
+    """100 times the mean over points x of log1p(alpha * sum_j exp(-|x - f_j|^2 / 2 h^2)), f_j the distinct fragments over
+    the precursor in the elements that it has. No fragments: 0.
+
+    The points x_i = frac((seed + key) * KEY_STEP + i * step), i from 1, are an additive sequence that key (a whole
+    number) shifts: they follow from seed and key, not from a row's place, and any engine can write them.
+    """
 
     @F.pandas_udf("double")
     def run(p: pd.Series, f: pd.Series, k: pd.Series) -> pd.Series:
@@ -60,9 +76,9 @@ def coverage_score(precursor: Column, fragments: Column, key: Column, bandwidth:
                 out.append(0.0)
                 continue
             x = np.unique(np.array([list(r) for r in rows], float)[:, dims], axis=0) / a[dims]
-            points = np.random.RandomState((seed + int(h)) & 0x7FFFFFFF).random_sample((num_points, len(dims)))
+            points = ((seed + int(h)) * KEY_STEP + np.arange(1, num_points + 1)[:, None] * _steps(len(dims))) % 1
             d2 = ((points[:, None, :] - x[None]) ** 2).sum(2)
             out.append(float(100 * np.log1p(alpha * np.exp(-d2 / (2 * bandwidth**2)).sum(1)).mean()))
         return pd.Series(out)
 
-    return run(precursor, fragments, F.xxhash64(key))
+    return run(precursor, fragments, key.cast("long"))

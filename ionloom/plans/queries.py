@@ -15,6 +15,7 @@ from ionloom.functions import arrays, formula
 from ionloom.functions.elements import ELEMENTS, INDEX, ISOTOPES, MASSES
 from ionloom.operators import chromatogram, decompose, isotopes, libraries, scores
 from ionloom.sources import annotators, spectra
+from ionloom.sources import compounds as compounds_sheets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -129,26 +130,25 @@ def clean_spectra(spark, sf_dir):
     return c.filter(F.size("c.masses") > 0).select("l_orderkey", F.size("c.masses").cast("long").alias("n_fragments"), F.size(errors).cast("long").alias("n_candidates"), F.round(F.aggregate(errors, F.lit(0.0), lambda s, x: s + F.abs(x)), 4).alias("sum_error_ppm"))
 
 
-FIT_SQL = "sum(w) AS sw, sum(w * x) AS sx, sum(w * e) AS sy, sum(w * x * x) AS sxx, sum(w * x * e) AS sxy"
-LINE_SQL = """CASE WHEN abs(sw * sxx - sx * sx) <= 1e-12 THEN sy / sw ELSE (sy - (sw * sxy - sx * sy) / (sw * sxx - sx * sx) * sx) / sw END AS a,
-  CASE WHEN abs(sw * sxx - sx * sx) <= 1e-12 THEN 0e0 ELSE (sw * sxy - sx * sy) / (sw * sxx - sx * sx) END AS b"""
+FIT_SQL = """{f} AS (SELECT l_orderkey, sw, mx, me, coalesce(CASE WHEN sw * sum(w * (x - mx) * (x - mx)) > 1e-12 THEN sum(w * (x - mx) * (e - me)) / sum(w * (x - mx) * (x - mx)) END, 0e0) AS b
+  FROM {p} JOIN (SELECT l_orderkey, sum(w) AS sw, sum(w * x) / sum(w) AS mx, sum(w * e) / sum(w) AS me FROM {p} GROUP BY l_orderkey) USING (l_orderkey) GROUP BY l_orderkey, sw, mx, me)"""
 OBS_SQL = "(20 * 1.007825e0 + 12 * 12e0 + 2 * 14.003074e0 + 6 * 15.994915e0)"
 
 
 @query(f"""{CAND_SQL}, each_ AS (SELECT *, m - mz AS err, count(*) OVER (PARTITION BY l_orderkey, l_extendedprice) AS k FROM cand),
 pre AS (SELECT DISTINCT l_orderkey, {OBS_SQL} AS x, 1e-3 AS e FROM each_),
 p1 AS (SELECT l_orderkey, mz AS w, mz AS x, err AS e FROM each_ WHERE k = 1 UNION ALL SELECT l_orderkey, x - e, x - e, e FROM pre),
-f1 AS (SELECT l_orderkey, {LINE_SQL} FROM (SELECT l_orderkey, {FIT_SQL} FROM p1 GROUP BY l_orderkey)),
-pick AS (SELECT each_.* FROM each_ JOIN f1 USING (l_orderkey) QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_extendedprice ORDER BY round(abs(err - (a + b * mz)), 12), abs(err), h, c, n, o) = 1),
+{FIT_SQL.format(f="f1", p="p1")},
+pick AS (SELECT each_.* FROM each_ JOIN f1 USING (l_orderkey) QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_extendedprice ORDER BY round(abs(err - (me - b * mx + b * mz)), 12), abs(err), h, c, n, o) = 1),
 p2 AS (SELECT l_orderkey, mz AS w, mz AS x, err AS e FROM pick UNION ALL SELECT l_orderkey, x - e, x - e, e FROM pre),
-f2 AS (SELECT l_orderkey, {LINE_SQL} FROM (SELECT l_orderkey, {FIT_SQL} FROM p2 GROUP BY l_orderkey)),
-out_ AS (SELECT l_orderkey, mz + a + b * mz AS norm, (err - (a + b * mz)) * 1e6 / greatest(mz + a + b * mz, 200e0) AS ppm FROM pick JOIN f2 USING (l_orderkey))
-SELECT l_orderkey, count(*) AS n_fragments, round(sum(norm), 4) AS sum_mass, round(sum(abs(ppm)), 3) AS sum_error_ppm FROM out_ WHERE abs(ppm) <= 50 GROUP BY l_orderkey""")
+{FIT_SQL.format(f="f2", p="p2")},
+out_ AS (SELECT l_orderkey, mz + (me - b * mx + b * mz) AS norm, (err - (me - b * mx + b * mz)) * 1e6 / greatest(mz + (me - b * mx + b * mz), 200e0) AS ppm FROM pick JOIN f2 USING (l_orderkey))
+SELECT l_orderkey, count(*) AS n_fragments, round(sum(norm), 6) AS sum_mass, round(sum(abs(ppm)), 3) AS sum_error_ppm FROM out_ WHERE abs(ppm) <= 50 GROUP BY l_orderkey""")
 def clean_normalize_spectra(spark, sf_dir):
     exact = sum(MASSES[INDEX[e]] * n for e, n in (("H", 20), ("C", 12), ("N", 2), ("O", 6)))
     c = fragments(spark, sf_dir).withColumn("c", decompose.clean_and_normalize_spectra(formula.literal(PRECURSOR), F.lit(exact - 1e-3), F.col("mz"), F.col("intensity"), 20.0, 50.0))
     add = lambda a, f: F.aggregate(a, F.lit(0.0), lambda s, x: s + f(x))
-    return c.filter(F.size("c.masses_normalized") > 0).select("l_orderkey", F.size("c.masses_normalized").cast("long").alias("n_fragments"), F.round(add("c.masses_normalized", lambda x: x), 4).alias("sum_mass"), F.round(add("c.fragment_errors_ppm", F.abs), 3).alias("sum_error_ppm"))
+    return c.filter(F.size("c.masses_normalized") > 0).select("l_orderkey", F.size("c.masses_normalized").cast("long").alias("n_fragments"), F.round(add("c.masses_normalized", lambda x: x), 6).alias("sum_mass"), F.round(add("c.fragment_errors_ppm", F.abs), 3).alias("sum_error_ppm"))
 
 
 # formulas as text: parts
@@ -222,41 +222,78 @@ def msms_string_parse(spark, sf_dir):
     return text.select("l_orderkey", F.size(mz).cast("long").alias("n_peaks"), F.round(arrays.total(mz), 5).alias("sum_mz"), arrays.total(i).alias("sum_i"))
 
 
-@query("""SELECT l_orderkey::VARCHAR AS name, 2 AS mslevel, o_orderstatus AS adduct, count(*) AS n_peaks, round(sum(l_extendedprice / 1000e0), 5) AS sum_mz, sum(l_quantity) AS sum_i,
-  o_orderkey % 2 = 0 AS is_single_spectra, 15e0 + o_custkey % 3 AS mean_collision_energy FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL""")
+@query("""SELECT l_orderkey::VARCHAR AS name, 2 AS mslevel, o_orderstatus AS adduct, count(*) AS n_peaks, round(sum(l_extendedprice / 1000e0), 5) AS sum_mz, sum(l_quantity) * 1e5 AS sum_i,
+  o_orderkey % 2 = 0 AS is_single_spectra, 2 - (o_orderkey % 2 = 0)::INT AS num_merged_spectra, 15e0 + o_custkey % 3 AS mean_collision_energy, round(o_totalprice, 2) AS pepmass, CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE 1 END AS charge,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'negative' ELSE 'positive' END AS ionmode, CASE WHEN o_orderkey % 5 = 0 THEN 'SINGLE_SCAN' ELSE 'SINGLE_BEST_SCAN' END AS spectype, (o_custkey % 100) / 100e0 AS purity,
+  6 AS n_c, CASE WHEN o_orderkey % 7 = 0 THEN 30e0 ELSE 0e0 END AS msn_mz FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL""")
 def mgf_block_parse(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.concat_ws("\n", F.collect_list(F.format_string("%.5f %.1f", F.col("l_extendedprice") / 1000, "l_quantity"))).alias("peaks"))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.concat_ws("\n", F.collect_list(F.format_string("%.5f %.1fE+05", F.col("l_extendedprice") / 1000, "l_quantity"))).alias("peaks"))
     both = lines.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    usi = F.when(F.col("o_orderkey") % 2 == 0, "[a]").otherwise("[a,b]")
-    block = F.concat_ws("\n", F.lit("BEGIN IONS"), F.concat(F.lit("NAME="), "l_orderkey"), F.lit("MSLEVEL=2"), F.concat(F.lit("ADDUCT="), "o_orderstatus"), F.concat(F.lit("USI="), usi), F.concat(F.lit("COLLISION_ENERGY=[10, "), (20 + 2 * (F.col("o_custkey") % 3)).cast("string"), F.lit("]")), "peaks", F.lit("END IONS"))
-    out = spectra.parse_mgf(both.select(block.alias("value")))
-    return out.select("name", "mslevel", "adduct", F.size("mz").cast("long").alias("n_peaks"), F.round(arrays.total(F.col("mz")), 5).alias("sum_mz"), arrays.total(F.col("intensity")).alias("sum_i"), "is_single_spectra", "mean_collision_energy")
-
-
-@query("SELECT l_orderkey::VARCHAR AS name, count(*) AS n_peaks, round(sum(l_extendedprice / 100e0), 4) AS sum_mz, round(sum(l_quantity), 6) AS sum_i, (l_orderkey % 50)::DOUBLE AS nce FROM lineitem GROUP BY l_orderkey")
+    key = F.col("o_orderkey")
+    line = lambda k, v: F.concat(F.lit(f"{k}="), v)
+    block = F.concat_ws(
+        "\n", F.lit("BEGIN IONS"), line("NAME", key), F.lit("DESCRIPTION=made of an order=so"), line("PEPMASS", F.format_string("%.2f", "o_totalprice")), line("CHARGE", F.when(key % 3 == 0, "-1").otherwise("1")), F.lit("MSLEVEL=2"),
+        line("ADDUCT", F.col("o_orderstatus")), line("USI", F.when(key % 2 == 0, "[a]").otherwise("[a,b]")), line("COLLISION_ENERGY", F.concat(F.lit("[10, "), (20 + 2 * (F.col("o_custkey") % 3)).cast("string"), F.lit("]"))),
+        line("IONMODE", F.when(key % 3 == 0, "Negative").otherwise("Positive")), F.when(key % 5 == 0, F.lit("SPECTYPE=SINGLE_SCAN")), line("PRECURSOR_PURITY", F.format_string("0.%02d", F.col("o_custkey") % 100)), F.lit("FORMULA=C6H12O6"),
+        F.when(key % 7 == 0, F.lit("MSn_precursor_mzs=[10.0, 20.0]")), F.lit("Num peaks=9"), "peaks", F.lit("END IONS"),
+    )
+    out = spectra.parse_mgf(both.select(block.alias("value")), msn=True)
+    return out.select(
+        F.col("NAME").alias("name"), F.col("MSLEVEL").cast("int").alias("mslevel"), F.col("ADDUCT").alias("adduct"), F.size("spectrum_mz").cast("long").alias("n_peaks"), F.round(arrays.total(F.col("spectrum_mz")), 5).alias("sum_mz"),
+        arrays.total(F.col("spectrum_intensity")).alias("sum_i"), "is_single_spectra", "num_merged_spectra", F.col("collision_energy_mean").alias("mean_collision_energy"), F.col("PEPMASS").alias("pepmass"), F.col("CHARGE").cast("int").alias("charge"),
+        F.col("IONMODE").alias("ionmode"), F.col("SPECTYPE").alias("spectype"), F.col("PRECURSOR_PURITY").alias("purity"), F.col("FORMULA_array")[INDEX["C"]].alias("n_c"), arrays.total(F.coalesce("MSn_precursor_mzs", F.array().cast("array<double>"))).alias("msn_mz"),
+    )
+
+
+#: An entry's peaks: the precursor, one with a fitting formula, one with another's, one without.
+PEAKS = (("181.0707", "p/0.0ppm"), ("163.0606", "C6H11O5=p-H2O/0.3ppm"), ("85.0284", "C9H9=p-C/9ppm"), ("60.1000", "?"))
+
+
+@query("""SELECT o_orderkey::VARCHAR AS name, o_orderkey AS nist_id, '50-99-7' AS cas, 'N2' AS gas, 4 AS n_raw, o_custkey + 6e0 AS sum_i, 3 * (o_orderkey % 3) AS mz_diff, 180::BIGINT AS mw,
+  round(list_sum(list_transform([181.0707e0, 163.0606e0, 85.0284e0, 60.1e0], lambda x: round_even(x / (1 + 3 * (o_orderkey % 3) * 1e-6) * 1e4, 0) / 1e4)), 4) AS normalized_mz,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'Mol C6H11O5' ELSE 'Mol' END AS clean_formulas, o_custkey + CASE WHEN o_orderkey % 3 = 0 THEN 2e0 ELSE 0e0 END AS clean_intensity,
+  CASE WHEN o_orderkey % 3 = 0 THEN -2e0 ELSE o_custkey::DOUBLE END AS molecular_ion_intensity, 13 AS ion_h, 'glucose dextrose' AS synonyms, o_orderkey % 50 AS nce, 'WQZGKKKJIJFFOK' AS base_key FROM orders""")
 def msp_entry_parse(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.concat_ws("\n", F.collect_list(F.format_string('%.4f %.1f "p/0.0ppm"', F.col("l_extendedprice") / 100, "l_quantity"))).alias("peaks"), F.max("l_quantity").alias("top"))
-    entry = F.concat_ws("\n", F.concat(F.lit("Name: "), "l_orderkey"), F.lit("Formula: C6H12O6"), F.lit("Precursor_type: [M+H]+"), F.concat(F.lit("Collision_energy: NCE="), F.col("l_orderkey") % 50), "peaks")
-    out = spectra.parse_msp(lines.select(entry.alias("value")))
-    return out.select("name", F.size("mz").cast("long").alias("n_peaks"), F.round(arrays.total(F.col("mz")), 4).alias("sum_mz"), r6(arrays.total(F.col("raw_intensity"))).alias("sum_i"), "nce")
-
-
-@query("""SELECT p_partkey, t, contains(t, 'i') AS "Isotope", contains(t, 'Cat') AS "Cation", regexp_matches(t, '[0-9]M') AS "Multimer", regexp_matches(t, '\\][0-9]') AS "MultiCharge"
-FROM (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN '[M+H]+' WHEN 1 THEN '[2M+H]+' WHEN 2 THEN '[M+2H]2+' WHEN 3 THEN '[M+H+i]+' ELSE '[Cat]+' END AS t FROM part)""")
+    """The formula of the second peak fits its mass only where nothing is corrected."""
+    key = F.col("o_orderkey")
+    line = lambda k, v: F.concat(F.lit(f"{k}: "), v.cast("string") if isinstance(v, Column) else F.lit(v))
+    height = lambda k: F.format_string("%d.0", F.col("o_custkey")) if k == 0 else F.lit(str(k + 1) if k < 3 else "1.00")
+    heights = [height(0), F.lit("2"), F.lit("3.0"), F.lit("1.00")]
+    shown = [F.concat(F.lit(f"{mz} "), heights[k], F.lit(f' "{note}"')) for k, (mz, note) in enumerate(PEAKS)]
+    entry = F.concat_ws(
+        "\n", line("Name", key), line("NIST#", key), line("DB#", "7"), line("Precursor_type", "[M+H]+"), line("Formula", "C6H12O6"), line("MW", "180"), line("ExactMass", "180.063388"), line("CAS#", "50-99-7"), line("Related_CAS#", "1-1-1"),
+        line("InChIKey", "WQZGKKKJIJFFOK-GASJEMHNSA-N"), line("Collision_gas", "N2"), F.concat(F.lit("Collision_energy: NCE="), key % 50, F.lit("% 9eV")), line("Synon", "glucose"), line("Synon", "dextrose"), line("PrecursorMZ", "181.0707"),
+        F.concat(F.lit('Comment: "Mz_diff='), 3 * (key % 3), F.lit('.0ppm"')), line("Num Peaks", "4"), *shown,
+    )
+    orders = table(spark, sf_dir, "orders").repartition(spark.sparkContext.defaultParallelism)  # a row becomes a whole entry
+    out = spectra.parse_msp(orders.select(entry.alias("value")))
+    return out.select(
+        F.col("Name").alias("name"), F.col("NIST_ID").alias("nist_id"), F.col("CAS").alias("cas"), F.col("Collision_gas").alias("gas"), F.size("raw_spectrum_mz").alias("n_raw"), arrays.total(F.col("raw_spectrum_intensity")).alias("sum_i"),
+        F.col("mz_diff").cast("long").alias("mz_diff"), F.col("MW").alias("mw"), F.round(arrays.total(F.col("normalized_spectrum_mz")), 4).alias("normalized_mz"), F.array_join("clean_spectrum_formula", " ").alias("clean_formulas"), arrays.total(F.col("clean_spectrum_intensity")).alias("clean_intensity"),
+        "molecular_ion_intensity", F.col("clean_spectrum_formula_array")[0][INDEX["H"]].alias("ion_h"), F.array_join("Synonyms", " ").alias("synonyms"), F.col("Collision_energy_NCE").alias("nce"), F.col("base_InChIKey").alias("base_key"),
+    )
+
+
+ADDUCTS = ("[M+H]+", "[2M+H]+", "[M+2H]2+", "[M+H+i]+", "[Cat]+", "[M-2H2O+H]+", "[M+Na-2H]-", "[123.1234]+", "[M-NH3+H]+", "[M-H]-", "[M+H-CH4]+")
+ADDUCT_SQL = "[" + ", ".join(f"'{a}'" for a in ADDUCTS) + "]"
+#: What the flags say of ADDUCTS, one by one, as read off the adducts.
+FLAG_SQL = {"Isotope": (3,), "Cation": (4,), "Multimer": (1,), "MultiCharge": (2,), "Fragment": (5, 8, 10), "clean_precursor": (0, 6, 9)}
+
+
+@query(f"SELECT p_partkey, {ADDUCT_SQL}[p_partkey % 11 + 1] AS t, " + ", ".join(f'p_partkey % 11 IN ({", ".join(map(str, at))}) AS "{flag}"' for flag, at in FLAG_SQL.items()) + " FROM part")
 def precursor_type_flags(spark, sf_dir):
-    k = F.col("p_partkey") % 5
-    t = F.when(k == 0, "[M+H]+").when(k == 1, "[2M+H]+").when(k == 2, "[M+2H]2+").when(k == 3, "[M+H+i]+").otherwise("[Cat]+")
+    t = F.get(F.array(*[F.lit(a) for a in ADDUCTS]), (F.col("p_partkey") % 11).cast("int"))
     flags = libraries.precursor_type_flags(F.col("t"))
-    return table(spark, sf_dir, "part").withColumn("t", t).select("p_partkey", "t", *[flags[c].alias(c) for c in ("Isotope", "Cation", "Multimer", "MultiCharge")])
+    return table(spark, sf_dir, "part").select("p_partkey", t.alias("t")).select("p_partkey", "t", *[c.alias(name) for name, c in flags.items()])
 
 
 @query(f"""{SPEC_SQL} SELECT l_orderkey, CASE WHEN l_orderkey % 3 = 0 THEN i[len(i)] WHEN l_orderkey % 3 = 1 THEN CASE WHEN len(i) = 1 THEN i[1] ELSE -2 END ELSE -1 END AS mol_intensity,
-  round_even(mz[list_position(i, list_max(i))] / mz[len(mz)], 3) AS base_peak_fraction, round_even(mz[len(mz)] - mz[list_position(i, list_max(i))], 3) AS base_peak_diff FROM t""")
+  round_even(mz[list_position(i, list_max(i))] / mz[len(mz)] * 1000, 0) / 1000 AS base_peak_fraction, round_even((mz[len(mz)] - mz[list_position(i, list_max(i))]) * 1000, 0) / 1000 AS base_peak_diff FROM t""")
 def library_spectrum_columns(spark, sf_dir):
     s = spectrum(spark, sf_dir)
     where = F.transform("mz", lambda x, i: F.when(((F.col("l_orderkey") % 3 == 0) & (i == F.size("mz") - 1)) | ((F.col("l_orderkey") % 3 == 1) & (i == 0)), F.lit("Mol")).otherwise(F.lit("x")))
     base = libraries.base_peak(F.col("mz"), F.col("i"), F.element_at("mz", -1))
-    return s.select("l_orderkey", libraries.molecular_ion_intensity(where, F.col("i")).alias("mol_intensity"), base["base_peak_fraction"].alias("base_peak_fraction"), base["base_peak_diff"].alias("base_peak_diff"))
+    return s.select("l_orderkey", libraries.molecular_ion_intensity(where, F.col("i")).alias("mol_intensity"), base["base_peak_div_precursor_mz"].alias("base_peak_fraction"), base["precursor_minus_base_peak_mz"].alias("base_peak_diff"))
 
 
 # events as peaks
@@ -270,7 +307,7 @@ def event_peaks(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("peak_id"), (us / 6e7).alias("rt_min"), F.col("value").alias("precursor_mz"), (1e4 * (1 + k)).alias("height"), "event_type", F.bround("value").cast("long").alias("nominal_mass"), F.floor(us / 1000000).alias("rt_sec"))
 
 
-@query(f"WITH {EVENT_SQL} SELECT a.peak_id, count(*) AS n_isobars, min(b.peak_id) AS first_isobar, sum(b.peak_id) AS sum_isobars FROM e a JOIN e b ON a.nominal = b.nominal AND abs(a.sec - b.sec) <= 600 AND a.height / b.height <= 3 AND a.peak_id <> b.peak_id GROUP BY a.peak_id")
+@query(f"WITH {EVENT_SQL} SELECT a.peak_id, count(*) AS n_isobars, min(b.peak_id) AS first_isobar, sum(b.peak_id)::BIGINT AS sum_isobars FROM e a JOIN e b ON a.nominal = b.nominal AND abs(a.sec - b.sec) <= 600 AND a.height / b.height <= 3 AND a.peak_id <> b.peak_id GROUP BY a.peak_id")
 def isobar_selfjoin(spark, sf_dir):
     found = chromatogram.annotate_isobars(event_peaks(spark, sf_dir), 600.0, 3.0).filter("isobars is not null")
     return found.select("peak_id", F.size("isobars").cast("long").alias("n_isobars"), F.col("isobars")[0].alias("first_isobar"), F.aggregate("isobars", F.lit(0).cast("long"), lambda s, x: s + x).alias("sum_isobars"))
@@ -279,9 +316,9 @@ def isobar_selfjoin(spark, sf_dir):
 @query(f"WITH {EVENT_SQL}, s AS (SELECT * FROM e WHERE event_type <> 'error'), b AS (SELECT * FROM e WHERE event_type = 'error') SELECT peak_id, round(mz, 6) AS mz FROM s WHERE NOT EXISTS (SELECT 1 FROM b WHERE abs(s.rt - b.rt) < 1000 AND abs(s.mz / b.mz - 1) <= 1e-3 AND s.height < 5 * b.height)")
 def blank_subtract(spark, sf_dir):
     e = event_peaks(spark, sf_dir)
-    cfg = chromatogram.BlankConfig(ms1_mass_tolerance=1e-3, rt_tolerance=1000.0, height_ratio=5.0)
+    cfg = chromatogram.BlankConfig(ms1_mass_tolerance=1000.0, dRT_min=1000.0, ratio=5.0)
     cols = ["peak_id", "rt_min", "precursor_mz", "height"]
-    left = chromatogram.subtract_blank(e.filter("event_type <> 'error'").select(cols), e.filter("event_type = 'error'").select(cols), cfg, with_ms2=False)
+    left = chromatogram.subtract_blank(e.filter("event_type <> 'error'").select(cols), e.filter("event_type = 'error'").select(cols), cfg)
     return left.select("peak_id", r6(F.col("precursor_mz")).alias("mz"))
 
 
@@ -364,15 +401,19 @@ def tree_score_cosine(spark, sf_dir):
     return _tree(spark, sf_dir, "cosine")
 
 
-@query()
+@query("""WITH s AS (SELECT DISTINCT l_orderkey, (l_partkey % 5) / 5e0 AS h, (l_suppkey % 4) / 4e0 AS c FROM lineitem), p AS (SELECT i, i * 0.7548776662466927e0 AS a, i * 0.5698402909980532e0 AS b FROM range(1, 65) r(i)),
+k AS (SELECT l_orderkey, i, sum(exp(-(((l_orderkey * 0.6180339887498949e0 + a) % 1 - h) ** 2 + ((l_orderkey * 0.6180339887498949e0 + b) % 1 - c) ** 2) / (2 * 0.12e0 ** 2))) AS near FROM s CROSS JOIN p GROUP BY ALL)
+SELECT l_orderkey, round(100 * avg(ln(1 + near)), 6) AS score FROM k GROUP BY l_orderkey""")
 def coverage_score(spark, sf_dir):
-    return small_formulas(spark, sf_dir).select("l_orderkey", r6(scores.coverage_score(formula.literal({"H": 5, "C": 4}), F.col("fragments"), F.col("l_orderkey"))).alias("score"))
+    """With 64 points."""
+    return small_formulas(spark, sf_dir).select("l_orderkey", r6(scores.coverage_score(formula.literal({"H": 5, "C": 4}), F.col("fragments"), F.col("l_orderkey"), num_points=64)).alias("score"))
 
 
 @query("SELECT a.vec_id, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: abs(x[1]::DOUBLE - x[2]::DOUBLE))), 5) AS l1, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS l2, round(list_cosine_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS cosine FROM embeddings a, embeddings b WHERE b.vec_id = 0")
 def vector_distances(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    both = e.join(F.broadcast(e.filter("vec_id = 0").select(F.col("e").alias("b"))))  # one row
+    one = e.filter("vec_id = 0").select(F.col("e").alias("b")).limit(1)
+    both = e.join(F.broadcast(one))  # one row
     return both.select("vec_id", F.round(arrays.l1(F.col("e"), F.col("b")), 5).alias("l1"), F.round(arrays.l2(F.col("e"), F.col("b")), 5).alias("l2"), F.round(arrays.cosine_distance(F.col("e"), F.col("b")), 5).alias("cosine"))
 
 
@@ -398,9 +439,9 @@ def topk(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(100)
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 5 = 0)")
 def anti_join(spark, sf_dir):
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").filter("o_orderkey % 5 = 0"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("SELECT s_suppkey AS id, s_name AS name, 'supplier' AS db FROM supplier UNION ALL SELECT c_custkey, c_name, 'customer' FROM customer")
@@ -489,15 +530,25 @@ def isotope_bounds(spark, sf_dir):
     return b.select("o_orderkey", *[F.col(f"b.{side}")[INDEX[e]].alias(f"{side}_{e.lower()}") for e in COUNTS for side in ("min", "max")])
 
 
-@query("""SELECT o_orderkey, (c = 0 OR n > 0 AND n / c BETWEEN 1 / 2.1e0 AND 2.1e0) AND (s = 0 OR m > 0 AND m / s BETWEEN 1 / 2.1e0 AND 2.1e0) AS fits
-FROM (SELECT o_orderkey, (o_orderkey % 30)::DOUBLE AS n, o_orderkey % 30 + o_orderkey % 11 AS c, (o_orderkey % 3)::DOUBLE AS m, o_orderkey % 3 + CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS s FROM orders)""")
+#: The claimed counts, and each claim's expected intensity over the seen one.
+CLAIM_SQL = """x AS (SELECT o_orderkey AS k, o_orderkey % 30 + o_orderkey % 11 AS c, o_orderkey % 4 AS n, o_orderkey % 3 + CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS s, o_orderkey % 4 AS cl, o_orderkey % 2 AS br,
+  1e8 * (o_orderkey % 30) * 0.0107e0 / 0.9893e0 AS ic, 1e8 * (o_orderkey % 3) * 0.0429e0 / 0.9493e0 AS si, 1e8 * (o_orderkey % 4) * 0.2422e0 / 0.7578e0 AS icl, 1e8 * (o_orderkey % 2) * 0.4931e0 / 0.5069e0 AS ibr FROM orders),
+y AS (SELECT *, 1e8 * c * 0.0107e0 / 0.9893e0 ** c AS ec, 1e8 * n * 0.004e0 / 0.996e0 ** n AS en, 1e8 * (c * 0.0107e0 + n * 0.004e0) / (0.9893e0 ** c * 0.996e0 ** n) AS ecn, 1e8 * s * 0.0429e0 / 0.9493e0 ** s AS es,
+  1e8 * cl * 0.2422e0 / 0.7578e0 ** cl AS ecl, 1e8 * br * 0.4931e0 / 0.5069e0 ** br AS ebr FROM x)"""
+FIT = "({e} < 5e5 OR {i} BETWEEN {e} / 1.7e0 AND {e} * 1.7e0)"
+REST_SQL = " AND ".join(FIT.format(e=e, i=i) for e, i in (("es", "si"), ("ecl", "icl"), ("ebr", "ibr")))
+
+
+@query(f"""WITH {CLAIM_SQL} SELECT k AS o_orderkey, {FIT.format(e='ec', i='ic')} AND en < 5e5 AND {REST_SQL} AS parted,
+  CASE WHEN n = 0 THEN {FIT.format(e='ec', i='ic')} WHEN c = 0 THEN en < 5e5 ELSE {FIT.format(e='ecn', i='ic')} END AND {REST_SQL} AS joint FROM y""")
 def isotope_fits(spark, sf_dir):
+    """At a high resolution C and N have a peak each (N has none here), at a low one a common one."""
     key = F.col("o_orderkey")
     mz, i = ms1(key, 200 + key % 50, F.lit(1e8))
-    claimed = {"C": key % 30 + key % 11, "S": key % 3 + F.when(key % 5 == 0, 1).otherwise(0), "Cl": key % 4, "Br": key % 2}
+    claimed = {"C": key % 30 + key % 11, "N": key % 4, "S": key % 3 + F.when(key % 5 == 0, 1).otherwise(0), "Cl": key % 4, "Br": key % 2}
     f = F.array(*[(claimed[e] if e in claimed else F.lit(0)).cast("int") for e in ELEMENTS])
-    fits = isotopes.fits_pattern(f, (200 + key % 50).cast("double"), mz, i, isotopes.IsotopeConfig(ratio_tolerance=2.1))
-    return table(spark, sf_dir, "orders").select("o_orderkey", fits.alias("fits"))
+    fits = lambda r: isotopes.fits_pattern(f, (200 + key % 50).cast("double"), mz, i, isotopes.PatternConfig(3e-6, r))
+    return table(spark, sf_dir, "orders").select("o_orderkey", fits(1.2e5).alias("parted"), fits(6e4).alias("joint"))
 
 
 @query(f"""WITH {LATTICE}, {PIECE_SQL}, x AS (SELECT p_partkey, {BUILT_SQL} AS mass, ceil((1e8 * (8 + p_partkey % 4) * 0.95e0 * 0.0107e0 / 0.9893e0 - 5e4) * 0.9893e0 / 0.0107e0 / 1e8) AS lo,
@@ -510,7 +561,7 @@ def annotate_pipeline(spark, sf_dir):
     d, p0, p1 = ISOTOPES["C"]
     peaks = built_masses(spark, sf_dir).select("p_partkey", ion.alias("precursor_mz"), pieces(MASSES[INDEX["H"]]).alias("mz"), F.array(*[F.lit(1.0)] * 3).alias("intensity"),
                                          F.array(ion, ion + d).alias("ms1_mz"), F.array(F.lit(1e8), 1e8 * (8 + F.col("p_partkey") % 4) * F.lit(p1 / p0)).alias("ms1_intensity"))
-    found = chromatogram.annotate_formulas(peaks, {}, BOUNDS, 3.0, 5.0, 1e3)
+    found = chromatogram.annotate_formulas(peaks, {}, BOUNDS, 3.0, 5.0, 1e3, config=isotopes.BoundsConfig())
     return found.groupBy("p_partkey").agg(F.count("formula").alias("n_formulas"), F.sum(F.size("cleaned.masses_normalized")).alias("n_fragments"))
 
 
@@ -532,12 +583,14 @@ def entropy_similarity(spark, sf_dir):
 
 @query(f"""WITH {EVENT_SQL}, f AS (SELECT *, CASE WHEN peak_id % 3 > 0 THEN peak_id % 4 END AS spec FROM e), s AS (SELECT * FROM f WHERE event_type <> 'error'), b AS (SELECT * FROM f WHERE event_type = 'error')
 SELECT peak_id, round(mz, 6) AS mz FROM s WHERE NOT EXISTS (SELECT 1 FROM b WHERE abs(s.mz / b.mz - 1) <= 1e-3 AND s.height < 5 * b.height
-  AND CASE WHEN s.spec IS NOT NULL AND b.spec IS NOT NULL THEN abs(s.rt - b.rt) < 2000 AND s.spec = b.spec ELSE abs(s.rt - b.rt) < 1000 END)""")
+  AND CASE WHEN s.spec IS NOT NULL AND b.spec IS NOT NULL THEN abs(s.rt - b.rt) < 2000 AND s.spec = b.spec AND b.peak_id % 2 = 0 ELSE abs(s.rt - b.rt) < 1000 END)""")
 def blank_subtract_ms2(spark, sf_dir):
     e = event_peaks(spark, sf_dir)
     has = F.col("peak_id") % 3 > 0
-    e = e.withColumn("mz", F.when(has, F.array((50 + F.col("peak_id") % 4).cast("double")))).withColumn("intensity", F.when(has, F.array(F.lit(1.0))))
-    cfg = chromatogram.BlankConfig(ms1_mass_tolerance=1e-3, rt_tolerance=1000.0, rt_tolerance_ms2=2000.0, height_ratio=5.0)
+    # one peak that tells spectra apart, off by 4 ppm or 12 where the key is odd, and noise of each peak's own
+    at = (50 + F.col("peak_id") % 4) * (1 + F.when(F.col("event_type") == "error", F.when(F.col("peak_id") % 2 == 0, 4e-6).otherwise(12e-6)).otherwise(0.0))
+    e = e.withColumn("mz", F.when(has, F.array(F.lit(30.0) + F.col("peak_id") % 17, at))).withColumn("intensity", F.when(has, F.array(F.lit(0.004), F.lit(1.0))))
+    cfg = chromatogram.BlankConfig(ms1_mass_tolerance=1000.0, dRT_min=1000.0, dRT_min_with_ms2=2000.0, ratio=5.0, use_ms2=True)
     cols = ["peak_id", "rt_min", "precursor_mz", "height", "mz", "intensity"]
     left = chromatogram.subtract_blank(e.filter("event_type <> 'error'").select(cols), e.filter("event_type = 'error'").select(cols), cfg)
     return left.select("peak_id", r6(F.col("precursor_mz")).alias("mz"))
@@ -556,3 +609,169 @@ def structure_enrichment(spark, sf_dir):
 @query("SELECT event_id, value FROM events ORDER BY event_id LIMIT 100 OFFSET 50")
 def slice_rows(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", "value").orderBy("event_id").offset(50).limit(100)
+
+
+# compositions with hetero elements, bounds of each row, formulas within formulas
+
+HETERO = {"C": 14, "H": 24, "N": 2, "O": 4, "S": 2, "Cl": 2}
+HETERO_SQL = """het AS (SELECT h, c, n, o, s, cl, h * 1.007825e0 + c * 12e0 + n * 14.003074e0 + o * 15.994915e0 + s * 31.972071e0 + cl * 34.96885271e0 AS m
+  FROM range(15) x(c), range(25) y(h), range(3) z(n), range(5) w(o), range(3) v(s), range(3) u(cl) WHERE (2 + 2 * c + n - h - cl) % 2 = 0 AND 2 + 2 * c + n - h - cl BETWEEN 0 AND 80)"""
+HETERO_NAME = NAME_SQL.rstrip()[:-1] + ", CASE WHEN s = 0 THEN '' WHEN s = 1 THEN 'S' ELSE concat('S', s) END, CASE WHEN cl = 0 THEN '' WHEN cl = 1 THEN 'Cl' ELSE concat('Cl', cl) END)"
+
+
+@query(f"WITH {HETERO_SQL} SELECT p_partkey, {HETERO_NAME} AS formula FROM part JOIN het ON {NEAR_SQL}")
+def decompose_mass_hetero(spark, sf_dir):
+    found = by_mass(spark, sf_dir, lambda m: decompose.verbose(decompose.decompose_mass(m, {}, HETERO)))
+    return found.select("p_partkey", F.explode("found.formulas_str").alias("formula"))
+
+
+@query(f"WITH {HETERO_SQL} SELECT p_partkey, {HETERO_NAME} AS formula FROM part JOIN het ON {NEAR_SQL} AND c BETWEEN p_size % 6 AND 14 AND s <= p_partkey % 3 AND cl >= p_partkey % 2")
+def decompose_mass_per_bounds_verbose(spark, sf_dir):
+    decompose.batches_for_lists(spark)
+    at = lambda e, x, i, c: F.when(i == INDEX[e], c).otherwise(x)
+    low = F.transform(formula.literal({}), lambda x, i: at("C", at("Cl", x, i, F.col("p_partkey") % 2), i, F.col("p_size") % 6))
+    high = F.transform(formula.literal(HETERO), lambda x, i: at("S", x, i, F.col("p_partkey") % 3))
+    found = masses(spark, sf_dir).withColumn("f", decompose.verbose(decompose.decompose_mass_per_bounds(F.col("mass"), low, high)))
+    return found.select("p_partkey", F.explode("f.formulas_str").alias("formula"))
+
+
+@query(f"{CAND_SQL} SELECT l_orderkey, l_extendedprice, {NAME_SQL} AS formula, round((m - mz) * 1e6 / mz, 4) AS error_ppm FROM cand")
+def clean_spectra_verbose(spark, sf_dir):
+    c = fragments(spark, sf_dir).withColumn("c", decompose.clean_spectra_verbose(formula.literal(PRECURSOR), F.col("mz"), F.col("key"), 20.0))
+    rows = c.select("l_orderkey", F.explode(F.arrays_zip("c.intensities", "c.fragment_formulas_str", "c.fragment_errors_ppm")).alias("x"))
+    rows = rows.select("l_orderkey", F.col("x.intensities").alias("l_extendedprice"), F.explode(F.arrays_zip(F.col("x.fragment_formulas_str").alias("f"), F.col("x.fragment_errors_ppm").alias("e"))).alias("y"))
+    return rows.select("l_orderkey", "l_extendedprice", F.col("y.f").alias("formula"), F.round("y.e", 4).alias("error_ppm"))
+
+
+@query(f"{CAND_SQL} SELECT l_orderkey, l_extendedprice, count(*) AS n, min({NAME_SQL}) AS first_formula FROM cand GROUP BY ALL")
+def decompose_spectra_verbose(spark, sf_dir):
+    found = fragments(spark, sf_dir).withColumn("c", decompose.decompose_fragments_verbose(formula.literal(PRECURSOR), F.col("mz"), 20.0))
+    rows = found.select("l_orderkey", F.explode(F.arrays_zip(F.col("key"), F.col("c.formulas").alias("f"), F.col("c.formulas_str").alias("s"))).alias("x")).filter(F.size("x.f") > 0)
+    return rows.select("l_orderkey", F.col("x.key").alias("l_extendedprice"), F.size("x.f").cast("long").alias("n"), F.array_min("x.s").alias("first_formula"))
+
+
+@query("""SELECT p_partkey, greatest(p_size % 12 - 1, 0) AS min_c, p_size % 12 + 1 AS max_c, CASE WHEN p_partkey % 4 > 0 THEN 1 ELSE 0 END AS min_n, CASE WHEN p_partkey % 4 > 0 THEN 30 ELSE 0 END AS max_n, (p_partkey % 3)::INT AS min_cl, (p_partkey % 3)::INT AS max_cl,
+  100 AS max_h FROM part""")
+def bounds_around_formula(spark, sf_dir):
+    counts = {"C": F.col("p_size") % 12, "N": F.col("p_partkey") % 4, "Cl": F.col("p_partkey") % 3}
+    b = isotopes.bounds_around(F.array(*[counts.get(e, F.lit(0)).cast("int") for e in ELEMENTS]))
+    at = lambda side, e: F.col(f"b.{side}")[INDEX[e]].alias(f"{side}_{e.lower()}")
+    return table(spark, sf_dir, "part").select("p_partkey", b.alias("b")).select("p_partkey", at("min", "C"), at("max", "C"), at("min", "N"), at("max", "N"), at("min", "Cl"), at("max", "Cl"), at("max", "H"))
+
+
+@query("SELECT p_partkey, c <= 5 AND h <= 8 AND (c < 5 OR h < 8) AS inside, c >= 0 AND h >= 0 AS valid FROM (SELECT p_partkey, p_size % 7 - (p_partkey % 13 = 0)::INT AS c, p_partkey % 10 AS h FROM part)")
+def subformula_test(spark, sf_dir):
+    """Negative counts are never valid."""
+    counts = {"C": F.col("p_size") % 7 - (F.col("p_partkey") % 13 == 0).cast("int"), "H": F.col("p_partkey") % 10}
+    f = F.array(*[counts.get(e, F.lit(0)).cast("int") for e in ELEMENTS])
+    return table(spark, sf_dir, "part").select("p_partkey", formula.is_subformula(f, formula.literal({"C": 5, "H": 8})).alias("inside"), formula.is_valid(f).alias("valid"))
+
+
+@query("SELECT i AS nist_id, 24 * 12e0 + 52 * 1.007825e0 + 4 * 14.003074e0 + 8 * 15.994915e0 AS mass, 3 AS n_fragments, 52 AS n_h FROM range(1, 1001) r(i)")
+def mock_library(spark, sf_dir):
+    lib = spectra.mock_library(spark, 1000)
+    return lib.select(F.col("NIST_ID").alias("nist_id"), F.round("PrecursorMZ", 9).alias("mass"), F.size("raw_spectrum_mz").alias("n_fragments"), F.col("Formula_array")[0].alias("n_h"))
+
+
+# chromatograms as a whole
+
+@query(f"""WITH {EVENT_SQL}, f AS (SELECT *, peak_id % 3 > 0 AS has, 50 + peak_id % 4 AS m1, 20 + peak_id % 31 AS i1, 100 AS i2 FROM e),
+iso AS (SELECT a.peak_id, list(b.peak_id ORDER BY b.peak_id) AS isobars FROM f a JOIN f b ON a.has AND b.has AND a.nominal = b.nominal AND abs(a.sec - b.sec) <= 6 AND a.height / b.height <= 3 AND a.peak_id <> b.peak_id GROUP BY a.peak_id)
+SELECT f.peak_id, round(mz, 4) AS precursor, CASE WHEN has THEN round(-(i1 / (i1 + i2) * ln(i1 / (i1 + i2)) + i2 / (i1 + i2) * ln(i2 / (i1 + i2))), 5) ELSE -1e0 END AS entropy, has AND i1 / 100e0 <= 0.2e0 AND mz > 450 AS low, coalesce(len(isobars), 0) AS n_isobars
+FROM f LEFT JOIN iso USING (peak_id)""")
+def chromatogram_annotation(spark, sf_dir):
+    """Events with a spectrum of two peaks, the larger one far above every precursor, or for high ones below."""
+    e = event_peaks(spark, sf_dir)
+    has = F.col("peak_id") % 3 > 0
+    mz = F.when(has, F.array((50 + F.col("peak_id") % 4).cast("double"), F.when(F.col("precursor_mz") > 450, F.col("precursor_mz")).otherwise(F.lit(1000.0))))
+    i = F.when(has, F.array((20 + F.col("peak_id") % 31) / 100, F.lit(1.0)))
+    none = F.lit(None).cast("array<double>")
+    df = e.select("peak_id", "rt_min", "rt_sec", "precursor_mz", "nominal_mass", "height", F.lit("[M+H]+").alias("adduct"), mz.alias("mz"), i.alias("intensity"), none.alias("ms1_mz"), none.alias("ms1_intensity"))
+    out = chromatogram.from_output(chromatogram.annotated(df))
+    low = F.col("energy_is_too_low")
+    return out.select("peak_id", F.round("precursor_mz", 4).alias("precursor"), F.coalesce(F.round(F.col("spectral_entropy").cast("double"), 5), F.lit(-1.0)).alias("entropy"), F.coalesce(low, F.lit(False)).alias("low"), F.coalesce(F.when(F.col("isobars").isNotNull(), F.size("isobars").cast("long")), F.lit(0).cast("long")).alias("n_isobars"))
+
+
+# libraries and services
+
+@query("""WITH f AS (SELECT l_returnflag, regr_slope(l_tax::BIGINT + l_linenumber, l_quantity * l_extendedprice) AS a, regr_intercept(l_tax::BIGINT + l_linenumber, l_quantity * l_extendedprice) AS b FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1)
+SELECT l_orderkey, l_extendedprice, CASE WHEN l_linestatus = 'F' THEN round(l_quantity * l_extendedprice * a + b, 5) ELSE -1e0 END AS estimated FROM lineitem LEFT JOIN f USING (l_returnflag)""")
+def estimated_ev_by_instrument(spark, sf_dir):
+    """Flags stand for instruments, open lines for spectra that are not HCD."""
+    name = F.when(F.col("l_returnflag") == "A", "Orbitrap Elite").when(F.col("l_returnflag") == "N", "Velos Pro").otherwise("Thermo Fusion Lumos")
+    lib = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_extendedprice", F.col("l_quantity").alias("Collision_energy_NCE"), F.col("l_extendedprice").alias("PrecursorMZ"), (F.rint("l_tax") + F.col("l_linenumber")).alias("Collision_energy_ev"), F.when(F.col("l_linestatus") == "F", "HCD-FT").otherwise("IT").alias("Instrument_type"), name.alias("Instrument"))
+    return libraries.add_estimated_ev(lib).select("l_orderkey", "l_extendedprice", F.coalesce(F.round("Collision_energy_ev_estimated", 5), F.lit(-1.0)).alias("estimated"))
+
+
+@query("""SELECT o_orderkey AS identifier, CASE WHEN o_orderkey % 4 = 0 THEN '[M+Na]+' WHEN o_orderkey % 3 = 0 THEN '[M-H]-' ELSE '[M+H]+' END AS adduct, CASE WHEN o_orderkey % 5 = 0 THEN CASE WHEN o_orderkey % 4 = 0 THEN 0 WHEN o_orderkey % 3 = 0 THEN -1 ELSE 1 END
+  WHEN o_orderkey % 5 = 1 THEN 2 WHEN o_orderkey % 3 = 0 THEN -1 ELSE 1 END AS charge FROM orders WHERE o_orderkey % 7 > 1""")
+def annotation_features(spark, sf_dir):
+    key = F.col("o_orderkey")
+    peaks = F.when(key % 7 == 0, F.array().cast("array<double>")).when(key % 7 == 1, F.array(F.lit(-1.0), F.lit(2.0))).otherwise(F.array(F.lit(1.0), F.lit(2.0)))
+    polarity = F.when(key % 3 == 0, "Negative").when(key % 3 == 1, "positive").otherwise("?")
+    df = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.when(key % 7 == 0, peaks).otherwise(F.array(F.lit(50.0), F.lit(60.0))).alias("m"), peaks.alias("i"), polarity.alias("pol"), F.when(key % 4 == 0, "[M+Na]+").alias("add"), F.when(key % 5 == 0, "0").when(key % 5 == 1, "2").when(key % 5 == 2, "x").alias("z"))
+    columns = annotators.FeatureColumns("o_orderkey", "o_totalprice", "m", "i", adduct_col="add", charge_col="z", polarity_col="pol")
+    return annotators.to_features(df, columns).select("identifier", "adduct", "charge")
+
+
+@query("""SELECT event_id::VARCHAR AS feature, (props::JSON->>'k')::INT % 3 + 1 AS rank, 6 AS n_c, 2 AS n_fragments, 12 AS fragment_h, 1e0 AS intensity FROM events WHERE (props::JSON->>'k')::INT % 3 < 2 AND event_id % 2 = 0""")
+def service_answers(spark, sf_dir):
+    """Features with spectra, their formulas of rank 1 and 2 and the trees of these, from answers made of events."""
+    e = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("id"), "event_id", (F.get_json_object("props", "$.k").cast("int") % 3 + 1).alias("rank"))
+    feature = F.to_json(F.struct(F.col("id").alias("alignedFeatureId"), F.lit(180.5).alias("ionMass"), F.lit(1).alias("charge"), (F.col("event_id") % 2 == 0).alias("hasMsMs")))
+    found = F.to_json(F.array(F.struct(F.concat(F.lit("f"), "id").alias("formulaId"), F.lit("C6H12O6").alias("molecularFormula"), "rank", F.lit(1.5).alias("siriusScore"))))
+    part = lambda f, i: F.struct(F.lit(f).alias("molecularFormula"), F.lit("[M + H]+".replace(" ", "")).alias("adduct"), F.lit(i).alias("intensity"))
+    tree = F.to_json(F.struct(F.lit("C6H12O6").alias("molecularFormula"), F.array(part("C6H11O5", 1.0), part("C2H4O", 0.5)).alias("fragments")))
+    features = annotators.features_of(e.select(feature.alias("body")))
+    formulas = annotators.formulas_of(e.select("id", found.alias("body")))
+    trees = annotators.trees_of(e.select(F.concat("id", F.lit("/formulas/f"), "id").alias("id"), tree.alias("body")))
+    out = annotators.all_info(features, trees, formulas, max_formulas_per_feature=2)
+    return out.select(F.col("alignedFeatureId").alias("feature"), "rank", F.col("molecularFormula_array")[INDEX["C"]].alias("n_c"), F.size("fragment_formulas_array").alias("n_fragments"), F.col("fragment_formulas_array")[0][0].alias("fragment_h"), F.col("fragments_intensities")[0].alias("intensity"))
+
+
+@query("SELECT p_partkey AS id, p_partkey % 2 = 0 AS flag, p_size % 12 AS n_c, CASE WHEN p_partkey % 3 > 0 THEN concat('a+', p_partkey) ELSE '' END AS synonyms, p_retailprice AS mass FROM part")
+def compound_sheets(spark, sf_dir):
+    """A compound list and its synonyms as they come out of sheets: all text."""
+    part = table(spark, sf_dir, "part")
+    flag = F.when(F.col("p_partkey") % 2 == 0, "Y").otherwise("N")
+    main = part.select(F.concat(F.lit("DTXSID"), "p_partkey").alias("DTXSID"), F.col("p_partkey").cast("string").alias("PREFERRED_NAME"), flag.alias("EXPOCAST"), F.concat(F.when(F.col("p_size") % 12 > 0, F.concat(F.lit("C"), F.col("p_size") % 12)).otherwise(""), F.lit("H4")).alias("MOLECULAR_FORMULA"), F.col("p_retailprice").cast("string").alias("MONOISOTOPIC_MASS"))
+    other = part.filter("p_partkey % 3 > 0").select(F.col("p_partkey").cast("string").alias("SEARCHED_CHEMICAL"), F.concat(F.lit("a|"), "p_partkey").alias("IDENTIFIER"))
+    out = compounds_sheets.join_sheets(compounds_sheets.clean_main_sheet(compounds_sheets.typed(main)), compounds_sheets.clean_synonym_sheet(other))
+    return out.select(F.col("DTXSID").alias("id"), F.col("EXPOCAST").alias("flag"), F.col("MOLECULAR_FORMULA_array")[INDEX["C"]].alias("n_c"), F.coalesce(F.array_join("synonyms", "+"), F.lit("")).alias("synonyms"), F.col("MONOISOTOPIC_MASS").alias("mass"))
+
+
+# small operations
+
+@query("SELECT o_orderkey FROM orders ORDER BY md5(o_orderkey::VARCHAR), o_orderkey LIMIT 100")
+def sample_rows(spark, sf_dir):
+    """A sample of a fixed size that is the same in every run: the smallest hashes."""
+    return table(spark, sf_dir, "orders").select("o_orderkey").orderBy(F.md5(F.col("o_orderkey").cast("string").cast("binary")), "o_orderkey").limit(100)
+
+
+@query("SELECT event_type, bool_or(isnan(sqrt_) ) AS any_nan FROM (SELECT event_type, CASE WHEN event_id % 997 = 3 THEN 'nan'::DOUBLE ELSE value END AS sqrt_ FROM events) GROUP BY event_type")
+def any_nan(spark, sf_dir):
+    v = F.when(F.col("event_id") % 997 == 3, F.lit(float("nan"))).otherwise(F.col("value"))
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.max(F.isnan(v)).alias("any_nan"))
+
+
+CORRELATED = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+@query(" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM lineitem" for a in CORRELATED for b in CORRELATED))
+def correlation_matrix(spark, sf_dir):
+    """All pairs in one pass over the table."""
+    one = table(spark, sf_dir, "lineitem").agg(*[F.corr(a, b).alias(f"{a}|{b}") for a in CORRELATED for b in CORRELATED])
+    rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r6(F.col(f"`{a}|{b}`")).alias("r")) for a in CORRELATED for b in CORRELATED])
+    return one.select(F.explode(rows).alias("x")).select("x.*")
+
+
+@query("SELECT l_orderkey, l_extendedprice AS candidate, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice)::INT AS rank FROM lineitem")
+def candidate_ranks(spark, sf_dir):
+    lists = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_extendedprice")).alias("candidate"))
+    return annotators.ranked(lists, "l_orderkey", "candidate").select("l_orderkey", "candidate", F.col("rank").cast("int").alias("rank"))
+
+
+@query("SELECT vec_id, round(list_sum(list_slice(embedding, 1, 15)::DOUBLE[]), 5) AS low, round(list_sum(list_slice(embedding, 16, 30)::DOUBLE[]), 5) AS high FROM embeddings")
+def array_slices(spark, sf_dir):
+    side = lambda at: F.round(arrays.total(F.transform(F.slice("embedding", at, 15), lambda x: x.cast("double"))), 5)
+    return table(spark, sf_dir, "embeddings").select("vec_id", side(1).alias("low"), side(16).alias("high"))
