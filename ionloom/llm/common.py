@@ -56,13 +56,13 @@ def discard(df: DataFrame | None) -> None:
         hadoop.getFileSystem(sc._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def join_small(df: DataFrame, small: DataFrame, on: list[str], how: str = "left", salts: int = 16) -> DataFrame:
+def join_small(df: DataFrame, small: DataFrame, on: list[str], how: str = "left", salts: int = 16, rows: int | None = None) -> DataFrame:
     """Join a table of one row per key, for instance of statistics per source.
 
-    It is counted first: up to BROADCAST_ROWS rows it is broadcast. A larger one is joined by a
+    It is counted first, unless `rows` says how many it has: up to BROADCAST_ROWS rows it is broadcast. A larger one is joined by a
     shuffle in which every key is dealt over `salts` partitions, so that a hot key is no hot task.
     """
-    if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if (small.limit(BROADCAST_ROWS + 1).count() if rows is None else rows) <= BROADCAST_ROWS:
         return df.join(F.broadcast(small), on, how)
     dealt = df.withColumn("_salt", F.pmod(F.hash(*[df[c] for c in df.columns if c not in on][:2]), F.lit(salts)))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
