@@ -13,22 +13,28 @@ from pyspark.sql import functions as F
 
 #: Rows of a table that may be broadcast; beyond it a shuffled join takes over.
 BROADCAST_ROWS = 20_000
-#: Rows of long texts in an Arrow batch (about 3 MB on web pages; a 20,000-word page is 0.1 MB).
-TEXT_ROWS = 512
+#: Bytes of an Arrow batch that goes to a Python worker, one longer text excepted: work arrays take some ten times that.
+TEXT_BYTES = 2 << 20
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _own_dir: list[str] = []
 
 
-def text_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
-    """Hold the Arrow batches that Python workers get to a size that long texts can't blow up."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def text_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session by bytes, so that long texts can't fill a worker; a bound that the user has
+    set stays. Every operator asks for the same, so lazy frames don't get in each other's way."""
+    if int(spark.conf.get(_BATCH_BYTES).rstrip("bB")) >= 1 << 30:
+        spark.conf.set(_BATCH_BYTES, TEXT_BYTES)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
+    """The folder in spark.checkpoint.dir. Where that is unset it is one of our own under a local master, as in tests; on a
+    cluster that would be another folder on each machine, so it is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if path:
         return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="ionloom-"))
     return _own_dir[0]
