@@ -16,21 +16,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ionloom.llm.anchors import anchors, powers, prefix_hashes
 from ionloom.llm.common import discard, materialize, mixed, release, text_batches, whole_groups
+from ionloom.llm.units import unit_columns
 
 WIDTH = 100
-#: Differing contexts of one anchor that are sorted in one task; those of a more frequent anchor are
-#: compared by grouped minima, which any number of tasks share: first by pieces of PIECE windows, then the
-#: windows of the pieces that may differ in part.
+#: Differing contexts of one anchor that are sorted in one task. Those of a more frequent anchor are split: they are
+#: compared by grouped bytes, which any number of tasks share, first by pieces of PIECE windows, then the
+#: windows of the pieces that may differ in part. Both ways give the same spans.
 GROUP, PIECE = 1000, 10
-#: Texts in an Arrow batch: each gives many anchors and contexts, all of them held at once.
-BATCH_ROWS = 128
-#: The id that stands for null; it comes last.
-NULL_ID = (1 << 63) - 1
 
 
 def common_extension(prefix: np.ndarray, a: np.ndarray, b: np.ndarray, limit: np.ndarray) -> np.ndarray:
@@ -136,6 +133,13 @@ def repeated_windows(contexts: list[bytes], anchor: np.ndarray, n_windows: np.nd
             span = np.arange(width)
             same = (raw[(base[x] + window[x])[:, None] + span] == raw[(base[y] + window[y])[:, None] + span]).all(1)
             out[x[same], window[x[same]]] = True
+            # a class of unequal windows is gone through one by one
+            for c in np.unique(inverse[repeats[at : at + 100_000][~same]]):
+                seen: set[bytes] = set()
+                for k in has[inverse == c]:
+                    w = contexts[k][window[k] : window[k] + width]
+                    out[k, window[k]] = w in seen
+                    seen.add(w)
     return out
 
 
@@ -148,143 +152,152 @@ def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
+def _place() -> Column:
+    """The order that documents and places in them stand in."""
+    return F.struct((F.col("sub") < 0).alias("none"), "k", "sub", "q")
+
+
 def _with_text(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
-    """docs (id, text) joined with rows gathered by id in the column `asked`."""
-    return docs.join(rows, "id", how).select("id", "text", "asked")
+    """docs (k, sub, text) joined with rows gathered by document in the column `asked`."""
+    return docs.join(rows, ["k", "sub"], how).select("k", "sub", "text", "asked")
 
 
-def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """id, q, n: runs of n windows that start at byte q and each repeat an earlier window. docs: id long, text."""
-    text_batches(docs.sparkSession, BATCH_ROWS)
+def repeated_spans(docs: DataFrame, width: int = WIDTH, repeated: bool = True) -> DataFrame:
+    """k, sub, q, n: runs of n windows that start at byte q and each repeat an earlier window. docs: k, sub, text; see units.
+    repeated: whether a document may stand in several rows."""
+    text_batches(docs.sparkSession)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list[np.ndarray]] = [[], [], []]
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for k, sub, text in zip(*(b.column(i).to_pylist() for i in range(3))):
                 raw = np.frombuffer(_bytes(text), np.uint8)
                 if len(raw) >= width:
                     pos, h, _, _ = anchors(raw, width)
-                    for column, v in zip(out, (h, np.full(len(h), i), pos.astype(np.int32))):
+                    for column, v in zip(out, (h, np.full(len(h), k), (sub << 32) | pos)):
                         column.append(v)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["h", "id", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["h", "k", "sp"])
 
-    found = materialize(docs.mapInArrow(find, "h long, id long, pos int"))
+    found = materialize(docs.mapInArrow(find, "h long, k long, sp long"))
     twice = found.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select(mixed(F.col("h")).alias("x"))
-    hits = found.select(mixed(F.col("h")).alias("x"), "id", "pos").join(twice, "x").groupBy("id").agg(F.collect_list("pos").alias("asked"))
+    hits = found.select(mixed(F.col("h")).alias("x"), "k", "sp").join(twice, "x")
+    hits = hits.groupBy("k", F.shiftright("sp", 32).cast("int").alias("sub")).agg(F.collect_list(F.col("sp").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")).alias("asked"))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            for i, text, asked in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            out: list[list] = [[], [], [], [], [], [], []]
+            for k, sub, text, asked in zip(*(b.column(i).to_pylist() for i in range(4))):
                 raw = _bytes(text)
                 pos, h, q, n = anchors(np.frombuffer(raw, np.uint8), width)
                 hit = np.isin(pos, np.array(asked, dtype=np.int64))
                 for at, first, count, anchor in zip(h[hit].tolist(), q[hit].tolist(), n[hit].tolist(), (pos - q)[hit].tolist()):
                     c = xxhash.xxh3_128_intdigest(raw[first : first + count + width - 1])
-                    for column, v in zip(out, (*_halves(c), at, i, first, count << 8 | anchor)):
+                    for column, v in zip(out, (*_halves(c), at, k, sub, first, count << 8 | anchor)):
                         column.append(v)
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:4]), *(pa.array(c, pa.int32()) for c in out[4:])], names=["c1", "c2", "h", "id", "q", "na"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:4]), *(pa.array(c, pa.int32()) for c in out[4:])], names=["c1", "c2", "h", "k", "sub", "q", "na"])
 
-    placed = materialize(_with_text(docs, hits, "inner").mapInArrow(contexts, "c1 long, c2 long, h long, id long, q int, na int"))
+    placed = materialize(_with_text(docs, hits, "inner").mapInArrow(contexts, "c1 long, c2 long, h long, k long, sub int, q int, na int"))
     discard(found)
     release(docs.sparkSession)
 
     # contexts that stand earlier, whole
-    first = placed.groupBy("c1", "c2").agg(F.min(F.struct("id", "q", "h", "na")).alias("f"), F.count("*").alias("c"))
+    first = placed.groupBy("c1", "c2").agg(F.min(_place()).alias("f"), F.min_by(F.struct("h", "na"), _place()).alias("a"), F.count("*").alias("c"))
     first = materialize(first)
     whole = materialize(_later(placed.withColumn("n", F.shiftright("na", 8)), first, "c1", "c2"))
     discard(placed)
     release(docs.sparkSession)
 
     # contexts that differ but share an anchor
-    heads = first.select("f.*")
+    heads = first.select("f.k", "f.sub", "f.q", "a.h", "a.na")
     several = heads.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select(mixed(F.col("h")).alias("x"), "c")
-    edges = heads.withColumn("x", mixed(F.col("h"))).join(several, "x").groupBy("id").agg(F.collect_list(F.struct("h", "q", "na", "c")).alias("asked"))
+    edges = heads.withColumn("x", mixed(F.col("h"))).join(several, "x").groupBy("k", "sub").agg(F.collect_list(F.struct("h", "q", "na", "c")).alias("asked"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            for i, text, asked in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            out: list[list] = [[], [], [], [], [], [], []]
+            for k, sub, text, asked in zip(*(b.column(i).to_pylist() for i in range(4))):
                 raw = _bytes(text)
                 for x in asked:
-                    for column, v in zip(out, (x["h"], i, x["q"], x["na"], x["c"], raw[x["q"] : x["q"] + (x["na"] >> 8) + width - 1])):
+                    for column, v in zip(out, (x["h"], k, sub, x["q"], x["na"], x["c"], raw[x["q"] : x["q"] + (x["na"] >> 8) + width - 1])):
                         column.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["h", "id", "q", "na", "c", "bytes"])
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["h", "k", "sub", "q", "na", "c", "bytes"])
 
-    edges = materialize(_with_text(docs, edges, "inner").mapInArrow(cut, "h long, id long, q int, na int, c long, bytes binary"))
+    edges = _with_text(docs, edges, "inner").mapInArrow(cut, "h long, k long, sub int, q int, na int, c long, bytes binary")
+    edges = materialize(edges.dropDuplicates(["h", "k", "sub", "q"]) if repeated else edges)
     discard(first)
     release(docs.sparkSession)
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["h"], 20_000):
-            h, i, q, na = (table.column(c).to_numpy() for c in ("h", "id", "q", "na"))
+            h, k, sub, q, na = (table.column(c).to_numpy() for c in ("h", "k", "sub", "q", "na"))
             n = (na >> 8).astype(np.int64)
             again = repeated_windows(table.column("bytes").to_pylist(), (na & 255).astype(np.int64), n, h, width)
             edge = np.diff(np.pad(again, ((0, 0), (1, 1))).astype(np.int8), axis=1)
             row, begin = np.nonzero(edge == 1)
             _, end = np.nonzero(edge == -1)
-            yield pa.RecordBatch.from_arrays([pa.array(i[row]), pa.array((q[row] + begin).astype(np.int32)), pa.array((end - begin).astype(np.int32))], names=["id", "q", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(k[row]), pa.array(sub[row]), pa.array((q[row] + begin).astype(np.int32)), pa.array((end - begin).astype(np.int32))], names=["k", "sub", "q", "n"])
 
-    few = edges.filter(F.col("c") <= GROUP).select("h", "id", "q", "na", "bytes")
-    sorted_ = few.repartition("h").sortWithinPartitions("h", "id", "q").mapInArrow(resolve, "id long, q int, n int")
+    few = edges.filter(F.col("c") <= GROUP).select("h", "k", "sub", "q", "na", "bytes")
+    sorted_ = few.repartition("h").sortWithinPartitions("h", F.col("sub") < 0, "k", "sub", "q").mapInArrow(resolve, "k long, sub int, q int, n int")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The windows of a context by PIECE offsets from the anchor: hashes of what they cover and of what all of them share."""
+        """The windows of a context by PIECE offsets from the anchor: what they cover (`whole`, with the piece's number at
+        its head, as windows of a piece stand alike about the anchor) and what all of them share."""
         for b in batches:
-            out: list[list] = [[] for _ in range(8)]
-            for i, q, na, raw in zip(*(b.column(k).to_pylist() for k in range(4))):
+            out: list[list] = [[] for _ in range(6)]
+            for k, sub, q, na, raw in zip(*(b.column(i).to_pylist() for i in range(5))):
                 n, anchor = na >> 8, na & 255
                 for piece in range(max(anchor - n + 1, 0) // PIECE, anchor // PIECE + 1):
                     low, high = piece * PIECE, piece * PIECE + PIECE - 1  # offsets of the anchor in the piece's windows
                     begin, end = max(anchor - high, 0), min(anchor - low, n - 1)
                     if begin > end:
                         continue
-                    whole = raw[begin : end + width]
-                    c, k = (xxhash.xxh3_128_intdigest(x, piece) for x in (whole, raw[anchor - low : anchor - high + width]))
-                    for column, v in zip(out, (*_halves(c), *_halves(k), i, q + begin, end - begin + 1, whole)):
+                    tag = bytes([piece])
+                    for column, v in zip(out, (k, sub, q + begin, end - begin + 1, tag + raw[begin : end + width], tag + raw[anchor - low : anchor - high + width])):
                         column.append(v)
-            kinds = (*[pa.int64()] * 5, pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["c1", "c2", "k1", "k2", "id", "q", "n", "bytes"])
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["k", "sub", "q", "n", "whole", "shared"])
 
-    cut_up = materialize(edges.filter(F.col("c") > GROUP).select("id", "q", "na", "bytes").mapInArrow(pieces, "c1 long, c2 long, k1 long, k2 long, id long, q int, n int, bytes binary"))
-    heads = materialize(cut_up.groupBy("c1", "c2").agg(F.min(F.struct("id", "q", "n", "k1", "k2", "bytes")).alias("f"), F.count("*").alias("c")))
-    part = _later(cut_up.select("c1", "c2", "id", "q", "n"), heads, "c1", "c2")
-    heads = heads.select("f.*")
-    shared = heads.groupBy("k1", "k2").agg(F.count("*").alias("c")).filter("c > 1").select(mixed(F.col("k1")).alias("x"), "k2")
+    cut_up = materialize(edges.filter(F.col("c") > GROUP).select("k", "sub", "q", "na", "bytes").mapInArrow(pieces, "k long, sub int, q int, n int, whole binary, shared binary"))
+    heads = materialize(cut_up.groupBy("whole").agg(F.min(_place()).alias("f"), F.min("n").alias("n"), F.min("shared").alias("shared"), F.count("*").alias("c")))
+    part = _later(cut_up, heads, "whole")
+    shared = heads.groupBy("shared").agg(F.count("*").alias("m")).filter("m > 1").select(F.xxhash64("shared", F.lit(1)).alias("x"), "shared")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[], [], [], []]
-            for i, q, n, raw in zip(*(b.column(k).to_pylist() for k in range(4))):
-                for k in range(n):
-                    for column, v in zip(out, (*_halves(xxhash.xxh3_128_intdigest(raw[k : k + width])), i, q + k)):
+            for k, sub, q, n, raw in zip(*(b.column(i).to_pylist() for i in range(5))):
+                for at in range(n):
+                    for column, v in zip(out, (k, sub, q + at, raw[1 + at : 1 + at + width])):
                         column.append(v)
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.int32())], names=["w1", "w2", "id", "q"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["k", "sub", "q", "w"])
 
-    many = heads.withColumn("x", mixed(F.col("k1"))).join(shared, ["x", "k2"]).select("id", "q", "n", "bytes").mapInArrow(windows, "w1 long, w2 long, id long, q int").withColumn("n", F.lit(1))
+    many = heads.withColumn("x", F.xxhash64("shared", F.lit(1))).join(shared, ["x", "shared"]).select("f.k", "f.sub", "f.q", "n", "whole").mapInArrow(windows, "k long, sub int, q int, w binary").withColumn("n", F.lit(1))
     many = materialize(many)
-    single = _later(many, many.groupBy("w1", "w2").agg(F.min(F.struct("id", "q")).alias("f"), F.count("*").alias("c")), "w1", "w2")
+    single = _later(many, many.groupBy("w").agg(F.min(_place()).alias("f"), F.count("*").alias("c")), "w")
     return whole.unionByName(sorted_).unionByName(part).unionByName(single)
 
 
-def _later(rows: DataFrame, first: DataFrame, high: str, low: str) -> DataFrame:
-    """id, q, n of the rows that are not the first of their hash. first: the hash, f (the first's id and q) and count c."""
-    first = first.filter("c > 1").select(mixed(F.col(high)).alias("x"), low, F.col("f.id").alias("fid"), F.col("f.q").alias("fq"))
-    return rows.withColumn("x", mixed(F.col(high))).join(first, ["x", low]).filter("id <> fid or q <> fq").select("id", "q", "n")
+def _later(rows: DataFrame, first: DataFrame, *keys: str) -> DataFrame:
+    """k, sub, q, n of the rows that are not the first with their keys. first: the keys, f (the first's place) and count c."""
+    x = F.xxhash64(*keys, F.lit(2)).alias("x")
+    first = first.filter("c > 1").select(x, *keys, F.col("f.k").alias("fk"), F.col("f.sub").alias("fsub"), F.col("f.q").alias("fq"))
+    return rows.select("*", x).join(first, ["x", *keys]).filter("k <> fk or sub <> fsub or q <> fq").select("k", "sub", "q", "n")
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (binary) of every row.
 
     Removed is each byte covered by `width` bytes that also start earlier, in a smaller doc_id or further up
-    in the text. docs: doc_id, text; other columns are ignored. Null and empty texts have no bytes; a null
-    doc_id comes last. Ids are taken to be unique: rows that repeat one count as one document, to each of
-    which the spans of all apply. An empty table gives an empty result.
+    in the text. docs: doc_id, text; other columns are ignored. Null and empty texts have no bytes. Documents
+    without an id come last. Rows that repeat a doc_id and its text are one document and keep the same bytes; rows that
+    share an id but not the text are two, in the order of a hash (see units). Texts of any length are taken
+    whole. An empty table gives an empty result.
     """
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    spans = repeated_spans(base, width).groupBy("id").agg(F.collect_list(F.struct("q", "n")).alias("asked"))
+    base, rows, repeated = unit_columns(docs)
+    spans = repeated_spans(base, width, repeated).groupBy("k", "sub").agg(F.collect_list(F.struct("q", "n")).alias("asked"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -293,8 +306,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 raw = np.frombuffer(_bytes(text), np.uint8)
                 depth = np.zeros(len(raw) + 1, np.int64)
                 if asked:
-                    q = np.minimum(np.array([s["q"] for s in asked]), len(raw))
-                    end = np.minimum(np.array([s["q"] + s["n"] + width - 1 for s in asked]), len(raw))
+                    q = np.array([s["q"] for s in asked])
+                    end = np.array([s["q"] + s["n"] + width - 1 for s in asked])
                     np.add.at(depth, q, 1)
                     np.add.at(depth, end, -1)
                 gone = np.cumsum(depth[:-1]) > 0
@@ -303,7 +316,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 for column, v in zip(out, (len(raw), int(gone.sum()), starts, hashlib.sha256(kept).hexdigest(), kept)):
                     column.append(v)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            ids = pa.array([None if i == NULL_ID else i for i in b.column(0).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(out, kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(out, kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return _with_text(base, spans, "left").mapInArrow(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    with_spans = rows.select("doc_id", "k", "sub", "text").join(spans, ["k", "sub"], "left").select("doc_id", "text", "asked")
+    return with_spans.mapInArrow(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
