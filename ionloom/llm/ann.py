@@ -5,11 +5,13 @@ substrings, each indexed by value. By the pigeonhole principle a code within Ham
 query's is within about r / m of it in one of the m substrings, so probing each index for the values that
 near retrieves every code within r; those get exact inner products. The radius is read off the exact
 neighbours of a few calibration queries, and a query that finds too few is asked again with all of them.
+Vectors are dealt to blocks with an index each; every query probes every block, which answers with its best.
+`examined` is the mean number of rows that the probes of the block of the answer led to, for a query of those asked together.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +22,8 @@ from ionloom.llm.common import materialize
 
 #: Vectors that rotations are learned from at most, rotations, and calibration queries.
 FIT_ROWS, ROTATIONS, CALIBRATION = 10_000, 4, 64
-#: Queries that are sent to the executors at a time: at 64 dimensions, 2 MB.
-QUERY_BLOCK = 4096
+#: Rows and queries that meet in a task: at 64 dimensions, 4 and 2 MB.
+ROW_BLOCK, QUERY_BLOCK = 8192, 4096
 #: Share of the calibration queries' true neighbours that must be within the radius.
 WITHIN = 0.975
 
@@ -58,30 +60,64 @@ def asked(q: np.ndarray) -> np.ndarray:
     return np.concatenate([q / np.linalg.norm(q, axis=1, keepdims=True), np.zeros((len(q), 1))], axis=1)
 
 
+def _flips(reach: int) -> np.ndarray:
+    """The 16-bit masks of up to `reach` bits."""
+    every = np.arange(1 << 16, dtype=np.uint32)
+    return every[np.bitwise_count(every) <= reach].astype(np.uint16)
+
+
 class Index:
-    """One index for each substring of the codes of a batch of vectors."""
+    """One index for each substring of the codes of a block of vectors: the rows in the order of its values, and the values' ends."""
 
-    def __init__(self, code: np.ndarray) -> None:
+    def __init__(self, code: np.ndarray, substrings: int | None = None) -> None:
+        """substrings: how many of the codes' hold nothing but bits of the codes; only these are indexed."""
         self.code = code
         self.words = code.view(np.uint64)
-        self.tables = [np.unique(code[:, s], return_inverse=True) for s in range(code.shape[1])]
+        self.tables = []
+        for s in range(code.shape[1] if substrings is None else substrings):
+            order = np.argsort(code[:, s], kind="stable")
+            values, start = np.unique(code[order, s], return_index=True)
+            self.tables.append((order, values, np.append(start, len(code))))
+        self.examined = 0
+
+    def probe(self, s: int, query: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query index, row) of the rows whose substring s is within reach of the query's. The values asked for are listed
+        and looked up, or where the list would be longer than that of the values there are, these are gone through."""
+        order, values, ends = self.tables[s]
+        flips = sum(comb(16, i) for i in range(reach + 1))
+        if flips < len(values):
+            asked = query[:, s, None] ^ _flips(reach)[None]
+            at = np.minimum(np.searchsorted(values, asked), max(len(values) - 1, 0))
+            q, hit = np.nonzero(values[at] == asked)
+            value = at[q, hit]
+        else:
+            q, value = np.nonzero(np.bitwise_count(query[:, s, None] ^ values[None]) <= reach)
+        n = ends[value + 1] - ends[value]
+        at = np.repeat(ends[value] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(n) else np.empty(0, np.int64)
+        return np.repeat(q, n), order[at]
 
     def within(self, query: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query index, row, distance) of every code within radius of queries' codes."""
-        m = query.shape[1]
+        """(query index, row, distance) of every code within radius of queries' codes, each once."""
+        m = len(self.tables)
         low, more = divmod(radius, m)
-        candidate = np.zeros((len(query), len(self.code)), bool)
-        for s, (values, place) in enumerate(self.tables):
-            reach = low if s <= more else low - 1  # the reaches plus one each sum to over the radius
-            if reach >= 0:
-                candidate |= (np.bitwise_count(query[:, s, None] ^ values[None]) <= reach)[:, place]
-        q, row = np.nonzero(candidate)
-        distance = np.zeros(len(q), np.int64)
+        reaches = [low if s <= more else low - 1 for s in range(m)]  # they plus one each sum to over the radius
         words = query.view(np.uint64)
-        for w in range(words.shape[1]):
-            distance += np.bitwise_count(words[q, w] ^ self.words[row, w])
-        hit = distance <= radius
-        return q[hit], row[hit], distance[hit]
+        out: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(3)]
+        for s, reach in enumerate(reaches):
+            if reach < 0 or not len(self.code) or not len(query):
+                continue
+            q, row = self.probe(s, query, reach)
+            for t in range(s):  # a pair counts where it meets first
+                fresh = np.bitwise_count(query[q, t] ^ self.code[row, t]) > reaches[t]
+                q, row = q[fresh], row[fresh]
+            self.examined += len(q)
+            distance = np.zeros(len(q), np.int64)
+            for w in range(words.shape[1]):
+                distance += np.bitwise_count(words[q, w] ^ self.words[row, w])
+            hit = distance <= radius
+            for column, v in zip(out, (q[hit], row[hit], distance[hit])):
+                column.append(v)
+        return tuple(np.concatenate(c) for c in out)
 
 
 def best(q: np.ndarray, ids: np.ndarray, scores: np.ndarray, distance: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
@@ -98,30 +134,39 @@ def _matrix(column: pa.Array, d: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
 
 
-def _search(rows: DataFrame, ids: np.ndarray, vectors: np.ndarray, rotation: np.ndarray, norm: float, radius: int, k: int) -> DataFrame:
-    """The k best of each task within radius, for a block of queries."""
-    d = vectors.shape[1]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query = codes(asked(vectors), rotation)
-        held = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))
-        for b in batches:
-            for at in range(0, b.num_rows, 4096):
-                part = b.slice(at, 4096)
-                own, x = part.column(0).to_numpy(), _matrix(part.column(1), d)
-                index = Index(codes(augmented(x, norm), rotation))
-                found = [held]
-                for q0 in range(0, len(query), 64):
-                    q, row, distance = index.within(query[q0 : q0 + 64], radius)
-                    q = q + q0
-                    other = ids[q] != own[row]
-                    q, row, distance = q[other], row[other], distance[other]
-                    parts = [np.einsum("ij,ij->i", vectors[q[i : i + 50_000]], x[row[i : i + 50_000]]) for i in range(0, len(q), 50_000)]
-                    found.append(best(q, own[row], np.concatenate(parts) if parts else np.empty(0), distance, k))
-                held = best(*(np.concatenate(c) for c in zip(*found)), k)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[held[0]]), pa.array(held[1]), pa.array(held[2]), pa.array(held[3])], names=["query_id", "vec_id", "score", "distance"])
-
-    return rows.mapInArrow(run, "query_id long, vec_id long, score double, distance long")
+FOUND = "query_id long, vec_id long, score double, distance long, examined long"
+
+
+def _search(rows: DataFrame, queries: DataFrame, rotation: np.ndarray, norm: float, d: int, radius: int, k: int, sizes: tuple[int, int]) -> DataFrame:
+    """The k best within radius of each query and block of rows, with the number of rows that the probes led to.
+
+    Rows and queries (sizes: how many) are dealt to blocks by their ids; each block of rows meets each block of queries in a
+    task of its own, which holds no more than the two. Neither passes through the driver.
+    """
+    row_blocks, query_blocks = (max(1, -(-n // size)) for n, size in zip(sizes, (ROW_BLOCK, QUERY_BLOCK)))
+    block = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.select("id", "vector", block(row_blocks, 3).alias("rb"), spread(query_blocks).alias("qb"))
+    right = queries.select("id", "vector", block(query_blocks, 4).alias("qb"), spread(row_blocks).alias("rb"))
+
+    def run(mine: pa.Table, asking: pa.Table) -> pa.Table:
+        own, x = mine.column("id").to_numpy(), _matrix(mine.column("vector").combine_chunks(), d)
+        ids, vectors = asking.column("id").to_numpy(), _matrix(asking.column("vector").combine_chunks(), d)
+        index, code = Index(codes(augmented(x, norm), rotation), rotation.shape[1] // 16), codes(asked(vectors), rotation)
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64))]
+        for at in range(0, len(ids), 32):
+            before = index.examined
+            q, row, distance = index.within(code[at : at + 32], radius)
+            q = q + at
+            other = ids[q] != own[row]
+            q, row, distance = q[other], row[other], distance[other]
+            scores = [np.einsum("ij,ij->i", vectors[q[i : i + 50_000]], x[row[i : i + 50_000]]) for i in range(0, len(q), 50_000)]
+            top = best(q, own[row], np.concatenate(scores) if scores else np.empty(0), distance, k)
+            share = (index.examined - before) // max(min(32, len(ids) - at), 1)
+            out.append((ids[top[0]], *top[1:], np.full(len(top[0]), share)))
+        return pa.table([np.concatenate(c) for c in zip(*out)], names=["query_id", "vec_id", "score", "distance", "examined"])
+
+    return left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInArrow(run, FOUND)
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -129,56 +174,47 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _in_blocks(rows: DataFrame, queries: DataFrame, rotation: np.ndarray, norm: float, d: int, radius: int, k: int) -> DataFrame | None:
-    """Each block of queries against all rows."""
-    n = queries.count()
-    blocks = -(-n // (QUERY_BLOCK * 3 // 4)) if n > QUERY_BLOCK else 1
-    out = None
-    for block in range(blocks):
-        got = queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).toArrow().combine_chunks()
-        if got.num_rows:
-            found = _search(rows, got.column(0).to_numpy(), _matrix(got.column(1).combine_chunks(), d), rotation, norm, radius, k)
-            out = found if out is None else out.unionByName(found)
-    return out
-
-
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, within: float = WITHIN) -> DataFrame:
-    """query_id, rank, vec_id, score: the k largest inner products found for each query, in double precision.
+    """query_id, rank, vec_id, score, examined: the k largest inner products found for each query, in double precision.
 
     vectors, queries: id long, vector array<float or double>. A candidate is any row with another id than the
     query's. Rows with a null id or vector, zero vectors, vectors with null or non-finite components, or of
-    another length than most take no part. Ties go to smaller ids; rows that repeat an id count each.
-    Fewer than k candidates give all of them; no queries or no vectors give an empty result.
+    another length than most take no part. Rows that repeat an id and its vector are one; of vectors that share an
+    id each is a candidate, and the smallest asks. Ties go to smaller ids. Fewer than k candidates give all of
+    them; no queries or no vectors give an empty result. Columns beside these two are ignored.
     """
     spark = vectors.sparkSession
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, examined long")
 
     def usable(df: DataFrame) -> DataFrame:
         v = F.col("vector").cast("array<double>")
         fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
         return df.select(F.col("id").cast("long").alias("id"), v.alias("vector")).filter(F.col("id").isNotNull() & v.isNotNull() & fine)
 
-    rows = usable(vectors)
+    rows = materialize(usable(vectors).distinct())
     d_row = rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if d_row is None:
         return empty
     d = d_row["d"]
-    rows, queries = rows.filter(F.size("vector") == d), usable(queries).filter(F.size("vector") == d)
-    norm = float(rows.agg(F.max(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))), F.count("*")).first()[0]) * (1 + 1e-12)
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).toArrow().combine_chunks()
+    rows = rows.filter(F.size("vector") == d)
+    asking = materialize(usable(queries).filter(F.size("vector") == d).groupBy("id").agg(F.min("vector").alias("vector")))
+    norm = float(rows.agg(F.max(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)))).first()[0]) * (1 + 1e-12)
+    sample = rows.orderBy(F.xxhash64("id"), "id", "vector").limit(FIT_ROWS).toArrow().combine_chunks()
     rotation = learn(augmented(_matrix(sample.column(1).combine_chunks(), d), norm))
     everything = rotation.shape[1] + 64
-
-    few = queries.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(CALIBRATION)
-    true = _in_blocks(rows, few, rotation, norm, d, everything, k)
-    if true is None:
+    sizes = d_row["count"], asking.count()
+    if not sizes[1]:
         return empty
-    radius = int(_ranked(true, k).agg(F.percentile("distance", F.lit(within))).first()[0] or 0) + 1
-
-    found = materialize(_ranked(_in_blocks(rows, queries, rotation, norm, d, radius, k), k))
-    short = queries.join(found.groupBy("query_id").count().filter(F.col("count") >= k), F.col("id") == F.col("query_id"), "left_anti")
-    again = _in_blocks(rows, short, rotation, norm, d, everything, k)
-    if again is not None:
-        enough = found.join(F.broadcast(short.select(F.col("id").alias("query_id"))) if short.count() <= 20_000 else short.select(F.col("id").alias("query_id")), "query_id", "left_anti")
-        found = enough.unionByName(_ranked(again, k))
-    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+    few = asking.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(CALIBRATION)
+    true = _ranked(_search(rows, few, rotation, norm, d, everything, k, (sizes[0], CALIBRATION)), k)
+    radius = int(true.agg(F.percentile("distance", F.lit(within))).first()[0] or 0) + 1
+
+    found = materialize(_ranked(_search(rows, asking, rotation, norm, d, radius, k, sizes), k))
+    complete = found.groupBy("query_id").count().filter(F.col("count") >= k)
+    short = materialize(asking.join(complete, F.col("id") == F.col("query_id"), "left_anti"))
+    n_short = short.count()
+    if n_short:
+        again = _ranked(_search(rows, short, rotation, norm, d, everything, k, (sizes[0], n_short)), k)
+        found = found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(again)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", "examined")
