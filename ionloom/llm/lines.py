@@ -14,15 +14,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ionloom.llm.common import materialize, mixed, text_batches
+from ionloom.llm.units import unit_columns
 
 #: A chunk ends after one line in DIVISOR, at its second line or later.
 DIVISOR = 2
-#: A chunk is looked up if it has two lines with words and so many bytes.
-LEAST_BYTES = 40
-#: The id that stands for null; it comes last.
-NULL_ID = (1 << 63) - 1
 
 
 def chunks(text: str) -> list[tuple[bytes, int, int]]:
@@ -47,76 +45,83 @@ def digest(chunk: bytes) -> tuple[int, int]:
 
 
 def looked_up(chunk: tuple[bytes, int, int]) -> bool:
-    return chunk[2] >= 2 and len(chunk[0]) >= LEAST_BYTES
+    """A chunk of several lines with words; others stay wherever they stand."""
+    return chunk[2] >= 2
+
+
+COUNTS = ("n_lines", "n_chunks", "n_removed_lines")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text; other columns are kept) with text cut and n_lines, n_chunks, n_removed_lines.
+    """docs (doc_id, text; other columns are kept, whatever their names) with text cut and n_lines, n_chunks, n_removed_lines.
 
-    A row whose text is null stays null with zeros; a text that is removed whole becomes empty. Rows with
-    a null doc_id come last and share an id; rows that repeat a doc_id are one document: the first stay of
-    a chunk is the same for all of them. Columns named like the three counts are replaced.
+    A row whose text is null stays null with zeros; a text that is removed whole becomes empty. Documents without
+    an id come last; rows that repeat a doc_id and its text are one document, rows that share an id but not the text are
+    two (see units). Texts of any length are cut whole. Columns named like the three counts are replaced. An empty
+    table gives an empty result.
     """
     spark = docs.sparkSession
     text_batches(spark)
-    counts = ["n_lines", "n_chunks", "n_removed_lines"]
-    docs = docs.drop(*counts).withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
-    names = docs.columns
-    at = names.index("text")
+    kept = [f for f in docs.schema.fields if f.name not in COUNTS]
+    # the row travels as one value, so that no name of its columns meets one of ours
+    whole = F.struct(*[F.col(f"`{f.name}`") for f in kept if f.name != "text"])
+    rows, _, _ = unit_columns(docs, whole)
+    texts = rows.select("k", "sub", "text")
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[], [], [], []]
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for k, c in enumerate(chunks(text or "")):
+            out: list[list] = [[], [], [], [], []]
+            for k, sub, text in zip(*(b.column(i).to_pylist() for i in range(3))):
+                for at, c in enumerate(chunks(text)):
                     if looked_up(c):
-                        for column, v in zip(out, (*digest(c[0]), i, k)):
+                        for column, v in zip(out, (*digest(c[0]), k, sub, at)):
                             column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["h1", "h2", "id", "k"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:3]), *(pa.array(x, pa.int32()) for x in out[3:])], names=["h1", "h2", "k", "sub", "at"])
 
-    found = materialize(docs.select("_id", "text").mapInArrow(keys, "h1 long, h2 long, id long, k long"))
-    first = found.groupBy("h1", "h2").agg(F.min(F.struct("id", "k")).alias("f"), F.max(F.struct("id", "k")).alias("l")).filter("f <> l").select("h1", "h2", "f")
+    found = materialize(texts.mapInArrow(keys, "h1 long, h2 long, k long, sub int, at int"))
+    place = F.struct((F.col("sub") < 0).alias("none"), "k", "sub", "at")
+    first = found.groupBy("h1", "h2").agg(F.min(place).alias("f"), F.max(place).alias("l")).filter("f <> l").select("h1", "h2", "f")
     first = materialize(first)
 
     # the first stays hand out their bytes
-    asked = first.groupBy(F.col("f.id").alias("_id")).agg(F.collect_set("f.k").alias("ks"))
+    asked = first.groupBy("f.k", "f.sub").agg(F.collect_set("f.at").alias("ats"))
 
     def hand_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[], [], []]
-            for text, ks in zip(b.column(at).to_pylist(), b.column("ks").to_pylist()):
-                cut = chunks(text or "")
-                for k in ks:
-                    if k < len(cut):
-                        for column, v in zip(out, (*digest(cut[k][0]), cut[k][0])):
-                            column.append(v)
+            for text, ats in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                cut = chunks(text)
+                for at in ats:
+                    for column, v in zip(out, (*digest(cut[at][0]), cut[at][0])):
+                        column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], names=["h1", "h2", "first_bytes"])
 
-    handed = docs.join(asked, "_id").select(*names, "ks").mapInArrow(hand_out, "h1 long, h2 long, first_bytes binary")
+    handed = texts.join(asked, ["k", "sub"]).select("text", "ats").mapInArrow(hand_out, "h1 long, h2 long, first_bytes binary")
     handed = handed.groupBy("h1", "h2").agg(F.min("first_bytes").alias("first_bytes"))
     low = first.select(mixed(F.col("h1")).alias("x"), "h2", "f")
-    later = found.withColumn("x", mixed(F.col("h1"))).join(low, ["x", "h2"]).filter(F.struct("id", "k") != F.col("f")).select("h1", "h2", "id", "k")
+    later = found.withColumn("x", mixed(F.col("h1"))).join(low, ["x", "h2"]).filter(place != F.col("f")).select("h1", "h2", "k", "sub", "at")
     later = later.withColumn("x", mixed(F.col("h1"))).join(handed.select(mixed(F.col("h1")).alias("x"), "h2", "first_bytes"), ["x", "h2"])
-    verdicts = later.groupBy(F.col("id").alias("_id")).agg(F.collect_set(F.struct("k", "first_bytes")).alias("cuts"))
+    # a document is told the bytes of a chunk once
+    verdicts = later.groupBy("k", "sub").agg(F.collect_set(F.struct("at", "first_bytes")).alias("cuts"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts: list[str | None] = []
             n: list[list[int]] = [[], [], []]
-            for text, cuts in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
+            for text, cuts in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 parts = chunks(text) if text is not None else []
-                same = {(c["k"], c["first_bytes"]) for c in cuts or []}
+                same = {(c["at"], c["first_bytes"]) for c in cuts or []}
                 keep = [c for k, c in enumerate(parts) if (k, c[0]) not in same]
                 texts.append(None if text is None else b"\n".join(c[0] for c in keep).decode("utf-8", "surrogatepass"))
                 lines = sum(c[1] for c in parts)
                 for column, v in zip(n, (lines, len(parts), lines - sum(c[1] for c in keep))):
                     column.append(v)
-            columns = [pa.array(texts, pa.string()) if i == at else b.column(i) for i in range(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x, pa.int64()) for x in n)], names=[*names, *counts])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), *(pa.array(x, pa.int64()) for x in n)], names=["row", "cut", *COUNTS])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    out = docs.join(verdicts, "_id", "left").select(*names, "cuts").mapInArrow(cut, f"{kinds}, " + ", ".join(f"{c} long" for c in counts))
-    return out.drop("_id")
+    rows = rows.withColumn("given", F.when(F.col("held.has"), F.col("text"))).select("k", "sub", F.col("held.row").alias("row"), "given")
+    schema = T.StructType([T.StructField("row", T.StructType([f for f in kept if f.name != "text"])), T.StructField("cut", T.StringType()), *[T.StructField(c, T.LongType()) for c in COUNTS]])
+    out = rows.join(verdicts, ["k", "sub"], "left").select("row", "given", "cuts").mapInArrow(cut, schema)
+    return out.select(*[F.col("cut").alias("text") if f.name == "text" else F.col("row").getField(f.name).alias(f.name) for f in kept], *COUNTS)
 
 
 def line_digests(docs: DataFrame) -> DataFrame:
