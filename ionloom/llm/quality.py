@@ -21,6 +21,7 @@ NAMES = tuple(["x_word", "x_symbol", "x_upper", "x_punct", "x_lines", "x_repeat"
 #: Weight of a site's posterior in a document's log-odds, and the posterior below which a document is rejected.
 SITE_WEIGHT = 0.5
 THRESHOLD = 0.5
+_STEPS = float(1 << 40)
 
 
 def fit(rows: np.ndarray, labels: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -68,8 +69,10 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     docs: doc_id, text and the columns named by host and path (a path counts within its host); labels:
     doc_id, quality (0 or 1; nulls are left out). own_score: the probability of quality from the text
     alone. score: with the posteriors of the path and host. kept: score >= threshold. Null and empty
-    texts are scored as texts of no words and never kept; null hosts or paths are sites of their own.
-    Without labels of both kinds every text with a word scores 0.5 or more and is kept.
+    texts are scored as texts of no words and never kept; null hosts or paths are sites of their own. Rows with null
+    or repeated ids, or repeated whole, are scored and counted one by one; a label counts for every row of its id. Texts of any
+    length are scored whole. Without labels of both kinds every text with a word scores 0.5 or more and is kept. An
+    empty table gives an empty result.
     """
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0")).alias
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), name(host)("host"), name(path)("path"), *carry, "text")
@@ -77,7 +80,10 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     stats = materialize(stats.select("doc_id", "host", "path", *carry, "n_words", *[v.alias(k) for k, v in features().items()]))
 
     known = labels.filter("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("double").alias("y"))
-    sample = stats.join(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows), "doc_id").select("y", *NAMES).toPandas()
+    order = [F.xxhash64("doc_id"), "doc_id"]
+    picked = known.join(stats.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(*order).limit(fit_rows)
+    # an id may stand in several rows: the bound holds for rows, and their order is their own, so that sums agree between runs
+    sample = stats.join(picked, "doc_id").orderBy(*order, *NAMES).limit(fit_rows).select("y", *NAMES).toPandas()
     own = F.lit(0.5)
     if sample["y"].nunique() == 2:
         mean, scale, w, squares = fit(sample[list(NAMES)].to_numpy(float), sample["y"].to_numpy())
@@ -88,7 +94,9 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
         own = 1 / (1 + F.exp(-F.least(F.greatest(odds, F.lit(-30.0)), F.lit(30.0))))
     scored = stats.select("doc_id", "host", "path", *carry, "n_words", own.alias("own_score"))
 
-    paths = materialize(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("own_score").alias("s")))
+    # summed in whole steps, so that the order of rows doesn't matter
+    total = F.sum(F.rint(F.col("own_score") * _STEPS).cast("decimal(38,0)")).cast("double") / _STEPS
+    paths = materialize(scored.groupBy("host", "path").agg(F.count("*").alias("n"), total.alias("s")))
     hosts = materialize(paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s")))
     total = hosts.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
     rate = min(max((total["s"] or 0.0) / max(total["n"] or 0, 1), 1e-6), 1 - 1e-6)
