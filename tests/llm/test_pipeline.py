@@ -27,6 +27,21 @@ def by_id(df):
     return {r.doc_id: r for r in df.collect()}
 
 
+def survivors(text):
+    """The first of each group of texts that are near in two of three fingerprints and similar in their shingles."""
+    fps = {i: [simhash.fingerprint(simhash.shingles(t, p.WORDS), s) for s in (42, 43, 44)] for i, t in text.items()}
+    sets = {i: {*simhash.shingles(t, p.WORDS)} for i, t in text.items()}
+    group = {i: i for i in text}
+    for i in sorted(text):
+        for j in sorted(text):
+            d = [(x ^ y).bit_count() for x, y in zip(fps[i], fps[j])]
+            met = any(d[a] <= p.RADIUS and d[b] <= p.RADIUS2 for a, b in ((0, 1), (1, 0), (2, 0)))
+            if i < j and (met or sets[i] == sets[j]) and simhash.resemblance(sets[i], sets[j]) >= p.SIMILARITY:
+                a, b = sorted((group[i], group[j]))
+                group = {k: a if g == b else g for k, g in group.items()}
+    return {i for i, g in group.items() if i == g}
+
+
 def test_stages(spark, outputs):
     docs, good, cut, single, mixed, encoded = outputs
     assert all(o.columns == p.COLUMNS for o in outputs[:-1])
@@ -40,15 +55,7 @@ def test_stages(spark, outputs):
             want[i] = b"\n".join(left).decode()
     assert {i: r.text for i, r in by_id(cut).items()} == want
 
-    fps = {i: [simhash.fingerprint(simhash.shingles(t, p.WORDS), s) for s in (42, 43)] for i, t in want.items()}
-    group = {i: i for i in fps}
-    for i in sorted(fps):
-        for j in sorted(fps):
-            low, high = sorted((x ^ y).bit_count() for x, y in zip(fps[i], fps[j]))
-            if i < j and low <= p.RADIUS and high <= p.RADIUS2:
-                a, b = sorted((group[i], group[j]))
-                group = {k: a if g == b else g for k, g in group.items()}
-    assert {*by_id(single)} == {i for i, g in group.items() if i == g}
+    assert {*by_id(single)} == survivors(want)
 
     times = Counter(r.doc_id for r in mixed.collect())
     rows = by_id(single)
@@ -83,18 +90,28 @@ def test_near_copies_have_the_similarity(spark):
     assert sorted(r.doc_id for r in p.simhash_near_dedup(spark, docs, SF).collect()) == [1, 2, 5, 6]
 
 
-def test_near_dedup_on_real_text(outputs):
-    text = {i: r.text for i, r in by_id(outputs[2]).items()}
-    fps = {i: [simhash.fingerprint(simhash.shingles(t, p.WORDS), s) for s in (42, 43)] for i, t in text.items()}
-    sets = {i: {*simhash.shingles(t, p.WORDS)} for i, t in text.items()}
-    group = {i: i for i in text}
-    for i in sorted(text):
-        for j in sorted(text):
-            low, high = sorted((x ^ y).bit_count() for x, y in zip(fps[i], fps[j]))
-            if i < j and low <= p.RADIUS and high <= p.RADIUS2 and simhash.resemblance(sets[i], sets[j]) >= p.SIMILARITY:
-                a, b = sorted((group[i], group[j]))
-                group = {k: a if g == b else g for k, g in group.items()}
-    assert {*by_id(outputs[3])} == {i for i, g in group.items() if i == g}
+def test_near_copies_at_the_nominal_similarity():
+    """On random shingle sets with a similarity of 0.8 the rule of three fingerprints makes candidates of nine in ten pairs."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    met = 0
+    for _ in range(400):
+        n = 300
+        shared, rest = (rng.integers(0, 1 << 64, size, dtype=np.uint64) for size in ((3, n * 8 // 9), (2, 3, n // 9)))
+        d = []
+        for s in range(3):
+            a, b = (simhash.simhash(np.concatenate([shared[s], rest[k, s]])) for k in range(2))
+            d.append((a ^ b).bit_count())
+        met += any(d[a] <= p.RADIUS and d[b] <= p.RADIUS2 for a, b in ((0, 1), (1, 0), (2, 0)))
+    assert met >= 0.88 * 400
+
+
+def test_empty_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(p.COLUMNS).filter("false")
+    for _, stage in p.STAGES:
+        docs = materialize(stage(spark, docs, SF))
+        assert docs.count() == 0
 
 
 def test_null_and_repeated_ids(spark):
