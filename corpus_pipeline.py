@@ -15,7 +15,7 @@ from ionloom.llm.queries import TOKENIZER
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Near copies: sets of five-word shingles with a Jaccard similarity of SIMILARITY. Such texts differ in 10 of 64
-#: bits in the mean, so that is the radius for one of two fingerprints; the other, within RADIUS2, keeps the
+#: bits in the mean, so that is the radius for one of three fingerprints; a second one, within RADIUS2, keeps the
 #: candidates few. What the fingerprints find is then held against the shingles themselves.
 WORDS, RADIUS, RADIUS2 = 5, 10, 14
 SIMILARITY = 0.8
@@ -49,15 +49,14 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents are drawn to the sources' targets: each comes as often as it was drawn, up to three times."""
+    """Whole documents are drawn to the sources' targets: each comes as often as it was drawn, up to three times, in its shards' order."""
     _, draws = mixing.mix(docs, block_words=None)
     # rows that share an id are told apart as mix() does, by source, size and a running number; the key has no nulls
     key = F.struct("src", "doc_id", "copy", "size").cast("string").alias("k")
-    times = draws.groupBy(key).agg(F.count("*").alias("times"))
     alike = Window.partitionBy("doc_id", "source", "size").orderBy("text", "lang", "n_chars")
     rows = docs.withColumn("size", mixing.n_words(F.col("text"))).withColumn("copy", F.row_number().over(alike).cast("long"))
     rows = rows.withColumn("src", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))).select(*COLUMNS, key)
-    return rows.join(times, "k").withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select(COLUMNS)
+    return mixing.shuffled(rows.join(draws.select(key, "shard", "position"), "k")).select(COLUMNS)
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
