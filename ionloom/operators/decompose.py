@@ -3,7 +3,8 @@
 Two ways with the same results: a lattice of all formulas within small bounds, joined on binned masses in
 Catalyst; and an Arrow kernel for any bounds, which enumerates the elements other than C, H, N and O and
 finds those four by binary search in their sorted lattice. Candidates are ordered by absolute error, then
-formula. The tolerance is ppm of max(mass, 200).
+formula. The tolerance is ppm of max(mass, 200). An answer is as long as its candidates are many: for heavy masses and wide
+bounds let the session send fewer rows at a time (spark.sql.execution.arrow.maxRecordsPerBatch).
 """
 
 from __future__ import annotations
@@ -25,8 +26,6 @@ _MASS = np.array(MASSES)
 _VALENCE = np.array([VALENCE.get(e, 0) for e in ELEMENTS])
 _CORE = [INDEX[e] for e in ("C", "H", "N", "O")]
 _HETERO = [i for i in range(NUM_ELEMENTS) if i not in _CORE]
-#: Arrow rows per batch of operators whose answers are long lists.
-BATCH_ROWS = 500
 #: Combinations of a lattice join at most, and bytes of tables that a worker keeps.
 LATTICE_ROWS, KEPT_BYTES = 10_000_000, 256 << 20
 #: Per-row bounds are searched in one table, up to the next multiple of so many atoms.
@@ -356,7 +355,3 @@ def clean_and_normalize_spectra(precursor: Column, observed_mass: Column, mz: Co
         r["fragment_errors_ppm"].alias("fragment_errors_ppm"),
         F.transform(r["fragment_formulas"], formula.write).alias("fragment_formulas_str"),
     ))
-
-
-def batches_for_lists(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)

@@ -69,7 +69,6 @@ def decompose_mass_uniform(spark, sf_dir):
 
 def by_mass(spark, sf_dir, found: Callable[[Column], Column]) -> DataFrame:
     """Parts with the candidates of their mass; equal masses are decomposed once."""
-    decompose.batches_for_lists(spark)
     parts = masses(spark, sf_dir)
     return parts.select("p_partkey", "mass").join(parts.select("mass").distinct().withColumn("found", found(F.col("mass"))), "mass")
 
@@ -87,7 +86,6 @@ def decompose_verbose_strings(spark, sf_dir):
 
 @query(f"WITH {LATTICE} SELECT p_partkey, {NAME_SQL} AS formula FROM part JOIN lat ON {NEAR_SQL} AND c <= p_size % 16 AND (o >= 1 AND p_partkey % 3 = 0 OR p_partkey % 3 > 0)")
 def decompose_mass_per_bounds(spark, sf_dir):
-    decompose.batches_for_lists(spark)
     low = formula.literal({})
     low = F.transform(low, lambda x, i: F.when((i == INDEX["O"]) & (F.col("p_partkey") % 3 == 0), 1).otherwise(x))
     high = F.transform(formula.literal(BOUNDS), lambda x, i: F.when(i == INDEX["C"], F.col("p_size") % 16).otherwise(x))
@@ -486,7 +484,6 @@ def pieces(shift: float = 0.0) -> Column:
 SELECT p_partkey, l.name AS formula, count(s.m) AS n_fragment_formulas
 FROM part LEFT JOIN (SELECT *, {NAME_SQL} AS name FROM lat) l ON abs(l.m - {BUILT_SQL}) <= greatest({BUILT_SQL}, 200e0) * 5e0 / 1e6 CROSS JOIN piece LEFT JOIN sub s ON {INSIDE_SQL} GROUP BY ALL""")
 def decompose_spectra_unknown(spark, sf_dir):
-    decompose.batches_for_lists(spark)
     parts = built_masses(spark, sf_dir).select("p_partkey", "mass", pieces().alias("mz"))
     found = decompose.decompose_spectra(parts, "mass", "mz", 5.0, {}, BOUNDS)
     name = F.when(F.col("formula").isNotNull(), formula.write(F.col("formula")))
@@ -556,7 +553,6 @@ def isotope_fits(spark, sf_dir):
 SELECT p_partkey, count(DISTINCT l.m) AS n_formulas, count(DISTINCT CASE WHEN s.m IS NOT NULL THEN l.m * 10 + piece END) AS n_fragments
 FROM x LEFT JOIN lat l ON abs(l.m - mass) <= greatest(mass, 200e0) * 3e-6 AND l.c BETWEEN lo AND hi CROSS JOIN piece LEFT JOIN sub s ON {INSIDE_SQL} GROUP BY p_partkey""")
 def annotate_pipeline(spark, sf_dir):
-    decompose.batches_for_lists(spark)
     ion = F.col("mass") + F.lit(MASSES[INDEX["H"]])
     d, p0, p1 = ISOTOPES["C"]
     peaks = built_masses(spark, sf_dir).select("p_partkey", ion.alias("precursor_mz"), pieces(MASSES[INDEX["H"]]).alias("mz"), F.array(*[F.lit(1.0)] * 3).alias("intensity"),
@@ -627,7 +623,6 @@ def decompose_mass_hetero(spark, sf_dir):
 
 @query(f"WITH {HETERO_SQL} SELECT p_partkey, {HETERO_NAME} AS formula FROM part JOIN het ON {NEAR_SQL} AND c BETWEEN p_size % 6 AND 14 AND s <= p_partkey % 3 AND cl >= p_partkey % 2")
 def decompose_mass_per_bounds_verbose(spark, sf_dir):
-    decompose.batches_for_lists(spark)
     at = lambda e, x, i, c: F.when(i == INDEX[e], c).otherwise(x)
     low = F.transform(formula.literal({}), lambda x, i: at("C", at("Cl", x, i, F.col("p_partkey") % 2), i, F.col("p_size") % 6))
     high = F.transform(formula.literal(HETERO), lambda x, i: at("S", x, i, F.col("p_partkey") % 3))
