@@ -137,7 +137,7 @@ def _sums(rows: DataFrame, names: tuple[str, ...], *keys: str) -> DataFrame:
 def _nearest(by_bin: DataFrame) -> DataFrame:
     """The sums of each group's bins, from the nearest on, that hold the share H of its rows."""
     by = Window.partitionBy("gl", "gs", "start")
-    ranked = by_bin.withColumn("upto", F.sum("n").over(by.orderBy("b")) - F.col("n")).withColumn("all", F.sum("n").over(by))
+    ranked = by_bin.withColumn("upto", F.sum("n").over(by.orderBy("_bin")) - F.col("n")).withColumn("all", F.sum("n").over(by))
     cols = [c for c in by_bin.columns if c[0] in "sp" and c[1:].isdigit()]
     return ranked.filter(F.col("upto") < F.col("all") * H).groupBy("gl", "gs", "start").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in cols])
 
@@ -159,9 +159,9 @@ def mcd(rows: DataFrame, names: tuple[str, ...] = NAMES) -> DataFrame:
     now, before = _estimates(chosen, names, n)
     starts = rows.withColumn("start", F.explode(F.array(*[F.lit(i) for i in range(STARTS)])))
     for _ in range(STEPS):
-        by_bin = _sums(join_small(starts, now, ["gl", "gs", "start"], rows=n).withColumn("b", _bin(_distance(names))), names, "gl", "gs", "start", "b")
-        discard(now)
-        now, total = _estimates(_nearest(by_bin), names, n)
+        by_bin = _sums(join_small(starts, now, ["gl", "gs", "start"], rows=n).withColumn("_bin", _bin(_distance(names))), names, "gl", "gs", "start", "_bin")
+        old, (now, total) = now, _estimates(_nearest(by_bin), names, n)
+        discard(old)
         if abs(total - before) <= SETTLED * 1e6 * n:
             break
         before = total
@@ -173,7 +173,7 @@ def mcd_distances(rows: DataFrame, names: tuple[str, ...] = NAMES) -> DataFrame:
     """rows (gl, gs, and names in whole steps) with d2, the squared robust distance, scaled so that a group's median is
     the chi-square's where it is above."""
     far = join_small(rows, mcd(rows, names), ["gl", "gs"]).withColumn("d2", _distance(names))
-    half = _bin_quantile(far.withColumn("b", _bin(F.col("d2"))), ["gl", "gs"], "b", 0.5)
+    half = _bin_quantile(far.withColumn("_bin", _bin(F.col("d2"))), ["gl", "gs"], "_bin", 0.5)
     scale = half.select("gl", "gs", (F.pow(F.lit(2.0), (F.col("at") + 0.5) / _BINS) / chi_square(len(names), 0.0)).alias("scale"))
     # a floored scatter may already be wider than the rows: distances are never stretched
     return join_small(far, materialize(scale), ["gl", "gs"]).withColumn("d2", F.col("d2") / F.greatest("scale", F.lit(1.0))).drop("mean", "inv", "scale")
