@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ionloom.llm.anchors import scramble
 from ionloom.llm.common import components, discard, join_small, materialize, mixed, release, text_batches, whole_groups
 
 SEED = 42
@@ -243,21 +244,23 @@ def _links_of(group: np.ndarray, codes: np.ndarray, other: np.ndarray | None, pr
     return names[a], names[b]
 
 
-def _pairs_of(group: np.ndarray, codes: np.ndarray, other: np.ndarray | None, probe: np.ndarray, node: np.ndarray, own: np.ndarray, radius: int, radius2: int, lowest: bool) -> Iterator[tuple[np.ndarray, ...]]:
-    """Pairs of codes of different nodes as (own, own, node, node), the larger own first; with `lowest` only each code's pair with the smallest."""
+def _pairs_of(group: np.ndarray, codes: np.ndarray, other: np.ndarray | None, probe: np.ndarray, node: np.ndarray, own: np.ndarray, radius: int, radius2: int, rank: np.ndarray | None) -> Iterator[tuple[np.ndarray, ...]]:
+    """Pairs of codes of different nodes as (own, own, node, node); with `rank` only each code's pair with the one of least rank that it meets."""
+    lowest = rank is not None
+    rank = own if rank is None else rank
     use = _linkable(group, node)
-    group, codes, probe, node, own = group[use], codes[use], probe[use], node[use], own[use]
+    group, codes, probe, node, own, rank = group[use], codes[use], probe[use], node[use], own[use], rank[use]
     other = other[use] if other is not None else None
     best = np.full(len(own), -1)
     left, right, held = [], [], 0
     for a, b in _hits(group, codes, other, probe, node, radius, radius2):
-        a, b = np.where(own[a] > own[b], a, b), np.where(own[a] > own[b], b, a)
+        a, b = np.where(rank[a] > rank[b], a, b), np.where(rank[a] > rank[b], b, a)
         if lowest:
-            order = np.lexsort((own[b], a))
+            order = np.lexsort((rank[b], a))
             a, b = a[order], b[order]
             head = np.concatenate(([True], a[1:] != a[:-1]))[: len(a)]
             a, b = a[head], b[head]
-            better = (best[a] < 0) | (own[b] < own[best[a]])
+            better = (best[a] < 0) | (rank[b] < rank[best[a]])
             best[a[better]] = b[better]
             continue
         left.append(a)
@@ -284,7 +287,7 @@ def links(codes: DataFrame, radius: int, radius2: int | None = None, tree_nodes:
 
     pairs: "all" gives the pairs of codes of different nodes themselves, as (u, v, un, vn): the codes' own
     ids (column `own` of codes) and their nodes, repeated where they meet again; "lowest" only those of a code with the smallest
-    code that it meets in a shard.
+    code that it meets in a shard; "spread" those with one that each shard puts first by a hash of its own.
     """
     spark = codes.sparkSession
     more = ([] if radius2 is None else ["fp2"]) + ["own"] * bool(pairs)
@@ -313,7 +316,8 @@ def links(codes: DataFrame, radius: int, radius2: int | None = None, tree_nodes:
             probe = table.column("probe").to_numpy(zero_copy_only=False).astype(bool)
             given = np.cumsum(changes), col["fp"].view(np.uint64), col["fp2"].view(np.uint64) if "fp2" in col else None, probe, col["node"]
             if pairs:
-                for met in _pairs_of(*given, col["own"], radius, radius2 or 0, pairs == "lowest"):
+                rank = {"lowest": col["own"], "spread": scramble(scramble(col["own"].view(np.uint64)) ^ scramble(col["key"].view(np.uint64) + col["t"].astype(np.uint64))), "all": None}[pairs]
+                for met in _pairs_of(*given, col["own"], radius, radius2 or 0, rank):
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in met], names=["u", "v", "un", "vn"])
                 continue
             u, v = _links_of(*given, radius, radius2 or 0)
@@ -354,14 +358,15 @@ def similar_documents(docs: DataFrame, words: int = 5, radius: int = 10, radius2
     one: by one fingerprint alone four in ten pairs at a similarity of 0.8 would be missed. A pair is linked if its texts' sets of
     shingles have a Jaccard similarity of `similarity` at least, counted on the shingles themselves. Texts
     with equal sets are linked whatever their fingerprints. docs: doc_id (unique and not null), text. A first
-    pass holds each text against the smallest that it meets, so that most of a group of near copies is one
-    node before all its pairs are asked for.
+    pass holds each text against the smallest that it meets, a second one against one text of each shard's choice, as
+    the smallest may be no near copy of the others; so most of a group of near copies is one node before
+    all its pairs are asked for.
     """
     spark = docs.sparkSession
     own = [*SIGNATURE, "d1", "d2"]
     marks = materialize(signatures(docs, words))
     codes = materialize(marks.groupBy(*own).agg(F.min("doc_id").alias("own")).withColumn("node", F.min("own").over(Window.partitionBy("d1", "d2"))))
-    for by, part, which in ((SIGNATURE[0], "first", "lowest"), *((fp, "all", "all") for fp in SIGNATURE)):
+    for by, part, which in ((SIGNATURE[0], "first", "lowest"), (SIGNATURE[0], "all", "spread"), *((fp, "all", "all") for fp in SIGNATURE)):
         other = SIGNATURE[1] if by == SIGNATURE[0] else SIGNATURE[0]
         pairs = materialize(links(codes.select("own", "node", F.col(by).alias("fp"), F.col(other).alias("fp2")), radius, radius2, part=part, pairs=which).distinct())
         found = components(similar_pairs(docs, pairs, words, similarity)).select(mixed(F.col("u")).alias("k"), "component")
