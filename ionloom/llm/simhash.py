@@ -6,6 +6,10 @@ pair meets in some shard. A shard is a BK-tree: a node's children are keyed by t
 distance to it, and a search that stands at distance d follows only the edges d - r to d + r.
 The number of blocks follows from the number of distinct fingerprints, so that the trees stay small
 at any size of corpus.
+
+At a radius of 10 bits the tables of blocks grow with the corpus. Where a link also needs a similarity of the
+shingles themselves (similar_documents), a shard is a shingle instead: two sets that similar share one of the
+first of each under any order of all shingles, so a text has the same number of shards at any size of corpus.
 """
 
 from __future__ import annotations
@@ -76,26 +80,95 @@ def fingerprints(docs: DataFrame, words: int, seeds: tuple[int, ...] = (SEED,))
 
 #: Fingerprints of a signature; each has its own pass in which it must be near.
 SIGNATURE = ("fp", "fp2", "fp3")
+#: Of one in SAMPLE texts, shingles in SEEN or more are frequent, the COMMON most frequent at most. They come last in the order
+#: of all shingles. That spares large shards; whichever shingles are in the list, the links are the same.
+SAMPLE, SEEN, COMMON = 32, 8, 20_000
+
+
+def common_shingles(docs: DataFrame, words: int) -> np.ndarray:
+    """Hashes of frequent shingles, the most frequent last."""
+    text_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [np.unique(piece_hashes(shingles(t or "", words))) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found or [np.empty(0, "<u8")]).astype(np.uint64).view(np.int64))], names=["h"])
+
+    sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(run, "h long")
+    top = sample.groupBy("h").count().filter(F.col("count") >= SEEN).orderBy(F.desc("count"), "h").limit(COMMON).select("h").collect()
+    return np.array([r.h for r in reversed(top)], dtype=np.int64).view(np.uint64)
+
+
+def leading(hashes: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+    """Those of a text's distinct shingles of which a text with the similarity has one among its own: the first under the order
+    of all shingles, as many as two such sets can differ in and one more. common: see common_shingles."""
+    n = len(hashes)
+    if not n:
+        return hashes
+    rank = np.zeros(n, np.int64)
+    if len(common):
+        by_hash = np.argsort(common)
+        at = np.minimum(np.searchsorted(common, hashes, sorter=by_hash), len(common) - 1)
+        rank = np.where(common[by_hash[at]] == hashes, by_hash[at] + 1, 0)
+    return hashes[np.lexsort((hashes, rank))[: n - int(np.ceil(similarity * n - 1e-9)) + 1]]
+
+
+def parities(hashes: np.ndarray) -> bytes:
+    """512 bits: whether the number of hashes that fall on each is odd. Two sets differ in as many hashes as bits at least."""
+    at = (hashes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(55)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=512) & 1).tobytes()
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, the fingerprints of SIGNATURE and a 128-bit digest (d1, d2) of the set of shingles of every whole text."""
+    """doc_id, the fingerprints of SIGNATURE, a 128-bit digest (d1, d2) of the set of shingles, its size n and its parities of
+    every whole text."""
     text_batches(docs.sparkSession)
     names = [*SIGNATURE, "d1", "d2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
+            rows, sizes, odd = [], [], []
             for t in b.column(1).to_pylist():
                 pieces = shingles(t or "", words)
                 hashes = piece_hashes(pieces)
-                digest = xxhash.xxh3_128_intdigest(np.unique(hashes).tobytes())
+                distinct = np.unique(hashes)
+                sizes.append(len(distinct))
+                odd.append(parities(distinct))
+                digest = xxhash.xxh3_128_intdigest(distinct.tobytes())
                 more = [fingerprint(pieces, SEED + i) for i in range(1, len(SIGNATURE))]
                 rows.append((simhash(hashes), *more, digest >> 64, digest & (1 << 64) - 1))
             out = np.array(rows, dtype=np.uint64).reshape(-1, len(names))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(out[:, i].copy().view(np.int64)) for i in range(len(names)))], names=["doc_id", *names])
+            columns = (pa.array(out[:, i].copy().view(np.int64)) for i in range(len(names)))
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns, pa.array(sizes, pa.int64()), pa.array(odd, pa.binary())], names=["doc_id", *names, "n", "odd"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names) + ", n long, odd binary")
+
+
+def shared_shingles(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """own (a doc_id), key: the leading shingles that several of docs have. The sets of two texts of the similarity share one."""
+    common = common_shingles(docs, words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [leading(np.unique(piece_hashes(shingles(t or "", words))), common, similarity) for t in b.column(1).to_pylist()]
+            own = np.repeat(b.column(0).to_numpy(), [len(x) for x in found])
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.concatenate(found or [np.empty(0, "<u8")]).astype(np.uint64).view(np.int64))], names=["own", "key"])
+
+    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, key, known = np.empty(0, np.int64), np.empty(0, np.int64), False  # the row that waits for the next, and whether it stays
+        for b in batches:
+            if not b.num_rows:
+                continue
+            own, key = (np.concatenate((x, b.column(i).to_numpy())) for i, x in enumerate((own, key)))
+            same = key[1:] == key[:-1]
+            keep = np.concatenate((same, [False])) | np.concatenate(([known], same))
+            yield pa.RecordBatch.from_arrays([pa.array(c[:-1][keep[:-1]]) for c in (own, key)], names=["own", "key"])
+            own, key, known = own[-1:], key[-1:], bool(keep[-1])
+        if known:
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(key)], names=["own", "key"])
+
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "own long, key long").repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(several, "own long, key long")
 
 
 def sharding(n: int, radius: int) -> tuple[int, int]:
@@ -198,8 +271,9 @@ def _linkable(group: np.ndarray, node: np.ndarray) -> np.ndarray:
     return np.repeat(several, np.diff(np.append(start, len(group))))
 
 
-def _hits(group: np.ndarray, codes: np.ndarray, other: np.ndarray | None, probe: np.ndarray, node: np.ndarray, radius: int, radius2: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of different nodes within the radii, some of them twice."""
+def _hits(group: np.ndarray, codes: np.ndarray, other: np.ndarray | None, probe: np.ndarray, node: np.ndarray, radius: int, radius2: int, sets: tuple[np.ndarray, np.ndarray, float] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of different nodes within the radii, some of them twice. sets: sizes, parities and a similarity; pairs that
+    can't have it by these are left out."""
     n = len(codes)
     if not n:
         return
@@ -221,7 +295,13 @@ def _hits(group: np.ndarray, codes: np.ndarray, other: np.ndarray | None, probe:
             keep = node[a] != node[b]
             if other is not None:
                 keep &= np.bitwise_count(other[a] ^ other[b]) <= radius2
-            yield a[keep], b[keep]
+            a, b = a[keep], b[keep]
+            if sets is not None:
+                size, odd, similarity = sets
+                apart = np.bitwise_count(odd[a] ^ odd[b]).sum(1, dtype=np.int64)
+                keep = apart <= (1 - similarity) / (1 + similarity) * (size[a] + size[b]) + 1e-6
+                a, b = a[keep], b[keep]
+            yield a, b
 
 
 def _links_of(group: np.ndarray, codes: np.ndarray, other: np.ndarray | None, probe: np.ndarray, node: np.ndarray, radius: int, radius2: int) -> tuple[np.ndarray, np.ndarray]:
@@ -244,16 +324,17 @@ def _links_of(group: np.ndarray, codes: np.ndarray, other: np.ndarray | None, pr
     return names[a], names[b]
 
 
-def _pairs_of(group: np.ndarray, codes: np.ndarray, other: np.ndarray | None, probe: np.ndarray, node: np.ndarray, own: np.ndarray, radius: int, radius2: int, rank: np.ndarray | None) -> Iterator[tuple[np.ndarray, ...]]:
+def _pairs_of(group: np.ndarray, codes: np.ndarray, other: np.ndarray | None, probe: np.ndarray, node: np.ndarray, own: np.ndarray, radius: int, radius2: int, rank: np.ndarray | None, sets: tuple[np.ndarray, np.ndarray, float] | None = None) -> Iterator[tuple[np.ndarray, ...]]:
     """Pairs of codes of different nodes as (own, own, node, node); with `rank` only each code's pair with the one of least rank that it meets."""
     lowest = rank is not None
     rank = own if rank is None else rank
     use = _linkable(group, node)
     group, codes, probe, node, own, rank = group[use], codes[use], probe[use], node[use], own[use], rank[use]
     other = other[use] if other is not None else None
+    sets = (sets[0][use], sets[1][use], sets[2]) if sets is not None else None
     best = np.full(len(own), -1)
     left, right, held = [], [], 0
-    for a, b in _hits(group, codes, other, probe, node, radius, radius2):
+    for a, b in _hits(group, codes, other, probe, node, radius, radius2, sets):
         a, b = np.where(rank[a] > rank[b], a, b), np.where(rank[a] > rank[b], b, a)
         if lowest:
             order = np.lexsort((rank[b], a))
@@ -277,7 +358,7 @@ def _pairs_of(group: np.ndarray, codes: np.ndarray, other: np.ndarray | None, pr
         yield own[a], own[b], node[a], node[b]
 
 
-def links(codes: DataFrame, radius: int, radius2: int | None = None, tree_nodes: int = TREE_NODES, part: str = "all", pairs: str | None = None) -> DataFrame:
+def links(codes: DataFrame, radius: int, radius2: int | None = None, tree_nodes: int = TREE_NODES, part: str = "all", pairs: str | None = None, shards: DataFrame | None = None, similarity: float = 0.0) -> DataFrame:
     """Edges (u, v) between nodes that connect what is connected by pairs of codes within radius bits.
 
     codes: node long, fp long, and with radius2 also fp2 long, a second fingerprint in which a pair
@@ -288,13 +369,22 @@ def links(codes: DataFrame, radius: int, radius2: int | None = None, tree_nodes:
     pairs: "all" gives the pairs of codes of different nodes themselves, as (u, v, un, vn): the codes' own
     ids (column `own` of codes) and their nodes, repeated where they meet again; "lowest" only those of a code with the smallest
     code that it meets in a shard; "spread" those with one that each shard puts first by a hash of its own.
+    shards (with pairs): rows (own, key) that say in which shards a code stands, instead of its blocks of bits; codes then has n and odd
+    (see signatures), and pairs that can't have the similarity by these are left out.
     """
     spark = codes.sparkSession
-    more = ([] if radius2 is None else ["fp2"]) + ["own"] * bool(pairs)
-    blocks, equal = sharding(codes.count(), radius)
-    ahead = comb(blocks - 1, equal - 1)
-    tables = {"all": slice(None), "first": slice(ahead), "rest": slice(ahead, None)}[part]
-    keyed = codes.select("node", "fp", *more, F.explode(shard_keys(F.col("fp"), blocks, equal, tables)).alias("s")).select("node", "fp", *more, "s.t", "s.key")
+    more = ([] if radius2 is None else ["fp2"]) + ["own"] * bool(pairs) + ["n", "odd"] * (shards is not None)
+    if shards is None:
+        blocks, equal = sharding(codes.count(), radius)
+        ahead = comb(blocks - 1, equal - 1)
+        tables = {"all": slice(None), "first": slice(ahead), "rest": slice(ahead, None)}[part]
+        keyed = codes.select("node", "fp", *more, F.explode(shard_keys(F.col("fp"), blocks, equal, tables)).alias("s")).select("node", "fp", *more, "s.t", "s.key")
+    else:
+        met = codes.withColumn("k", mixed(F.col("own"))).join(shards.select(mixed(F.col("own")).alias("k"), "key"), "k")
+        keyed = met.select("node", "fp", *more, F.lit(0).alias("t"), "key")
+        # a shard of one node has nothing to link
+        several = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select(mixed(F.col("key")).alias("k"))
+        keyed = materialize(keyed.withColumn("k", mixed(F.col("key"))).join(several, "k", "left_semi").drop("k"))
     large = keyed.groupBy("t", "key").agg(F.count("*").alias("n"), (F.min("node") == F.max("node")).alias("one")).filter(F.col("n") > tree_nodes)
     heavy = materialize(large.select("t", "key", "one", F.ceil(F.col("n") / (tree_nodes // 2)).cast("int").alias("k")))
     if heavy.isEmpty():
@@ -309,7 +399,8 @@ def links(codes: DataFrame, radius: int, radius2: int | None = None, tree_nodes:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["t", "key", "a", "b"], 50_000):
-            col = {c: table.column(c).to_numpy() for c in ("node", "fp", *more, "t", "key", "a", "b")}
+            col = {c: table.column(c).to_numpy() for c in ("node", "fp", *more, "t", "key", "a", "b") if c != "odd"}
+            sets = (col["n"], np.frombuffer(b"".join(table.column("odd").to_pylist()), np.uint64).reshape(-1, 8), similarity) if "odd" in more else None
             changes = np.zeros(table.num_rows, bool)
             for c in ("t", "key", "a", "b"):
                 changes[1:] |= col[c][1:] != col[c][:-1]
@@ -317,7 +408,7 @@ def links(codes: DataFrame, radius: int, radius2: int | None = None, tree_nodes:
             given = np.cumsum(changes), col["fp"].view(np.uint64), col["fp2"].view(np.uint64) if "fp2" in col else None, probe, col["node"]
             if pairs:
                 rank = {"lowest": col["own"], "spread": scramble(scramble(col["own"].view(np.uint64)) ^ scramble(col["key"].view(np.uint64) + col["t"].astype(np.uint64))), "all": None}[pairs]
-                for met in _pairs_of(*given, col["own"], radius, radius2 or 0, rank):
+                for met in _pairs_of(*given, col["own"], radius, radius2 or 0, rank, sets):
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in met], names=["u", "v", "un", "vn"])
                 continue
             u, v = _links_of(*given, radius, radius2 or 0)
@@ -357,21 +448,29 @@ def similar_documents(docs: DataFrame, words: int = 5, radius: int = 10, radius2
     Candidates are the pairs that are within radius in one of three fingerprints and within radius2 in a second
     one: by one fingerprint alone four in ten pairs at a similarity of 0.8 would be missed. A pair is linked if its texts' sets of
     shingles have a Jaccard similarity of `similarity` at least, counted on the shingles themselves. Texts
-    with equal sets are linked whatever their fingerprints. docs: doc_id (unique and not null), text. A first
-    pass holds each text against the smallest that it meets, a second one against one text of each shard's choice, as
-    the smallest may be no near copy of the others; so most of a group of near copies is one node before
-    all its pairs are asked for.
+    with equal sets are linked whatever their fingerprints. docs: doc_id (unique and not null), text. Shards are
+    shared_shingles. A first pass holds each text against the smallest that it meets, a second one against one text of each
+    shard's choice, as the smallest may be no near copy of the others; so most of a group of near copies is one node
+    before all its pairs are asked for.
     """
     spark = docs.sparkSession
     own = [*SIGNATURE, "d1", "d2"]
     marks = materialize(signatures(docs, words))
-    codes = materialize(marks.groupBy(*own).agg(F.min("doc_id").alias("own")).withColumn("node", F.min("own").over(Window.partitionBy("d1", "d2"))))
-    for by, part, which in ((SIGNATURE[0], "first", "lowest"), (SIGNATURE[0], "all", "spread"), *((fp, "all", "all") for fp in SIGNATURE)):
-        other = SIGNATURE[1] if by == SIGNATURE[0] else SIGNATURE[0]
-        pairs = materialize(links(codes.select("own", "node", F.col(by).alias("fp"), F.col(other).alias("fp2")), radius, radius2, part=part, pairs=which).distinct())
+    codes = materialize(marks.groupBy(*own).agg(F.min("doc_id").alias("own"), F.min("n").alias("n"), F.min("odd").alias("odd")).withColumn("node", F.min("own").over(Window.partitionBy("d1", "d2"))))
+    firsts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(codes.select(F.col("own").alias("doc_id")), "doc_id", "left_semi")
+    shards = materialize(shared_shingles(firsts, words, similarity))
+    held = None  # pairs that were held against each other, similar or not
+    for fps, which in ((SIGNATURE[:1], "lowest"), (SIGNATURE[:1], "spread"), (SIGNATURE, "all")):
+        pairs = None
+        for by in fps:
+            other = SIGNATURE[1] if by == SIGNATURE[0] else SIGNATURE[0]
+            near = links(codes.select("own", "node", F.col(by).alias("fp"), F.col(other).alias("fp2"), "n", "odd"), radius, radius2, pairs=which, shards=shards, similarity=similarity)
+            pairs = near if pairs is None else pairs.unionByName(near)
+        pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"), F.when(F.col("u") > F.col("v"), F.col("un")).otherwise(F.col("vn")).alias("un"), F.when(F.col("u") > F.col("v"), F.col("vn")).otherwise(F.col("un")).alias("vn")).distinct()
+        pairs = materialize(pairs if held is None else pairs.join(held, ["u", "v"], "left_anti"))
+        held = pairs.select("u", "v") if held is None else held.unionByName(pairs.select("u", "v"))
         found = components(similar_pairs(docs, pairs, words, similarity)).select(mixed(F.col("u")).alias("k"), "component")
-        discard(pairs)
-        before, codes = codes, materialize(codes.withColumn("k", mixed(F.col("node"))).join(found, "k", "left").select(*own, "own", F.coalesce("component", "node").alias("node")))
+        before, codes = codes, materialize(codes.withColumn("k", mixed(F.col("node"))).join(found, "k", "left").select(*own, "own", "n", "odd", F.coalesce("component", "node").alias("node")))
         discard(before)
         release(spark)
     return marks.join(codes.withColumnRenamed("node", "component_id"), own).select("doc_id", "component_id")

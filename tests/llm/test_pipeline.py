@@ -107,6 +107,38 @@ def test_near_copies_at_the_nominal_similarity():
     assert met >= 0.88 * 400
 
 
+def test_shards_of_similar_sets():
+    """Sets with the similarity share a leading shingle, whichever are frequent; a text's shards don't depend on the corpus."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 4, 9, 45, 90, 333):
+        for _ in range(40):
+            union = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+            both = int(np.ceil(0.8 * n - 1e-9))
+            only = int(rng.integers(0, n - both + 1))
+            mixed = rng.permutation(union)
+            a, b = np.sort(mixed[: both + only]), np.sort(np.concatenate([mixed[:both], mixed[both + only :]]))
+            common = rng.permutation(union)[: n // 2]
+            heads = [simhash.leading(x, common, 0.8) for x in (a, b)]
+            assert {*heads[0]} & {*heads[1]}
+            assert len(heads[0]) <= 0.2 * len(a) + 1
+            apart = np.bitwise_count(np.bitwise_xor(*(np.frombuffer(simhash.parities(x), np.uint8) for x in (a, b)))).sum()
+            assert apart <= n - both
+
+
+def test_large_group_makes_few_candidates(spark, monkeypatch):
+    """Texts that differ in a bit or two of their fingerprints but are under 0.8 similar are not held against each other."""
+    base = [f"w{i}" for i in range(30)]
+    texts = [" ".join([*(["z"] * 400), *base, *(f"{n}-{i}" for i in range(30))]) for n in range(60)]
+    held = []
+    plain = simhash.similar_pairs
+    monkeypatch.setattr(simhash, "similar_pairs", lambda docs, pairs, *a: held.append(pairs.count()) or plain(docs, pairs, *a))
+    out = simhash.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), p.WORDS, p.RADIUS, p.RADIUS2, p.SIMILARITY).collect()
+    assert all(r.doc_id == r.component_id for r in out)
+    assert sum(held) < 60
+
+
 def test_empty_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select(p.COLUMNS).filter("false")
     for _, stage in p.STAGES:
