@@ -83,20 +83,21 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     first = found.groupBy("h1", "h2").agg(F.min(place).alias("f"), F.max(place).alias("l")).filter("f <> l").select("h1", "h2", "f")
     first = materialize(first)
 
-    # the first stays hand out their bytes
+    # The first stays hand out their bytes. Both joins of the texts take all of a row, so that Spark deals the rows to tasks once
+    # for both.
     asked = first.groupBy("f.k", "f.sub").agg(F.collect_set("f.at").alias("ats"))
 
     def hand_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[], [], []]
-            for text, ats in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for text, ats in zip(b.column("text").to_pylist(), b.column("ats").to_pylist()):
                 cut = chunks(text)
                 for at in ats:
                     for column, v in zip(out, (*digest(cut[at][0]), cut[at][0])):
                         column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], names=["h1", "h2", "first_bytes"])
 
-    handed = texts.join(asked, ["k", "sub"]).select("text", "ats").mapInArrow(hand_out, "h1 long, h2 long, first_bytes binary")
+    handed = rows.join(asked, ["k", "sub"]).mapInArrow(hand_out, "h1 long, h2 long, first_bytes binary")
     handed = handed.groupBy("h1", "h2").agg(F.min("first_bytes").alias("first_bytes"))
     low = first.select(mixed(F.col("h1")).alias("x"), "h2", "f")
     later = found.withColumn("x", mixed(F.col("h1"))).join(low, ["x", "h2"]).filter(place != F.col("f")).select("h1", "h2", "k", "sub", "at")
@@ -108,7 +109,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         for b in batches:
             texts: list[str | None] = []
             n: list[list[int]] = [[], [], []]
-            for text, cuts in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+            held = b.column("held")
+            for text, has, cuts in zip(b.column("text").to_pylist(), held.field("has").to_pylist(), b.column("cuts").to_pylist()):
+                text = text if has else None
                 parts = chunks(text) if text is not None else []
                 same = {(c["at"], c["first_bytes"]) for c in cuts or []}
                 keep = [c for k, c in enumerate(parts) if (k, c[0]) not in same]
@@ -116,11 +119,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
                 lines = sum(c[1] for c in parts)
                 for column, v in zip(n, (lines, len(parts), lines - sum(c[1] for c in keep))):
                     column.append(v)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), *(pa.array(x, pa.int64()) for x in n)], names=["row", "cut", *COUNTS])
+            yield pa.RecordBatch.from_arrays([held.field("row"), pa.array(texts, pa.string()), *(pa.array(x, pa.int64()) for x in n)], names=["row", "cut", *COUNTS])
 
-    rows = rows.withColumn("given", F.when(F.col("held.has"), F.col("text"))).select("k", "sub", F.col("held.row").alias("row"), "given")
     schema = T.StructType([T.StructField("row", T.StructType([f for f in kept if f.name != "text"])), T.StructField("cut", T.StringType()), *[T.StructField(c, T.LongType()) for c in COUNTS]])
-    out = rows.join(verdicts, ["k", "sub"], "left").select("row", "given", "cuts").mapInArrow(cut, schema)
+    out = rows.join(verdicts, ["k", "sub"], "left").mapInArrow(cut, schema)
     return out.select(*[F.col("cut").alias("text") if f.name == "text" else F.col("row").getField(f.name).alias(f.name) for f in kept], *COUNTS)
 
 

@@ -421,6 +421,23 @@ def words_made(rng, n):
     return ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(n)]
 
 
+def test_line_dedup_deals_texts_once(spark):
+    """Both joins of the texts read one exchange, at a size at which no side is broadcast."""
+    rows = [(i, "\n".join(f"line {j} of {i // 2}" for j in range(12)), "x") for i in range(200)]
+    before = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold") if spark.conf.get(c, None)}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+        cut = out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert sorted(r.doc_id for r in cut if r.n_removed_lines) == list(range(1, 200, 2))
+    assert "ReusedExchange" in plan and "text" in plan.split("ReusedExchange")[1].split("\n")[0]
+
+
 def test_chains(spark):
     rng = random.Random(2)
     passage, docs = words_made(rng, 80), {}
