@@ -139,6 +139,29 @@ def test_large_group_makes_few_candidates(spark, monkeypatch):
     assert sum(held) < 60
 
 
+def test_tables_of_earlier_stages_go(spark):
+    """What a stage wrote for itself is deleted when the next begins, but for what that reads."""
+    from pathlib import Path
+
+    folder = lambda t: Path(t._ionloom_path.removeprefix("file:"))
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(p.COLUMNS)
+    first = materialize(p.quality_classifier(spark, docs, SF))
+    own = [*p._left]
+    assert own and all(folder(t).exists() for t in own)
+    lazy = p.line_dedup(spark, first, SF)
+    assert not any(folder(t).exists() for t in own)
+    second = p.simhash_near_dedup(spark, lazy, SF)
+    assert first.count() >= lazy.count() >= second.count() > 0
+
+
+def test_mixing_ships_texts_twice(spark):
+    """Texts are dealt to meet their draws and to their shards, and for nothing else; equal rows come as often as each is drawn."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(p.COLUMNS)
+    out = p.source_mixing(spark, docs, SF)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Aggregate" not in plan
+
+
 def test_empty_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select(p.COLUMNS).filter("false")
     for _, stage in p.STAGES:
