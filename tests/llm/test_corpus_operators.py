@@ -463,6 +463,64 @@ def test_passages_made_of_earlier_fragments(spark):
     assert got == [(50, 450, 0), (60, 200, 200), (60, 450, 400), (99, 50, 0), (99, 400, 400)]
 
 
+@pytest.mark.parametrize("n", [3, 25])
+def test_passages_of_neither_the_first_nor_the_last_stay(spark, n):
+    """A passage's pieces stand in n documents before and in n after the one that holds it whole; its copy has an edit between pieces."""
+    rng = random.Random(11)
+    whole = words_made(rng, 72)
+    pieces = [whole[a : a + 17] for a in range(0, 72, 18)]
+    made = lambda: [words_made(rng, 30) + p + words_made(rng, 30) for _ in range(n) for p in pieces]
+    edited = [f"e{i}" if i % 18 == 17 else w for i, w in enumerate(whole[:71])]
+    docs = [*made(), words_made(rng, 30) + whole[:71] + words_made(rng, 30), *made(), words_made(rng, 30) + edited + words_made(rng, 30)]
+    holder = len(docs) // 2 - 1
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(docs)], "doc_id long, text string")
+    got = {r.doc_id: r for r in chains.fuzzy_passages(df).collect()}
+    assert got[len(docs) - 1].n_repeated == 71 and {s.partner for s in got[len(docs) - 1].spans} == {holder}
+    assert all(got[i].n_repeated == 0 for i in range(len(docs) - 1))
+
+
+@pytest.mark.parametrize("blocks", [4096, 8])
+def test_further_stays_against_all_pairs(spark, monkeypatch, blocks):
+    """With every seed held to be frequent, passages are those that growth from any shared seed finds among all pairs."""
+    rng = random.Random(12)
+    line, other = words_made(rng, 9), words_made(rng, 9)
+    passages = [line + words_made(rng, 50) for _ in range(4)]
+    docs = []
+    for i in range(60):
+        p = list(passages[i % 4]) if i % 3 == 0 else [*line, *words_made(rng, 30), *other]
+        for at in rng.sample(range(len(p)), 4):
+            p[at] = f"e{i}-{at}"
+        docs.append(words_made(rng, 12) + p + words_made(rng, 12))
+    monkeypatch.setattr(chains, "STAY_BLOCK", blocks)
+    base = spark.createDataFrame([(i, 0, " ".join(t)) for i, t in enumerate(docs)], "k long, sub int, text string")
+    stays = [(int(h), i, 0, int(at)) for i, t in enumerate(docs) for at, h, _ in zip(*chains.seeds(chains.words_of(" ".join(t))))]
+    hot = spark.createDataFrame(stays, "h long, k long, sub int, pos int")
+    none = spark.createDataFrame([], "k long, sub int, begin int, end int")
+    want, by_seed = {}, {}
+    texts = [chains.words_of(" ".join(t)) for t in docs]
+    for h, i, _, at in stays:
+        by_seed.setdefault(h, []).append((i, at))
+    for h, met in by_seed.items():
+        size, span = (chains.LONG if h & 1 else chains.SHORT), chains.CONTEXT
+        for i, a in met:
+            for j, b in met:
+                if j < i:
+                    x, y = texts[i], texts[j]
+                    right = chains.grow(x[a + size :][:span], y[b + size :][:span])
+                    left = chains.grow(x[:a][::-1][:span], y[:b][::-1][:span])
+                    length, matched, columns = (u + v + size for u, v in zip(right, left))
+                    if length >= 40 and matched >= 0.8 * columns:
+                        want.setdefault(i, set()).update(range(a - left[0], a + size + right[0]))
+    got: dict[int, set] = {}
+    for r in chains._further(base, hot, none, 40, 0.8).collect():
+        (run,) = r.runs
+        x, y = texts[r.k], texts[r.fk]
+        right = chains.grow(x[run.a + run.n :][: chains.CONTEXT], y[run.b + run.n :][: chains.CONTEXT])
+        left = chains.grow(x[: run.a][::-1][: chains.CONTEXT], y[: run.b][::-1][: chains.CONTEXT])
+        got.setdefault(r.k, set()).update(range(run.a - left[0], run.a + run.n + right[0]))
+    assert len(want) >= 10 and got == want
+
+
 def brute_cover(words, other, least=40, score=25):
     """Words in local alignments (1 for equal words, -3 for others) of so many words and such a score."""
     index = {w: i for i, w in enumerate({*words, *other})}
