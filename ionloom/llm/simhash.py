@@ -25,11 +25,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ionloom.llm.anchors import scramble
-from ionloom.llm.common import components, discard, join_small, materialize, mixed, release, text_batches, whole_groups
+from ionloom.llm.common import components, discard, join_small, materialize, mixed, release, text_batches, trim, whole_groups
 
 SEED = 42
 #: Nodes of a shard's tree; a larger shard is cut into blocks of this size that are searched pairwise.
 TREE_NODES = 4096
+#: Pairs of a query and a node that a search takes a level further at once.
+FRONTIER = 50_000
 
 
 def shingles(text: str, words: int) -> list[bytes]:
@@ -140,6 +142,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
             out = np.array(rows, dtype=np.uint64).reshape(-1, len(names))
             columns = (pa.array(out[:, i].copy().view(np.int64)) for i in range(len(names)))
             yield pa.RecordBatch.from_arrays([b.column(0), *columns, pa.array(sizes, pa.int64()), pa.array(odd, pa.binary())], names=["doc_id", *names, "n", "odd"])
+        trim()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names) + ", n long, odd binary")
 
@@ -153,6 +156,7 @@ def shared_shingles(docs: DataFrame, words: int, similarity: float) -> DataFrame
             found = [leading(np.unique(piece_hashes(shingles(t or "", words))), common, similarity) for t in b.column(1).to_pylist()]
             own = np.repeat(b.column(0).to_numpy(), [len(x) for x in found])
             yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.concatenate(found or [np.empty(0, "<u8")]).astype(np.uint64).view(np.int64))], names=["own", "key"])
+        trim()
 
     def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, key, known = np.empty(0, np.int64), np.empty(0, np.int64), False  # the row that waits for the next, and whether it stays
@@ -225,8 +229,12 @@ def forest(codes: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def search(codes: np.ndarray, root: np.ndarray, edges: tuple[np.ndarray, np.ndarray], queries: np.ndarray, asked: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (query index, row) within radius; each query starts at the root row in `asked`."""
     key, child = edges
-    q, node = np.arange(len(queries)), asked
-    while len(q):
+    todo = [(np.arange(len(queries)), asked)]
+    while todo:
+        q, node = todo.pop()
+        if len(q) > FRONTIER:  # at a large radius a level may hold most nodes for each query
+            todo += [(q[at : at + FRONTIER], node[at : at + FRONTIER]) for at in range(0, len(q), FRONTIER)]
+            continue
         d = np.bitwise_count(queries[q] ^ codes[node]).astype(np.int64)
         hit = d <= radius
         yield q[hit], node[hit]
@@ -236,7 +244,8 @@ def search(codes: np.ndarray, root: np.ndarray, edges: tuple[np.ndarray, np.ndar
         some = n > 0
         q, lo, n = q[some], lo[some], n[some]
         at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        q, node = np.repeat(q, n), child[at]
+        if len(at):
+            todo.append((np.repeat(q, n), child[at]))
 
 
 def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -413,6 +422,7 @@ def links(codes: DataFrame, radius: int, radius2: int | None = None, tree_nodes:
                 continue
             u, v = _links_of(*given, radius, radius2 or 0)
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+        trim()
 
     dealt = keyed.repartition("t", "key", "a", "b").sortWithinPartitions("t", "key", "a", "b", "probe")
     return dealt.mapInArrow(run, "u long, v long, un long, vn long" if pairs else "u long, v long")
@@ -436,6 +446,7 @@ def similar_pairs(docs: DataFrame, pairs: DataFrame, words: int, similarity: flo
         for batch in batches:
             keep = [resemblance(set(shingles(a or "", words)), set(shingles(b or "", words))) >= similarity for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+        trim()
 
     out = materialize(met.mapInArrow(run, "u long, v long"))
     discard(texts)

@@ -117,6 +117,17 @@ def test_simhash_large_shards_are_cut(spark):
     assert {i: found.get(i, i) for i in codes} == want
 
 
+def test_search_holds_few_nodes_at_once(monkeypatch):
+    """However many nodes a radius lets through, a search takes FRONTIER of them a level further at once, and misses none."""
+    monkeypatch.setattr(simhash, "FRONTIER", 500, raising=False)
+    codes = np.random.default_rng(2).integers(0, 1 << 64, 900, dtype=np.uint64)
+    root = np.zeros(900, np.int64)
+    got = list(simhash.search(codes, root, simhash.forest(codes, root), codes, root, 30))
+    assert max(len(q) for q, _ in got) <= 500
+    near = np.argwhere(np.bitwise_count(codes[:, None] ^ codes) <= 30)
+    assert sorted((int(a), int(b)) for q, found in got for a, b in zip(q, found)) == [tuple(x) for x in near.tolist()]
+
+
 @pytest.mark.parametrize("tree_nodes", [16, 4096])
 def test_simhash_passes_meet_all_links(spark, tree_nodes):
     """The parts of the shards together link what all link; codes of one node are not searched again."""
