@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ionloom.llm.anchors import scramble
-from ionloom.llm.common import components, discard, join_small, materialize, mixed, release, text_batches, trim, whole_groups
+from ionloom.llm.common import components, discard, join_small, materialize, mixed, release, scratch, text_batches, trim, whole_groups
 
 SEED = 42
 #: Nodes of a shard's tree; a larger shard is cut into blocks of this size that are searched pairwise.
@@ -475,9 +475,14 @@ def similar_documents(docs: DataFrame, words: int = 5, radius: int = 10, radius2
         pairs = None
         for by in fps:
             other = SIGNATURE[1] if by == SIGNATURE[0] else SIGNATURE[0]
-            near = links(codes.select("own", "node", F.col(by).alias("fp"), F.col(other).alias("fp2"), "n", "odd"), radius, radius2, pairs=which, shards=shards, similarity=similarity)
-            pairs = near if pairs is None else pairs.unionByName(near)
-        pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"), F.when(F.col("u") > F.col("v"), F.col("un")).otherwise(F.col("vn")).alias("un"), F.when(F.col("u") > F.col("v"), F.col("vn")).otherwise(F.col("un")).alias("vn")).distinct()
+            with scratch() as spent:
+                near = links(codes.select("own", "node", F.col(by).alias("fp"), F.col(other).alias("fp2"), "n", "odd"), radius, radius2, pairs=which, shards=shards, similarity=similarity)
+            turned = F.col("u") > F.col("v")
+            near = materialize(near.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"), F.when(turned, F.col("un")).otherwise(F.col("vn")).alias("un"), F.when(turned, F.col("vn")).otherwise(F.col("un")).alias("vn")).distinct())
+            for table in spent:  # the shards with their codes, larger than all else here
+                discard(table)
+            release(spark)
+            pairs = near if pairs is None else pairs.unionByName(near).distinct()
         pairs = materialize(pairs if held is None else pairs.join(held, ["u", "v"], "left_anti"))
         held = pairs.select("u", "v") if held is None else held.unionByName(pairs.select("u", "v"))
         found = components(similar_pairs(docs, pairs, words, similarity)).select(mixed(F.col("u")).alias("k"), "component")

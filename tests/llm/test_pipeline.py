@@ -154,6 +154,27 @@ def test_tables_of_earlier_stages_go(spark):
     assert first.count() >= lazy.count() >= second.count() > 0
 
 
+def test_shards_of_one_pass_go_before_the_next(spark, monkeypatch):
+    """The shards with their codes are the largest tables of near copies: at most one pass's are there at a time."""
+    from pathlib import Path
+
+    made = []
+    plain = simhash.materialize
+
+    def materialized(df, *a):
+        there = [t for t in made if Path(t._ionloom_path.removeprefix("file:")).exists()]
+        assert "odd" not in df.columns or "key" not in df.columns or not there
+        out = plain(df, *a)
+        if "odd" in df.columns and "key" in df.columns:
+            made.append(out)
+        return out
+
+    monkeypatch.setattr(simhash, "materialize", materialized)
+    texts = [" ".join([f"{n // 3}-{i}" for i in range(60)] + ["x"] * (n % 3)) for n in range(12)]
+    out = simhash.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), p.WORDS, p.RADIUS, p.RADIUS2, p.SIMILARITY).collect()
+    assert len(made) == 5 and len(out) == 12
+
+
 def test_mixing_ships_texts_twice(spark):
     """Texts are dealt to meet their draws and to their shards, and for nothing else; equal rows come as often as each is drawn."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").select(p.COLUMNS)
