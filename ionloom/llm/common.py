@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
@@ -166,9 +167,12 @@ def _star(edges: DataFrame, low: DataFrame, keep_larger: bool) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of frames that nothing holds any more, before the next step writes its own."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark drop the shuffle files of frames that nothing holds any more, before the next step writes its own. The JVM hears
+    of what Python has dropped from another thread, a moment later, so one round would keep the files of the last table."""
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.5)
+        spark.sparkContext._jvm.System.gc()
 
 
 def trim() -> None:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ionloom.llm.anchors import anchors, powers, prefix_hashes
-from ionloom.llm.common import discard, materialize, mixed, release, text_batches, whole_groups
+from ionloom.llm.common import discard, materialize, mixed, release, text_batches, trim, whole_groups
 from ionloom.llm.units import unit_columns
 
 WIDTH = 100
@@ -28,6 +28,8 @@ WIDTH = 100
 #: compared by grouped bytes, which any number of tasks share, first by pieces of PIECE windows, then the
 #: windows of the pieces that may differ in part. Both ways give the same spans.
 GROUP, PIECE = 1000, 10
+#: Contexts of whole groups that are sorted at once, and windows whose bytes are compared at once: they bound a worker's arrays.
+BATCH, COMPARED = 5_000, 10_000
 
 
 def common_extension(prefix: np.ndarray, a: np.ndarray, b: np.ndarray, limit: np.ndarray) -> np.ndarray:
@@ -128,13 +130,13 @@ def repeated_windows(contexts: list[bytes], anchor: np.ndarray, n_windows: np.nd
         if not len(repeats):
             continue
         a, b = has[repeats], has[first[inverse[repeats]]]
-        for at in range(0, len(a), 100_000):  # equal hashes are no proof
-            x, y = a[at : at + 100_000], b[at : at + 100_000]
+        for at in range(0, len(a), COMPARED):  # equal hashes are no proof
+            x, y = a[at : at + COMPARED], b[at : at + COMPARED]
             span = np.arange(width)
             same = (raw[(base[x] + window[x])[:, None] + span] == raw[(base[y] + window[y])[:, None] + span]).all(1)
             out[x[same], window[x[same]]] = True
             # a class of unequal windows is gone through one by one
-            for c in np.unique(inverse[repeats[at : at + 100_000][~same]]):
+            for c in np.unique(inverse[repeats[at : at + COMPARED][~same]]):
                 seen: set[bytes] = set()
                 for k in has[inverse == c]:
                     w = contexts[k][window[k] : window[k] + width]
@@ -178,6 +180,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, repeated: bool = True) -
                         column.append(v)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["h", "k", "sp"])
+        trim()
 
     found = materialize(docs.mapInArrow(find, "h long, k long, sp long"))
     twice = found.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select(mixed(F.col("h")).alias("x"))
@@ -196,6 +199,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, repeated: bool = True) -
                     for column, v in zip(out, (*_halves(c), at, k, sub, first, count << 8 | anchor)):
                         column.append(v)
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:4]), *(pa.array(c, pa.int32()) for c in out[4:])], names=["c1", "c2", "h", "k", "sub", "q", "na"])
+        trim()
 
     placed = materialize(_with_text(docs, hits, "inner").mapInArrow(contexts, "c1 long, c2 long, h long, k long, sub int, q int, na int"))
     discard(found)
@@ -223,6 +227,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, repeated: bool = True) -
                         column.append(v)
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["h", "k", "sub", "q", "na", "c", "bytes"])
+        trim()
 
     edges = _with_text(docs, edges, "inner").mapInArrow(cut, "h long, k long, sub int, q int, na int, c long, bytes binary")
     edges = materialize(edges.dropDuplicates(["h", "k", "sub", "q"]) if repeated else edges)
@@ -230,7 +235,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, repeated: bool = True) -
     release(docs.sparkSession)
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, ["h"], 20_000):
+        for table in whole_groups(batches, ["h"], BATCH):
             h, k, sub, q, na = (table.column(c).to_numpy() for c in ("h", "k", "sub", "q", "na"))
             n = (na >> 8).astype(np.int64)
             again = repeated_windows(table.column("bytes").to_pylist(), (na & 255).astype(np.int64), n, h, width)
@@ -238,6 +243,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, repeated: bool = True) -
             row, begin = np.nonzero(edge == 1)
             _, end = np.nonzero(edge == -1)
             yield pa.RecordBatch.from_arrays([pa.array(k[row]), pa.array(sub[row]), pa.array((q[row] + begin).astype(np.int32)), pa.array((end - begin).astype(np.int32))], names=["k", "sub", "q", "n"])
+            trim()
 
     few = edges.filter(F.col("c") <= GROUP).select("h", "k", "sub", "q", "na", "bytes")
     sorted_ = few.repartition("h").sortWithinPartitions("h", F.col("sub") < 0, "k", "sub", "q").mapInArrow(resolve, "k long, sub int, q int, n int")
@@ -317,6 +323,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                     column.append(v)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(out, kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+        trim()
 
     with_spans = rows.select("doc_id", "k", "sub", "text").join(spans, ["k", "sub"], "left").select("doc_id", "text", "asked")
     return with_spans.mapInArrow(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

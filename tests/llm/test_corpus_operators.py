@@ -2,8 +2,10 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ionloom.llm import ann, bpe, chains, lines, mixing, quality, rules, simhash, suffixes, toxicity
-from ionloom.llm.common import components
+from ionloom.llm.common import components, discard, materialize, release
 from ionloom.llm.units import unit_columns
 
 SF = "/root/testdata/sf0.001"
@@ -148,6 +150,23 @@ def test_simhash_passes_meet_all_links(spark, tree_nodes):
     assert simhash.links(done, 3, tree_nodes=tree_nodes).isEmpty()
 
 
+def test_release_drops_the_shuffles_of_the_last_table(spark):
+    local = [Path(d.toString()) for d in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {p for d in local for p in d.rglob("shuffle_*.data")}
+    before = files()
+    table = materialize(spark.range(1000).repartition("id").withColumn("x", F.col("id") + 1))
+    made = files() - before
+    assert made
+    release(spark)
+    for _ in range(10):  # files go on another thread
+        if not made & files():
+            break
+        time.sleep(0.1)
+    assert not made & files()
+    assert table.count() == 1000
+    discard(table)
+
+
 def test_components(spark):
     rng = random.Random(4)
     pairs = [(i, i + 1) for i in range(200, 260)] + [(rng.randrange(100), rng.randrange(100)) for _ in range(60)] + [(500, i) for i in range(501, 560)]
