@@ -551,6 +551,34 @@ def test_further_stays_against_all_pairs(spark, monkeypatch, blocks):
     assert len(want) >= 10 and got == want
 
 
+def test_meetings_go_before_texts_are_shipped(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(chains, "discard", lambda t, f=chains.discard: (seen.extend(t.columns), f(t))[1])
+    monkeypatch.setattr(chains, "_handed", lambda *a, f=chains._handed: (seen.append("handed"), f(*a))[1])
+    text = " ".join(words_made(random.Random(5), 80))
+    rows = chains.fuzzy_passages(spark.createDataFrame([(1, text), (2, text + " more")], "doc_id long, text string")).collect()
+    assert sorted(r.n_repeated for r in rows) == [0, 80]
+    assert seen.index("fpos") < seen.index("handed")
+
+
+def test_grow_all_is_grow():
+    rng = random.Random(9)
+    base = [[rng.randrange(1, 1 << 32) | 1 for _ in range(chains.CONTEXT)] for _ in range(4)]
+    rows = []
+    for i in range(120):
+        row = list(base[i % 4])
+        for at in sorted(rng.sample(range(len(row)), rng.randrange(6)), reverse=True):
+            row[at : at + rng.randrange(3)] = [rng.choice((7, 9, 11)) for _ in range(rng.randrange(3))]
+        rows.append(row[: rng.choice((3, 20, chains.CONTEXT, chains.CONTEXT))])
+    words = np.zeros((len(rows), chains.CONTEXT + chains.SKIP + 3), np.uint32)
+    for held, row in zip(words, rows):
+        held[: len(row)] = row
+    x, y = np.nonzero(np.ones((len(rows), len(rows)), bool))
+    twos = words[:, :-1].astype(np.uint64) << np.uint64(32) | words[:, 1:]
+    got = chains.grow_all(twos, chains.four_words(twos), x, y)
+    assert list(zip(*(c.tolist() for c in got))) == [chains.grow(rows[a], rows[b]) for a, b in zip(x, y)]
+
+
 def brute_cover(words, other, least=40, score=25):
     """Words in local alignments (1 for equal words, -3 for others) of so many words and such a score."""
     index = {w: i for i, w in enumerate({*words, *other})}
