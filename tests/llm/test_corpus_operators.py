@@ -561,6 +561,44 @@ def test_meetings_go_before_texts_are_shipped(spark, monkeypatch):
     assert seen.index("fpos") < seen.index("handed")
 
 
+def test_texts_are_gone_through_once_for_seeds(spark, monkeypatch):
+    """A frequent seed's first stay, which is found without another pass over the texts, is a partner of all its other stays."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def rows(base, f=chains._seed_rows):
+        def count(batches):
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+
+        return f(base.mapInArrow(count, base.schema))
+
+    monkeypatch.setattr(chains, "_seed_rows", rows)
+    monkeypatch.setattr(chains, "SAMPLE", 4)
+    rng = random.Random(14)
+    passage = words_made(rng, 60)
+    docs = [(i, " ".join(words_made(rng, 10) + passage[: 60 - 7 * (i > 0)] + words_made(rng, 10))) for i in range(200)]
+    df = spark.createDataFrame([*docs, (None, docs[0][1])], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in chains.fuzzy_passages(df).collect()}
+    assert got[0].n_repeated == 0 and got[None].n_repeated == 80
+    assert all(r.n_repeated >= 53 and 0 in {s.partner for s in r.spans} for i, r in got.items() if i)
+    assert seen.value < 1.6 * 201
+
+
+def test_seeds_of_texts_together():
+    """Texts looked at together have the seeds and the numbers of words that each has alone."""
+    rng = random.Random(15)
+    texts = ["", " ", "A", *("".join(rng.choice(("ab", "C", "d\u00e9", " ", "  ", "\n", "\x0b\t")) for _ in range(rng.randrange(900))) for _ in range(60)), ""]
+    texts += [" ".join(rng.choice("abc") for _ in range(n)) for n in range(30, 90)]
+    rng.shuffle(texts)
+    raw = [t.encode() for t in texts]
+    offsets = np.cumsum([0, *map(len, raw)])
+    held = np.frombuffer(b"".join(raw), np.uint8)
+    assert chains.count_words(held, offsets).tolist() == [len(chains.words_of(t)) for t in texts]
+    want = [(i, *s) for i, t in enumerate(texts) for s in zip(*(c.tolist() for c in chains.seeds(chains.words_of(t))))]
+    assert len(want) > 500 and sorted(zip(*(c.tolist() for c in chains.text_seeds(held, offsets)))) == sorted(want)
+
+
 def test_grow_all_is_grow():
     rng = random.Random(9)
     base = [[rng.randrange(1, 1 << 32) | 1 for _ in range(chains.CONTEXT)] for _ in range(4)]
